@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, sharding, urlfilter, warc
+from tallyframe.llm import chat, decontaminate, language, packing, sharding, toxicity, urlfilter, warc
 from tallyframe.llm.shared import table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -38,19 +38,45 @@ def captures(pages: DataFrame) -> DataFrame:
     )
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = warc.resolve_revisits(captures(table(spark, sf_dir, "pages")))
     head = lambda k: F.col("headers")[k]
     return r.select("record_id", "canonical", F.unix_timestamp("at").alias("at_s"), "status", "response_id", head("date").alias("date"), head("content-type").alias("content_type"), "digest")
 
 
+def _crc_mod(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit_language(docs.where(_crc_mod(3) != 1))
+    out = docs.select("doc_id", F.coalesce(_crc_mod(3) == 1, F.lit(False)).alias("held_out"), language.detect_language(model, F.col("text")).alias("x"))
+    return out.select("doc_id", "held_out", "x.lang_pred", "x.score", "x.rejected")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels").where(_crc_mod(5) != 0))
+    out = docs.select("doc_id", F.coalesce(_crc_mod(5) == 0, F.lit(False)).alias("held_out"), toxicity.score_toxicity(model, F.col("text")).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
     return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def queries() -> dict:
-    return {"op2_revisits": op2_revisits, "op3_chat_windows": op3_chat_windows, "op7_url_filter": op7_url_filter, "op8_shards": op8_shards}
+    return {"op1_decontaminate": op1_decontaminate, "op2_revisits": op2_revisits, "op3_chat_windows": op3_chat_windows, "op5_language": op5_language, "op7_url_filter": op7_url_filter, "op8_shards": op8_shards, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
