@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, decontaminate, language, packing, sharding, toxicity, urlfilter, warc
+from tallyframe.llm import chat, decontaminate, language, neardup, neighbours, packing, sharding, toxicity, urlfilter, warc
 from tallyframe.llm.shared import table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -46,6 +46,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
+
+
 def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = warc.resolve_revisits(captures(table(spark, sf_dir, "pages")))
     head = lambda k: F.col("headers")[k]
@@ -76,7 +84,7 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op2_revisits": op2_revisits, "op3_chat_windows": op3_chat_windows, "op5_language": op5_language, "op7_url_filter": op7_url_filter, "op8_shards": op8_shards, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
+    return {"op1_decontaminate": op1_decontaminate, "op2_revisits": op2_revisits, "op3_chat_windows": op3_chat_windows, "op4_near_duplicates": op4_near_duplicates, "op5_language": op5_language, "op6_nearest": op6_nearest, "op7_url_filter": op7_url_filter, "op8_shards": op8_shards, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -82,9 +82,9 @@ def shingles(texts: list[str | None], width: int = 5) -> tuple[np.ndarray, np.nd
     full = np.flatnonzero(np.arange(most) + width <= start[own[:most] + 1])
     few = np.flatnonzero((count > 0) & (count < width))
     short = np.zeros(len(few), np.uint64)
-    for k, i in enumerate(few):
-        for w in words[start[i] : start[i + 1]]:
-            short[k] = short[k] * _BASE + w
+    for j in range(width - 1):
+        more = np.flatnonzero(count[few] > j)
+        short[more] = short[more] * _BASE + words[start[few[more]] + j]
     sh, own = mix(np.concatenate([sh[full], short])), np.concatenate([own[full], few])
     order = np.lexsort((sh, own))
     sh, own = sh[order], own[order]
