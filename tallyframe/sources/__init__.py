@@ -1 +1,109 @@
-"""."""
+"""Reading and writing page texts, extracted reports, filings and statements."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyframe.operators.compiling import ROWS, to_wide
+
+STATEMENT = f"struct<periods:array<string>,rows:{ROWS}>"
+NAME = r"([^/]+)-([0-9]{4})\.(?:pages|extracted)\.json$"
+
+
+def _named(df: DataFrame) -> DataFrame:
+    path = F.col("_metadata.file_path")
+    return df.select("*", F.regexp_extract(path, NAME, 1).alias("slug"), F.regexp_extract(path, NAME, 2).try_cast("int").alias("report_year"))
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Page-text files <slug>-<year>.pages.json, {year, pages}: slug, report_year, page_index, text."""
+    p = _named(spark.read.schema("year int, pages array<string>").option("multiLine", True).json(path))
+    return p.select("slug", "report_year", F.posexplode("pages").alias("page_index", "text"))
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Extracted reports <slug>-<year>.extracted.json as reports: a row for each kind, empty where a file lacks it."""
+    kinds = ["income", "balance", "cashflow"]
+    r = _named(spark.read.schema(", ".join(["year int", *[f"{k} {STATEMENT}" for k in kinds]])).option("multiLine", True).json(path))
+    return unpivot_statements(r, kinds)
+
+
+def unpivot_statements(reports: DataFrame, kinds: tuple | list = ("income", "balance", "cashflow")) -> DataFrame:
+    """slug, report_year and a struct column for each kind as a row for each kind."""
+    parts = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}.periods").alias("periods"), F.col(f"{k}.rows").alias("rows")) for k in kinds])
+    e = reports.select("slug", "report_year", F.explode(parts).alias("x"))
+    empty = lambda t: F.array().cast(t)
+    return e.select("slug", "report_year", "x.kind", F.coalesce("x.periods", empty("array<string>")).alias("periods"), F.coalesce("x.rows", empty(ROWS)).alias("rows"))
+
+
+def read_discovered(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON map of "slug:year" to url: slug, year, url."""
+    m = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "url"))
+    part = F.split("key", ":")
+    return m.select(F.get(part, F.lit(0)).alias("slug"), F.get(part, F.lit(1)).try_cast("int").alias("year"), "url")
+
+
+def read_filings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def write_statements(compiled: DataFrame, sources: DataFrame, status: DataFrame, path: str, strict: bool = False, dry_run: bool = False) -> DataFrame:
+    """Writes each company's wide statements with its sources, partitioned by kind, replacing only the kinds it has rows
+    of; strict withholds companies that failed. Returns what is (or, on a dry run, would be) written."""
+    wide = to_wide(compiled)
+    if strict:
+        wide = wide.join(status.where("status = 'fail'").select("slug"), "slug", "left_anti")
+    urls = sources.groupBy("slug").agg(F.sort_array(F.collect_list(F.struct("report_year", "url")), asc=False).alias("sources"))
+    out = wide.join(urls, "slug", "left").join(status.select("slug", "status"), "slug", "left")
+    if not dry_run:
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind").parquet(path)
+    return out
+
+
+def write_validation(issues: DataFrame, status: DataFrame, path: str) -> None:
+    """One JSON object for each company: slug, status, issues."""
+    rows = issues.groupBy("slug").agg(F.sort_array(F.collect_list(F.struct("check", "severity", "period_year", "expected", "actual", "diff"))).alias("issues"))
+    none = F.array().cast("array<struct<check:string,severity:string,period_year:int,expected:double,actual:double,diff:double>>")
+    status.join(rows, "slug", "left").select("slug", "status", F.coalesce("issues", none).alias("issues")).write.mode("overwrite").json(path)
+
+
+def write_catalog(filings: DataFrame, path: str) -> None:
+    """The catalogue partitioned by company; only the companies in filings are replaced."""
+    filings.repartition("slug").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug").parquet(path)
+
+
+def source_list(reports: DataFrame, discovered: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """The URL of each report: slug, report_year, url (of the registry, else discovered, else '')."""
+    r = reports.select("slug", "report_year").distinct()
+    named = lambda df, c: df.groupBy("slug", F.col("year").alias("report_year")).agg(F.max("url").alias(c))
+    r = r.join(named(discovered, "found"), ["slug", "report_year"], "left")
+    first = F.lit(None).cast("string")
+    if registry is not None:
+        r, first = r.join(named(registry, "listed"), ["slug", "report_year"], "left"), F.col("listed")
+    return r.select("slug", "report_year", F.coalesce(first, "found", F.lit("")).alias("url"))
+
+
+def filter_years(df: DataFrame, years: str | None, column: str = "report_year") -> DataFrame:
+    """Rows of a range such as "2015-2025", both ends included; all for None."""
+    if not years:
+        return df
+    lo, dash, hi = years.partition("-")
+    if not (dash and len(lo) == len(hi) == 4 and lo.isdigit() and hi.isdigit()):
+        raise ValueError("years must look like 2015-2025")
+    return df.where(F.col(column).between(int(lo), int(hi)))
+
+
+def filter_companies(companies: DataFrame, slug: str | None = None) -> DataFrame:
+    """One company, or all; an unknown slug is an error."""
+    if slug is None:
+        return companies
+    one = companies.where(F.col("slug") == slug)
+    if one.isEmpty():
+        raise ValueError(f"unknown company: {slug}")
+    return one
+
+
+def company_lookup(df: DataFrame, companies: DataFrame) -> DataFrame:
+    """df with the attributes of its company (small dimension: Spark broadcasts it by its size)."""
+    return df.join(companies, "slug", "left")
