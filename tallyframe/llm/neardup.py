@@ -15,11 +15,8 @@ from tallyframe.llm.textops import mix, shingles, slices
 #: Words of a shingle, least similarity, bands and registers of a band. A pair of similarity 0.8 shares no band with
 #: probability (1 - 0.8 ** 5) ** 25, one in 20,000.
 WIDTH, SIMILAR, BANDS, ROWS = 5, 0.8, 25, 5
-#: Registers in common (of BANDS * ROWS) from which a pair left over by the first verification is verified too: about
-#: four standard deviations below what pairs of similarity 0.8 have.
-LEAST_COMMON = 82
-#: Members of a bucket that are compared with each other in one call, and rows that go to a call together.
-BLOCK, GROUP_ROWS = 1500, 6000
+#: Texts of a candidate group that are compared with each other in one call, and texts that go to a call together.
+BLOCK, GROUP_ROWS = 1500, 2000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,9 +59,9 @@ def probability_jaccard(x: dict | tuple, y: tuple) -> float:
 
 
 def _signatures(bands: int, rows: int, width: int):
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            keys, sigs = [], []
+            keys = []
             texts = [t if isinstance(t, str) else None for t in batch]
             for lo, hi in slices(texts):
                 own, element, weight = shingles(texts[lo:hi], width)
@@ -75,10 +72,9 @@ def _signatures(bands: int, rows: int, width: int):
                     key = mix(key * _GOLDEN + s.reshape(hi - lo, bands, rows)[:, :, j] + np.arange(bands, dtype=np.uint64) * np.uint64(977))
                 for i in range(hi - lo):
                     keys.append(key[i].view(np.int64) if some[i] else None)
-                    sigs.append(s[i].astype(np.uint16).tobytes() if some[i] else None)
-            yield pd.DataFrame({"bands": keys, "sig": sigs})
+            yield pd.Series(keys)
 
-    return F.pandas_udf(run, "bands array<long>, sig binary")
+    return F.pandas_udf(run, "array<long>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similar: float, width: int) -> DataFrame:
@@ -105,7 +101,47 @@ def _verify(pairs: DataFrame, texts: DataFrame, similar: float, width: int) -> D
     return full.select("a", "b", "ta", "tb").mapInPandas(check, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, least_common: int = LEAST_COMMON, block: int = BLOCK) -> DataFrame:
+def connect(shingled: tuple[np.ndarray, np.ndarray, np.ndarray], root: np.ndarray, side: np.ndarray, similar: float) -> list[tuple[int, int]]:
+    """Links that join classes: pairs of texts of different classes (root) that are similar, at most one for each two
+    classes that aren't joined yet; only across the sides if there are two.
+
+    shingled: (text, element, weight) rows, sorted. Every text outside the largest class is held against all others at
+    once: their overlap of probability mass bounds the similarity, sets of equal weights have it exactly, and what is
+    left is worked out pair by pair, until its class is joined or nothing is left.
+    """
+    own, element, weight = shingled
+    n = len(root)
+    at = np.searchsorted(own, np.arange(n + 1))
+    vocabulary = np.unique(element, return_inverse=True)[1]
+    size = np.bincount(own, weight, n)
+    mass = weight / size[own]
+    plain = np.array([bool((weight[at[i] : at[i + 1]] == 1).all()) for i in range(n)])
+    label = np.unique(root, return_inverse=True)[1].copy()
+    mark, found = np.zeros(vocabulary.max() + 1 if n else 0), []
+    largest = np.bincount(label).argmax()
+    for a in np.flatnonzero(label != largest):
+        rows = slice(at[a], at[a + 1])
+        mark[vocabulary[rows]] = mass[rows]
+        overlap = np.add.reduceat(np.minimum(mark[vocabulary], mass), at[:-1])
+        mark[vocabulary[rows]] = 0
+        fits = (overlap >= similar - 1e-9) & (label != label[a])
+        if side[0] != side[-1]:
+            fits &= side != side[a]
+        for b in sorted(np.flatnonzero(fits), key=lambda b: -overlap[b]):
+            if label[b] == label[a]:
+                continue
+            if plain[a] and plain[b]:
+                common = overlap[b] * max(size[a], size[b])
+                value = common / (size[a] + size[b] - common)
+            else:
+                value = probability_jaccard((element[rows], weight[rows]), (element[at[b] : at[b + 1]], weight[at[b] : at[b + 1]]))
+            if value >= similar - 1e-9:
+                found.append((int(a), int(b)))
+                label[label == label[b]] = label[a]
+    return found
+
+
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """The class of every row of docs (doc_id, text): doc_id, class_id, node, links.
 
     Two texts are linked if the probability Jaccard of their shingles of `width` words, weighted by how often they
@@ -115,13 +151,14 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, width: int = WIDT
     of its own (node null). Repeated rows are rows of one class; a class without any id has none; other columns are not read.
 
     Equal texts meet by a partial aggregate. Texts sharing a band's registers are in one bucket; each is verified
-    against its bucket's hub, the member that meets most others over all bands. Buckets that then hold members of
-    several classes are compared by registers, in blocks of bounded size, and what is alike there is verified too. So
-    no pairs are listed within a group that its hub holds together, however large, and no link between classes is lost.
+    against its bucket's hub, the member that meets most others over all bands. Buckets that still hold several classes
+    are joined into candidate groups, whose texts meet in pairs of blocks of bounded size: there each text outside its
+    block's largest class is held against all others, and only links that join classes come out (see connect). So no
+    pairs are listed within a group, however large, and no link between classes is lost.
     """
     node = F.unhex(F.md5("text"))
     base = docs.select("doc_id", "text", node.alias("node"))
-    rowwise = stored(base.select("doc_id", "node", _signatures(bands, rows, width)(F.col("text")).alias("s")).select("doc_id", "node", "s.bands", "s.sig"))
+    rowwise = stored(base.select("doc_id", "node", _signatures(bands, rows, width)(F.col("text")).alias("bands")))
     nodes = rowwise.where("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"))
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -136,36 +173,34 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, width: int = WIDT
 
     of = components(links)
     root = members.join(of, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    split = root.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    open_ = stored(root.join(split.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key"))
+    split = root.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("first")).where("low <> high")
+    open_ = stored(root.join(split.select("key", "first"), "key").select("node", "root", "first").distinct())
     if not open_.isEmpty():
-        named = open_.select("node").distinct()
-        sigs = rowwise.join(small(named, named.count()), "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig"))
-        full = open_.join(sigs, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        # every pair of a bucket's blocks is one task's work; each member goes to as many as there are blocks
-        full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        full = full.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "sig")
+        group = components(open_.select(F.col("node").alias("a"), F.col("first").alias("b")))
+        m = open_.select("node", "root").distinct().join(group.withColumnRenamed("root", "group"), "node")
+        blocks = m.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        m = m.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        # every two blocks of a group meet in one call; each member goes to as many as there are blocks
+        m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        m = m.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+        mixed = m.groupBy("group", "i", "j").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        m = stored(m.join(mixed.select("group", "i", "j"), ["group", "i", "j"]))
 
         def compare(p: pd.DataFrame) -> pd.DataFrame:
-            p = p.sort_values(["key", "i", "j", "node"], ignore_index=True)
-            m = np.frombuffer(b"".join(p["sig"]), np.uint16).reshape(len(p), -1)
-            root = np.unique(np.array([bytes(x).hex() for x in p["root"]]), return_inverse=True)[1]
-            part = p[["key", "i", "j"]].to_numpy()
-            cut = np.flatnonzero((part[1:] != part[:-1]).any(axis=1)) + 1
-            a, b = [], []
+            p = p.sort_values(["group", "i", "j", "own", "node"], ignore_index=True)
+            part = [(bytes(g), i, j) for g, i, j in zip(p["group"], p["i"], p["j"])]
+            cut = [k for k in range(1, len(part)) if part[k] != part[k - 1]]
+            root, a, b = np.array([bytes(x).hex() for x in p["root"]]), [], []
             for lo, hi in zip([0, *cut], [*cut, len(p)]):
-                for i in range(lo, hi - 1):
-                    alike = np.flatnonzero(((m[i + 1 : hi] == m[i]).sum(1) >= least_common) & (root[i + 1 : hi] != root[i])) + i + 1
-                    a += [i] * len(alike)
-                    b += alike.tolist()
+                found = connect(shingles(list(p["text"].iloc[lo:hi]), width), root[lo:hi], p["own"].to_numpy()[lo:hi], similar)
+                a += [lo + x for x, _ in found]
+                b += [lo + y for _, y in found]
             return pd.DataFrame({"a": p["node"].to_numpy()[a], "b": p["node"].to_numpy()[b]})
 
-        # many small buckets go to one call: about GROUP_ROWS rows, or the two blocks that meet
-        groups = max(1, -(-full.count() // GROUP_ROWS))
-        more = full.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)).alias("g")).applyInPandas(compare, "a binary, b binary")
-        more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        done = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        more = stored(_verify(stored(more.join(done, ["a", "b"], "left_anti")), texts, similar, width))
+        # many small groups go to one call: about GROUP_ROWS texts, or the two blocks that meet
+        calls = max(1, -(-m.count() // GROUP_ROWS))
+        m = m.join(texts, "node").withColumn("call", F.pmod(F.xxhash64("group", "i", "j"), F.lit(calls)))
+        more = stored(m.groupBy("call").applyInPandas(compare, "a binary, b binary").distinct())
         if not more.isEmpty():
             links = links.union(more)
             of = components(links)
