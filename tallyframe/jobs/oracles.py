@@ -123,7 +123,7 @@ ranked AS (SELECT slug, report_year, kind, page_index, 2 AS place FROM candidate
   UNION ALL SELECT slug, report_year, 'balance', page_index, 0 FROM pages0 WHERE page_index = 5 AND slug LIKE '%3'),
 p0 AS (SELECT slug, report_year, kind, page_index FROM ranked QUALIFY row_number() OVER (PARTITION BY slug, report_year, kind ORDER BY place, page_index) = 1),
 hits AS (SELECT slug, report_year, 'balance' AS kind, page_index FROM lowp WHERE contains(low, 'total assets') AND ({_any(['total equity and liabilities', 'total liabilities and equity', 'total liabilities and shareholders'])} OR contains(low, 'total equity') AND contains(low, 'total liabilities'))
-    AND NOT EXISTS (FROM ranked r WHERE r.slug = lowp.slug AND r.report_year = lowp.report_year AND r.kind = 'balance' AND place = 0)
+    AND NOT EXISTS (SELECT 1 FROM ranked r WHERE r.slug = lowp.slug AND r.report_year = lowp.report_year AND r.kind = 'balance' AND place = 0)
   UNION ALL SELECT slug, report_year, 'cashflow', page_index FROM lowp WHERE contains(low, 'operating activities') AND contains(low, 'investing activities') AND contains(low, 'financing activities') AND {_any(ENDING_CASH)}),
 near AS (SELECT h.slug, h.report_year, h.kind, h.page_index AS snapped FROM hits h LEFT JOIN p0 i ON i.slug = h.slug AND i.report_year = h.report_year AND i.kind = 'income'
   QUALIFY row_number() OVER (PARTITION BY h.slug, h.report_year, h.kind ORDER BY coalesce(abs(h.page_index - i.page_index), 0), h.page_index) = 1),
@@ -154,19 +154,19 @@ def _type(url: str) -> str:
 CATALOG = f"""links AS ({_given(derive.FILING_LINKS)}),
 d0 AS (SELECT slug, CAST(page_ord % 20 + 2000 AS INT) AS year, CASE WHEN page_ord % 24 = 11 THEN 'https://other.test/f' || page_ord ELSE href END AS url FROM links WHERE page_ord % 12 IN (0, 1) OR page_ord % 24 = 11),
 disc AS (SELECT slug, year, min(url) AS url FROM d0 GROUP BY ALL),
-seen AS (SELECT slug, href AS url, min(page_ord) AS at FROM links WHERE slug NOT LIKE 'm.%' AND regexp_matches(href, '(?i)\\.pdf(\\?|#|$)') AND contains(lower(regexp_extract(href, '://([^/?#]*)', 1)), slug) GROUP BY ALL),
+seen AS (SELECT slug, href AS url, min(page_ord) AS place FROM links WHERE slug NOT LIKE 'm.%' AND regexp_matches(href, '(?i)\\.pdf(\\?|#|$)') AND contains(lower(regexp_extract(href, '://([^/?#]*)', 1)), slug) GROUP BY ALL),
 more AS (SELECT slug, url, min(year) AS key_year FROM disc WHERE slug NOT LIKE 'm.%' GROUP BY ALL HAVING (slug, url) NOT IN (SELECT (slug, url) FROM seen)),
-every AS (SELECT slug, url, {_title('url')} AS title, {_type('url')} AS type, {_year(_title('url'))} AS year, false AS used, 0 AS part, at FROM seen
+every AS (SELECT slug, url, {_title('url')} AS title, {_type('url')} AS type, {_year(_title('url'))} AS year, false AS used, 0 AS part, place FROM seen
   UNION ALL SELECT slug, url, {_title('url')}, {_type('url')}, coalesce({_year(_title('url'))}, nullif(key_year, 0)), true, 1, 0 FROM more),
-catalog AS (SELECT slug, year, type, title, url, used, row_number() OVER (PARTITION BY slug ORDER BY coalesce(year, 0) DESC, lower(type), part, at, url) - 1 AS ord FROM every),
+catalog AS (SELECT slug, year, type, title, url, used, row_number() OVER (PARTITION BY slug ORDER BY coalesce(year, 0) DESC, lower(type), part, place, url) - 1 AS ord FROM every),
 chosen AS (SELECT slug, year, url FROM catalog WHERE year <> 0 AND type IN ('Annual Report', 'Financial Statements') QUALIFY row_number() OVER (PARTITION BY slug, year ORDER BY type, ord) = 1),
-marked AS (SELECT c.* REPLACE (c.used OR EXISTS (FROM disc d WHERE d.slug = c.slug AND d.url = c.url) AS used) FROM catalog c)"""
+marked AS (SELECT c.* REPLACE (c.used OR EXISTS (SELECT 1 FROM disc d WHERE d.slug = c.slug AND d.url = c.url) AS used) FROM catalog c)"""
 
 _LABEL = """CASE p_partkey % 8 WHEN 0 THEN n || ' expenses (D.2)' WHEN 1 THEN 'Increase/decrease in ' || n || 's' WHEN 2 THEN n || '1 for the year' WHEN 3 THEN 'Net cash generated from ' || n
   WHEN 4 THEN 'Profit (loss) on ' || n || ', (b.3)' WHEN 5 THEN 'Income taxes  of ' || n WHEN 6 THEN 'Total Revenues' ELSE n || ' Income and expenses' END"""
 REPLIES = """rep AS (SELECT o_orderkey AS n, CAST(CAST(floor(CAST(o_totalprice AS DECIMAL(18,2))) AS BIGINT) AS VARCHAR) AS v, o_orderkey % 11 = 0 AS bad, o_orderkey % 5 = 0 AS short FROM orders),
 parsed AS (SELECT 'r' || n AS slug, CASE WHEN bad THEN '' ELSE '2020,2019' END AS periods,
-  CASE WHEN bad THEN '' ELSE 'Revenue:line:' || v || ',' || CASE WHEN short OR n % 7 = 0 THEN '-' ELSE n END || ';Assets:section:;Tax:total:-,2' END AS figures, CASE WHEN bad THEN 0 ELSE 1 + CAST(short AS INT) END AS n_mismatched FROM rep)"""
+  CASE WHEN bad THEN '' ELSE 'Revenue:line:' || v || ',' || CASE WHEN short OR n % 7 = 0 THEN '-' ELSE CAST(n AS VARCHAR) END || ';Assets:section:;Tax:total:-,2' END AS figures, CASE WHEN bad THEN 0 ELSE 1 + CAST(short AS INT) END AS n_mismatched FROM rep)"""
 
 _symbol = "CASE c_custkey % 6 " + " ".join(f"WHEN {i} THEN '{CURRENCY_SYMBOLS.get(c, c)}'" for i, c in enumerate(("EUR", "DKK", "USD", "GBP", "CHF", "SEK"))) + " END"
 
