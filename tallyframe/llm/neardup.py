@@ -142,11 +142,11 @@ def connect(shingled: tuple[np.ndarray, np.ndarray, np.ndarray], root: np.ndarra
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """The class of every row of docs (doc_id, text): doc_id, class_id, node, links.
+    """The class of every row of docs (doc_id, text): doc_id, class_id, node, class_node, links.
 
     Two texts are linked if the probability Jaccard of their shingles of `width` words, weighted by how often they
-    occur, is `similar` at least; a class is what links connect, class_id the least doc_id in it. node is a digest of
-    the text (equal texts are one node) and links the number of verified links of that node with other texts: enough to
+    occur, is `similar` at least; a class is what links connect, class_id the least doc_id in it, class_node
+    its least node (classes may share an id that is repeated with different texts, never a node). node is a digest of the text (equal texts are one node) and links the number of verified links of that node with other texts: enough to
     connect its class, not all that there are. Texts without words are alike only if equal; a null text is in a class
     of its own (node null). Repeated rows are rows of one class; a class without any id has none; other columns are not read.
 
@@ -211,17 +211,16 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, width: int = WIDT
     labelled = rows_of.join(of, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     least = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     out = labelled.join(least, "root", "left")
-    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "node", "links")
+    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "node", F.col("root").alias("class_node"), "links")
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """One row of each class of near_duplicates(docs), with all columns: of the least doc_id (ids before null ones;
     of repeated rows one stays, others of equal id and different text count by the digest of their text). Rows with null
     text all stay."""
-    found = stored(near_duplicates(docs, **options).where("node is not null").select("doc_id", "class_id", "node"))
-    per = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("class_id").alias("class_id"), F.count("*").alias("n"))
+    found = stored(near_duplicates(docs, **options).where("node is not null").select("doc_id", "class_node", "node"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
-    stay = per.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("node")).alias("nameless")).agg(F.min(order).alias("x")).select("x.doc_id", "x.node")
+    stay = found.groupBy("class_node").agg(F.min(order).alias("x")).select("x.doc_id", "x.node")
     # rows to drop: whose (doc_id, node) isn't to stay; few beside those that stay, so they are what is joined
     stay = stay.select(F.col("node").alias("k_node"), F.col("doc_id").alias("k_id"))
     go = found.select("doc_id", "node").distinct().join(stay, F.col("node").eqNullSafe(F.col("k_node")) & F.col("doc_id").eqNullSafe(F.col("k_id")), "left_anti")
