@@ -33,8 +33,10 @@ def plain(df):
     """A pandas frame's rows as sorted tuples of comparable values."""
     import decimal
 
+    import pandas as pd
+
     def value(v):
-        if v is None or v != v:
+        if v is None or pd.isna(v):
             return None
         if hasattr(v, "item"):
             v = v.item()
