@@ -46,10 +46,11 @@ def canon_key(label: Column) -> Column:
     k = F.lower(label)
     for pattern, to in KEY_REWRITES:
         k = F.regexp_replace(k, pattern, to)
+    # each step names the one before once only, as Spark works a repeated expression out again
     s = F.array_join(F.transform(F.split(F.trim(k), " ", -1), singular), " ")
     for name, key in KEY_ALIAS.items():
-        s = F.when(s == name, key).otherwise(s)
-    return F.when(s == "", F.lower(strip(label))).otherwise(s)
+        s = F.regexp_replace(s, f"^{name}$", key)
+    return F.coalesce(F.get(F.filter(F.array(s, F.lower(strip(label))), lambda x: x != ""), F.lit(0)), strip(label))
 
 
 def clean_label(label: Column) -> Column:

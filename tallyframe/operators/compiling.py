@@ -33,25 +33,25 @@ def row_keys(reports: DataFrame) -> DataFrame:
     return r.withColumn("keys", F.when(F.col("kind") == "balance", tagged).otherwise(F.transform("base", nth))).drop("base", "totals")
 
 
-def statement_rows(reports: DataFrame, first_only: bool = True) -> DataFrame:
+def statement_rows(reports: DataFrame, first_only: bool = True, carried: str = "periods") -> DataFrame:
     """One row for each row of the statements: slug, report_year, kind, pos, key, label, row_kind, unit, decimals, values,
-    periods. Of rows with one key in one report the first counts (all of them without first_only)."""
-    r = row_keys(reports)
-    r = r.select("slug", "report_year", "kind", "periods", "keys", F.posexplode("rows").alias("pos", "row"))
-    r = r.withColumn("key", F.get("keys", F.col("pos")))
-    if first_only:
-        r = r.where(F.array_position("keys", F.col("key")) == F.col("pos") + 1)
-    return r.select("slug", "report_year", "kind", "pos", "key", "row.label", F.col("row.kind").alias("row_kind"), "row.unit", "row.decimals", "row.values", "periods")
+    and the column `carried` of its report. Of rows with one key in one report the first counts (all of them without first_only)."""
+    # whether a row is its key's first is told inside the arrays, and explode_outer keeps Spark from inferring filters on
+    # them: it would push those below the keys and work these out again for each
+    keys = F.col("keys")
+    entry = F.transform(keys, lambda k, i: F.struct(i.alias("pos"), k.alias("key"), F.get("rows", i).alias("row"), (F.array_position(keys, k) == i + 1).alias("first")))
+    r = row_keys(reports).select("slug", "report_year", "kind", carried, F.explode_outer(entry).alias("e")).where("e.first" if first_only else "e.pos is not null")
+    return r.select("slug", "report_year", "kind", "e.pos", "e.key", "e.row.label", F.col("e.row.kind").alias("row_kind"), "e.row.unit", "e.row.decimals", "e.row.values", carried)
 
 
 def explode_cells(reports: DataFrame, first_only: bool = True) -> DataFrame:
     """Long cells of the statements: one row for each row and period with a year, value null where the row has none. Of
     columns with one year in one report the first counts (all without first_only)."""
-    r = statement_rows(reports, first_only).withColumn("years", F.transform("periods", period_year))
-    r = r.select("*", F.posexplode("years").alias("col", "period_year")).where("period_year is not null")
-    if first_only:
-        r = r.where(F.array_position("years", F.col("period_year")) == F.col("col") + 1)
-    return r.select("slug", "report_year", "kind", "pos", "key", "label", "row_kind", "col", "period_year", F.get("values", F.col("col")).alias("value"))
+    years = F.transform("periods", period_year)
+    columns = F.transform("years", lambda y, i: F.struct(i.alias("col"), y.alias("period_year"), (F.array_position("years", y) == i + 1).alias("first")))
+    r = statement_rows(reports.withColumn("years", years), first_only, "years")
+    r = r.withColumn("c", F.explode_outer(columns)).where("c.first" if first_only else "c.period_year is not null")
+    return r.select("slug", "report_year", "kind", "pos", "key", "label", "row_kind", "c.col", "c.period_year", F.get("values", F.col("c.col")).alias("value"))
 
 
 def statement_years(reports: DataFrame) -> DataFrame:
@@ -89,15 +89,40 @@ def compile_statements(reports: DataFrame) -> DataFrame:
     Each row of `templates` meets each year of its kind; the newest report that has a figure wins, restated tells that
     reports differ. On income statements costs are negative whatever sign a report gave them. A statement without any
     year has rows with a null period_year.
+
+    The same as joining templates, statement_years and newest_values, but in one pass: cells are shuffled once, by company
+    and kind, and every later step keeps that partitioning (a statement is small; companies spread evenly). A report's
+    own entry, without a key, stands for its years and for its being the newest.
     """
-    grid = templates(reports).join(statement_years(reports), ["slug", "kind"], "left")
-    c = grid.join(newest_values(reports), ["slug", "kind", "key", "period_year"], "left")
-    income = F.col("kind") == "income"
-    as_cost = income & is_expense_label(F.col("label"))
-    restated = F.when(as_cost, F.col("differs_as_cost")).otherwise(F.col("differs"))
-    shown = clean_label(F.col("label"))
-    value = F.when(income & is_expense_label(shown) & (F.col("value") > 0), -F.col("value")).otherwise(F.col("value"))
-    return c.select("slug", "kind", "ord", "key", shown.alias("label"), "row_kind", "unit", "decimals", "period_year", value.alias("value"), F.coalesce(restated, F.lit(False)).alias("restated"), "historical")
+    keys = F.col("keys")
+    own = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("key"), F.get("rows", F.lit(-1)).alias("row"), F.lit(True).alias("first")))
+    entry = F.transform(keys, lambda k, i: F.struct(i.alias("pos"), k.alias("key"), F.get("rows", i).alias("row"), (F.array_position(keys, k) == i + 1).alias("first")))
+    r = row_keys(reports.withColumn("years", F.transform("periods", period_year)))
+    r = r.select("slug", "report_year", "kind", "years", F.explode_outer(F.concat(own, entry)).alias("e")).where("e.first")
+    columns = F.transform("years", lambda y, i: F.struct(i.alias("col"), y.alias("period_year"), (F.array_position("years", y) == i + 1).alias("first")))
+    r = r.withColumn("c", F.explode_outer(columns)).where(F.coalesce("c.first", F.lit(True)))
+    top = F.struct("report_year", (-F.col("e.pos")).alias("up"), "e.row.label", F.col("e.row.kind").alias("row_kind"), "e.row.unit", "e.row.decimals")
+    cells = r.select("slug", "kind", "e.key", "report_year", "c.period_year", F.get("e.row.values", F.col("c.col")).alias("value"), top.alias("t")).repartition("slug", "kind")
+    cost = -F.abs("value")
+    per = cells.groupBy("slug", "kind", "key", "period_year").agg(
+        F.max_by("value", F.when(F.col("value").isNotNull(), F.col("report_year"))).alias("value"), (F.min("value") != F.max("value")).alias("differs"),
+        (F.min(cost) != F.max(cost)).alias("differs_as_cost"), F.max("t").alias("t"),
+    )
+    statement = Window.partitionBy("slug", "kind")
+    per = per.withColumn("newest", F.max("t.report_year").over(statement)).withColumn("years", F.collect_set("period_year").over(statement)).where("key is not null")
+    one = F.when(F.col("period_year").isNotNull(), F.struct("period_year", F.struct("value", "differs", "differs_as_cost")))
+    g = per.groupBy("slug", "kind", "key").agg(F.max("t").alias("t"), F.first("newest").alias("newest"), F.first("years").alias("years"), F.map_from_entries(F.collect_list(one)).alias("cell"))
+    g = g.withColumn("ord", F.row_number().over(statement.orderBy(F.desc("t.report_year"), F.desc("t.up"))) - 1)
+    g = g.withColumn("period_year", F.explode_outer("years")).withColumn("x", F.try_element_at("cell", F.col("period_year")))
+    income, label, value = F.col("kind") == "income", F.col("t.label"), F.col("x.value")
+    shown = clean_label(label)
+    restated = F.when(income & is_expense_label(label), F.col("x.differs_as_cost")).otherwise(F.col("x.differs"))
+    old = (F.col("t.row_kind") != "section") & (F.col("t.report_year") < F.col("newest"))
+    return g.select(
+        "slug", "kind", "ord", "key", shown.alias("label"), "t.row_kind", "t.unit", "t.decimals", "period_year",
+        F.when(income & (value > 0) & is_expense_label(shown), -value).otherwise(value).alias("value"),
+        F.coalesce(restated, F.lit(False)).alias("restated"), F.coalesce(old, F.lit(True)).alias("historical"),
+    )
 
 
 def latest_periods(compiled: DataFrame, n: int = 10) -> DataFrame:

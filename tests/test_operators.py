@@ -53,6 +53,16 @@ def test_order_of_rows_does_not_matter(spark):
     assert by(compiling.compile_statements(reports(spark, *rs).repartition(3)), *["key", "period_year", "value", "restated", "ord"]) == want
 
 
+def test_one_pass_equals_joins(spark):
+    from tallyframe.jobs import derive
+
+    r = derive.reports(spark, "/root/testdata/sf0.001")
+    grid = compiling.templates(r).join(compiling.statement_years(r), ["slug", "kind"], "left")
+    joined = grid.join(compiling.newest_values(r), ["slug", "kind", "key", "period_year"], "left").select("slug", "kind", "ord", "key", "period_year", F.abs("value").alias("v"), "historical")
+    one = compiling.compile_statements(r).select("slug", "kind", "ord", "key", "period_year", F.abs("value").alias("v"), "historical")
+    assert one.exceptAll(joined).count() == 0 and joined.exceptAll(one).count() == 0
+
+
 def test_validation(spark):
     total = lambda a, b: [row("Total assets", "total", [a]), row("Total equity", "total", [b / 2]), row("Total liabilities", "total", [b / 2]), row("Cash", "line", [5.0])]
     r = reports(spark, (2020, "balance", ["2020"], total(1000.0, 900.0)), (2020, "income", ["2020"], [row("Sales", "line", [7.0]), row("Net income", "total", [3.0])]), (2020, "cashflow", ["2020"], [row("Net profit", "line", [3.5]), row("Cash dividends paid at end", "line", [50.0])]))
