@@ -41,7 +41,8 @@ def is_pdf_href(href: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+    """In lower case, without user and port; null without one. Lenient: a bad escape in the path doesn't matter."""
+    return F.lower(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
 def on_allowed_host(url: Column, hosts: Column) -> Column:

@@ -229,5 +229,12 @@ FROM (SELECT *, list_filter(string_split_regex(regexp_replace(lower(n), '[^a-z0-
 }
 
 
+#: Columns that are INT in Spark, where DuckDB counts and measures in BIGINT.
+INTS = {
+    "row_keys": "pos", "statement_cells": "pos", "compiled": "ord", "newest_periods": "ord", "subtotal_notes": "ord", "cleaned_pages": "chars", "candidate_pages": "rank", "statement_text": "chars", "page_links": "ord",
+    "filing_catalog": "ord",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return SQL
+    return SQL | {name: f"SELECT * REPLACE (CAST({column} AS INTEGER) AS {column}) FROM ({SQL[name]})" for name, column in INTS.items()}
