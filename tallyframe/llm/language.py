@@ -84,16 +84,19 @@ def _counts(texts: pd.Series) -> pd.Series:
 
 def fit_language(docs: DataFrame, per_language: int = 4, fit_rows: int = FIT_ROWS, fit_per_language: int = FIT_PER_LANGUAGE, slack: float = 0.35) -> LanguageModel:
     """Centroids from docs (doc_id, text, lang): up to fit_per_language labelled texts of each language, fit_rows in all,
-    the first by a hash of doc_id. Rows without a letter or lang are left out.
+    the first by a hash of doc_id (chosen without reading texts; of repeated ids one text). Rows without a letter, doc_id
+    or lang are left out.
 
     Each language's vectors are clustered into `per_language` centroids. A centroid rejects what is further from it than
     `slack` times the cosine that one in a hundred of its own texts stays below.
     """
-    d = docs.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).select("doc_id", "text", "lang")
+    d = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang")
     n = d.select("lang").distinct().count()
     most = max(1, min(fit_per_language, fit_rows // max(1, n)))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    rows = d.withColumn("n", first).where(F.col("n") <= most).select("lang", F.pandas_udf(_counts, "binary")("text").alias("v")).orderBy("lang", "v").collect()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = d.withColumn("n", first).where(F.col("n") <= most).select("doc_id", "lang").distinct().orderBy("lang", "doc_id").limit(fit_rows)
+    texts = docs.where(F.col("text").rlike("\\p{L}")).select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = texts.select("lang", F.pandas_udf(_counts, "binary")("text").alias("v")).orderBy("lang", "v").collect()
     if not rows:
         return LanguageModel([], np.zeros((0, BINS), np.float32), np.ones(BINS, np.float32), np.zeros(0))
     counts = np.stack([np.frombuffer(r.v, np.float32) for r in rows])
@@ -124,7 +127,7 @@ def detect_language(model: LanguageModel, text: Column) -> Column:
             texts = [t if isinstance(t, str) and LETTER.search(t) else None for t in batch]
             lang, score, far = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
             has = [i for i, t in enumerate(texts) if t is not None and model.languages]
-            for lo, hi in slices([texts[i] for i in has], 1 << 20):
+            for lo, hi in slices([texts[i] for i in has]):
                 for a in range(lo, hi, 512):
                     at = has[a : min(a + 512, hi)]
                     cos = unit_vectors(ngram_counts([texts[i] for i in at]), model.idf) @ model.centroids.T

@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes of text that are hashed at once; a longer text is cut between words.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WORD = np.zeros(256, bool)
