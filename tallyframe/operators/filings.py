@@ -95,7 +95,7 @@ def mark_used(filings: DataFrame, discovered: DataFrame) -> DataFrame:
 def filings_by_type(filings: DataFrame) -> DataFrame:
     """slug, type ("All" for a company's total), n, n_used; types by falling count within a company."""
     r = filings.rollup("slug", "type").agg(F.count("*").alias("n"), F.sum(F.col("used").cast("int")).alias("n_used"), F.grouping("type").alias("total"), F.grouping("slug").alias("g"))
-    return r.where("g = 0").select("slug", F.when(F.col("total") == 1, "All").otherwise(F.col("type")).alias("type"), "n", "n_used")
+    return r.where("g = 0").select("slug", F.when(F.col("total") == 1, "All").otherwise(F.col("type")).alias("type"), "n", "n_used").orderBy("slug", F.desc("n"), "type")
 
 
 def merge_catalog(old: DataFrame, new: DataFrame, scraped: DataFrame) -> DataFrame:
