@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space as in report texts: Java's \s and the Unicode blanks.
 BLANK = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+BLANKS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: ASCII word boundaries, whatever letters stand around.
 BEGIN, END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 #: Rewritings of a lower-case label, in order, that make wordings of one line item equal.
@@ -27,7 +28,7 @@ CURRENCY_SYMBOLS = {"EUR": "€", "DKK": "kr", "USD": "$", "GBP": "£", "CHF": "
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(x, F.lit(BLANKS))
 
 
 def singular(word: Column) -> Column:

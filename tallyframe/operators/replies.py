@@ -13,11 +13,10 @@ REPLY = "struct<periods:array<string>,rows:array<struct<label:string,kind:string
 
 def reply_json(reply: Column) -> Column:
     """The JSON in a reply: without a code fence, from the first { to the last }; null if that is no JSON."""
-    x = strip(reply)
-    x = strip(F.regexp_replace(F.regexp_replace(x, "(?i)^```(?:json)?", ""), "```$", ""))
-    first, last = F.instr(x, "{"), F.length(x) - F.instr(F.reverse(x), "}") + 1
-    cut = F.when((first > 0) & x.contains("}"), F.substring(x, first, F.greatest(last - first + 1, F.lit(0)))).otherwise(x)
-    return F.when(F.try_parse_json(cut).isNotNull(), cut)
+    bare = strip(F.regexp_replace(F.regexp_replace(strip(reply), "(?i)^```(?:json)?", ""), "```$", ""))
+    cut = F.when(reply.contains("{") & reply.contains("}"), F.regexp_extract(reply, r"(?s)\{.*\}", 0)).otherwise(bare)
+    # an array of one, so that the cut is worked out once
+    return F.get(F.filter(F.array(cut), lambda x: F.try_parse_json(x).isNotNull()), F.lit(0))
 
 
 def fit_values(values: Column, n: Column) -> Column:
