@@ -113,6 +113,12 @@ def test_replies(spark):
     assert got == {"a": (["2020", "2019"], [("R", [1.0, None]), ("S", []), ("T", [1.0, None])], 2), "b": ([], [], 0), "c": ([], [], 0), "d": ([], [], 0), "e": ([], [("R", [1.0, 2.0])], 0)}
 
 
+def test_reply_json(spark):
+    cases = {"": None, "} {": None, "{}": "{}", '```json\n{"a":1}\n```': '{"a":1}', 'So {"a":{\n"b":2}}\u00a0. Done': '{"a":{\n"b":2}}', "{a} {b": None, "\u3000```JSON [1,2]```\n": "[1,2]", "{": None, '{"a":1': None}
+    df = spark.createDataFrame([(t,) for t in [*cases, None]], "t string")
+    assert {r.t: r.j for r in df.select("t", replies.reply_json(F.col("t")).alias("j")).collect()} == cases | {None: None}
+
+
 def test_boilerplate_and_english(spark):
     pages = [("s", 2000, i, f"Header | page {i}\nbody text {i}  Header") for i in range(8)]
     df = spark.createDataFrame(pages, "slug string, report_year int, page_index int, text string")
