@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,14 @@ from tallyframe.llm.textops import slices
 BINS = 4096
 #: Labelled texts to fit on at most, of all languages together and of one language.
 FIT_ROWS, FIT_PER_LANGUAGE = 4000, 500
+#: Classes of length end before so many counted bytes (the last has no end); characters of the pieces that are cut from
+#: each text to fit on, so that classes of short texts are known too.
+LENGTHS, PIECES = 2 ** np.arange(3, 13), (6, 12, 24, 48, 96, 192, 384)
+#: What share of the texts of a class stays below the cosine that its least cosine is set by, where pieces are in the class
+#: (they are often of a key, a table or a licence, and so less like their language than whole texts) and where not.
+PIECE_SHARE, WHOLE_SHARE = 0.05, 0.01
+#: A centroid of a smaller share of its language's texts is left out: such are texts labelled wrongly.
+LEAST_SHARE = 0.01
 LETTER = regex.compile(r"\p{L}")
 _LETTER_BYTE = np.zeros(256, bool)
 _LETTER_BYTE[[*range(97, 123), *range(128, 256)]] = True
@@ -27,7 +36,7 @@ class LanguageModel:
     languages: list[str]  # of each centroid
     centroids: np.ndarray  # unit rows
     idf: np.ndarray
-    least: np.ndarray  # cosine below which a centroid rejects
+    least: np.ndarray  # cosine below which a centroid rejects (centroids x classes of length)
 
 
 def ngram_counts(texts: list[str]) -> np.ndarray:
@@ -75,20 +84,57 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def _counts(texts: pd.Series) -> pd.Series:
-    out = []
+def length_class(counts: np.ndarray) -> np.ndarray:
+    return np.digitize(counts.sum(axis=1) // 3, LENGTHS)
+
+
+def pieces(text: str) -> list[str]:
+    """A part of each length of PIECES that is shorter than the text, from a place that a hash of the text chooses."""
+    at = zlib.crc32(text.encode("utf-8", "replace"))
+    return [text[at % (len(text) - n) :][:n] for n in PIECES if n < len(text)]
+
+
+def _counts(texts: pd.Series) -> pd.DataFrame:
+    """For each text and its pieces: where counts are not 0 (row * BINS + position), and how often they occur."""
+    at, times = [], []
     for lo, hi in slices(list(texts)):
-        out += [row.astype(np.float32).tobytes() for row in ngram_counts(list(texts[lo:hi]))]
-    return pd.Series(out)
+        for t in texts[lo:hi]:
+            flat = ngram_counts([t, *pieces(t)]).ravel()
+            where = np.flatnonzero(flat)
+            at.append(where.astype(np.int32).tobytes())
+            times.append(flat[where].astype(np.int32).tobytes())
+    return pd.DataFrame({"at": at, "times": times})
+
+
+def _dense(at: bytes, times: bytes) -> np.ndarray:
+    out = np.zeros((1 + len(PIECES)) * BINS, np.float32)
+    out[np.frombuffer(at, np.int32)] = np.frombuffer(times, np.int32)
+    return out.reshape(-1, BINS)
 
 
-def fit_language(docs: DataFrame, per_language: int = 4, fit_rows: int = FIT_ROWS, fit_per_language: int = FIT_PER_LANGUAGE, slack: float = 0.35) -> LanguageModel:
+def _centroids(counts: np.ndarray, lang: np.ndarray, per_language: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The weights of positions, and each language's centroids."""
+    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
+    out = {}
+    for name in sorted(set(lang)):
+        x = unit_vectors(counts[lang == name], idf)
+        c = cluster(x, per_language)
+        size = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
+        out[str(name)] = c[size >= min(size.max(), LEAST_SHARE * len(x))]
+    return idf, out
+
+
+def fit_language(docs: DataFrame, per_language: int = 4, fit_rows: int = FIT_ROWS, fit_per_language: int = FIT_PER_LANGUAGE, slack: float = 0.8) -> LanguageModel:
     """Centroids from docs (doc_id, text, lang): up to fit_per_language labelled texts of each language, fit_rows in all,
     the first by a hash of doc_id (chosen without reading texts; of repeated ids one text). Rows without a letter, doc_id
     or lang are left out.
 
-    Each language's vectors are clustered into `per_language` centroids. A centroid rejects what is further from it than
-    `slack` times the cosine that one in a hundred of its own texts stays below.
+    Each language's vectors are clustered into `per_language` centroids, of which those of too few texts are left out. A
+    centroid rejects what is further from it than `slack` times the cosine that one in a hundred of its language's texts
+    of that class of length stays below (one in twenty where pieces count). These cosines are those of the texts of
+    either half, and of pieces of them, to the centroids learnt from the other half, without what is nearer to another
+    language and so judged by that one's cosines. A class that none of them is of takes the next shorter one's cosine;
+    no class has a higher one than a longer class.
     """
     d = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang")
     n = d.select("lang").distinct().count()
@@ -96,21 +142,33 @@ def fit_language(docs: DataFrame, per_language: int = 4, fit_rows: int = FIT_ROW
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = d.withColumn("n", first).where(F.col("n") <= most).select("doc_id", "lang").distinct().orderBy("lang", "doc_id").limit(fit_rows)
     texts = docs.where(F.col("text").rlike("\\p{L}")).select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    rows = texts.select("lang", F.pandas_udf(_counts, "binary")("text").alias("v")).orderBy("lang", "v").collect()
+    rows = texts.select("lang", F.pandas_udf(_counts, "at binary, times binary")("text").alias("v")).select("lang", "v.*").orderBy("lang", "at", "times").collect()
+    classes = len(LENGTHS) + 1
     if not rows:
-        return LanguageModel([], np.zeros((0, BINS), np.float32), np.ones(BINS, np.float32), np.zeros(0))
-    counts = np.stack([np.frombuffer(r.v, np.float32) for r in rows])
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
-    x, lang = unit_vectors(counts, idf), np.array([r.lang for r in rows])
-    names, all_c, least = [], [], []
-    for name in sorted(set(lang)):
-        own = x[lang == name]
-        c = cluster(own, per_language)
-        near = (own @ c.T).max(axis=1)
-        names += [str(name)] * len(c)
-        all_c.append(c)
-        least += [slack * float(np.quantile(near, 0.01))] * len(c)
-    return LanguageModel(names, np.concatenate(all_c), idf, np.array(least))
+        return LanguageModel([], np.zeros((0, BINS), np.float32), np.ones(BINS, np.float32), np.zeros((0, classes)))
+    counts, lang = np.stack([_dense(r.at, r.times)[0] for r in rows]), np.array([r.lang for r in rows])
+    idf, own = _centroids(counts, lang, per_language)
+    half = np.arange(len(rows)) % 2
+    others = [_centroids(counts[half != k], lang[half != k], per_language) if (half != k).any() else (idf, own) for k in (0, 1)]
+    near: dict[str, list] = {name: [[] for _ in range(classes)] for name in own}
+    for r, k in zip(rows, half):
+        i, learnt = others[k] if r.lang in others[k][1] else (idf, own)
+        x = _dense(r.at, r.times)
+        x = x[x.any(axis=1)]
+        v = unit_vectors(x, i)
+        cos = np.stack([(v @ c.T).max(axis=1) for c in learnt.values()])
+        mine = list(learnt).index(r.lang)
+        for j, value, best in zip(length_class(x), cos[mine], np.argmax(cos, axis=0)):
+            if best == mine:
+                near[r.lang][j].append(value)
+    least, short = [], int(np.digitize(max(PIECES), LENGTHS))
+    for name, c in own.items():
+        q = [float(np.quantile(v, PIECE_SHARE if j <= short else WHOLE_SHARE)) if v else None for j, v in enumerate(near[name])]
+        for j in range(classes):
+            if q[j] is None:
+                q[j] = q[j - 1] if j else 0.0
+        least += [slack * np.minimum.accumulate(q[::-1])[::-1]] * len(c)
+    return LanguageModel([name for name, c in own.items() for _ in c], np.concatenate(list(own.values())), idf, np.array(least))
 
 
 def detect_language(model: LanguageModel, text: Column) -> Column:
@@ -118,7 +176,8 @@ def detect_language(model: LanguageModel, text: Column) -> Column:
 
     lang_pred is the language of the centroid with the highest cosine (ties: the first in order of name), score that
     cosine from 0 to 1, rejected whether it is too far from that centroid. A text that is null or without a letter is
-    "und", 0 and rejected, as is everything under a model that learnt from no rows.
+    "und", 0 and rejected, as is everything under a model that learnt from no rows. Of a few dozen letters little can be
+    told, so short texts are seldom rejected.
     """
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -130,10 +189,11 @@ def detect_language(model: LanguageModel, text: Column) -> Column:
             for lo, hi in slices([texts[i] for i in has]):
                 for a in range(lo, hi, 512):
                     at = has[a : min(a + 512, hi)]
-                    cos = unit_vectors(ngram_counts([texts[i] for i in at]), model.idf) @ model.centroids.T
+                    counts = ngram_counts([texts[i] for i in at])
+                    cos = unit_vectors(counts, model.idf) @ model.centroids.T
                     best = np.argmax(cos, axis=1)
                     value = cos[np.arange(len(at)), best]
-                    score[at], far[at] = np.clip(value, 0, 1), value < model.least[best]
+                    score[at], far[at] = np.clip(value, 0, 1), value < model.least[best, length_class(counts)]
                     for i, b in zip(at, best):
                         lang[i] = model.languages[b]
             yield pd.DataFrame({"lang_pred": lang, "score": score, "rejected": far})

@@ -106,6 +106,18 @@ def test_language_odd_texts(spark):
     assert odd.select(language.detect_language(none, F.col("text")).alias("x")).where("x.lang_pred = 'und' and x.rejected").count() == 6
 
 
+def test_language_leave_one_out(spark):
+    """Texts of a language that was left out of the fit are rejected, those of the others are not."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "lang", "text").where(F.col("text").rlike("\\p{L}")).cache()
+    held = Q._crc_mod(3) == 1
+    known = docs.where(~held)
+    out = lambda model, d: d.select(language.detect_language(model, F.col("text"))["rejected"].cast("int").alias("r")).agg(F.avg("r")).first()[0]
+    assert out(language.fit_language(known), docs.where(held)) < 0.015
+    for name in ("de", "en", "es", "fr"):
+        model = language.fit_language(known.where(F.col("lang") != name))
+        assert out(model, docs.where((F.col("lang") == name) & held)) > 0.95, name
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     r = Q.op9_toxicity(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out").toPandas()
