@@ -146,7 +146,9 @@ def fit_language(docs: DataFrame, per_language: int = 4, fit_rows: int = FIT_ROW
     classes = len(LENGTHS) + 1
     if not rows:
         return LanguageModel([], np.zeros((0, BINS), np.float32), np.ones(BINS, np.float32), np.zeros((0, classes)))
-    counts, lang = np.stack([_dense(r.at, r.times)[0] for r in rows]), np.array([r.lang for r in rows])
+    counts, lang = np.zeros((len(rows), BINS), np.float32), np.array([r.lang for r in rows])
+    for x, r in zip(counts, rows):  # copied row by row: a view would keep all pieces of its text in memory
+        x[:] = _dense(r.at, r.times)[0]
     idf, own = _centroids(counts, lang, per_language)
     half = np.arange(len(rows)) % 2
     others = [_centroids(counts[half != k], lang[half != k], per_language) if (half != k).any() else (idf, own) for k in (0, 1)]
