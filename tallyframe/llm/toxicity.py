@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,8 @@ from tallyframe.llm.textops import slices, word_hashes
 BINS = 1 << 18
 #: Labelled texts of one label to fit on at most.
 FIT_PER_LABEL = 5000
+#: Sentences with identity terms that one text to fit on gives counterfactuals for at most.
+PAIRS_PER_TEXT = 20
 #: Identity terms (fixed values): a term may be swapped for any other of its line.
 IDENTITY_TERMS = [
     ["christian", "muslim", "jewish", "hindu", "buddhist", "atheist"],
@@ -110,27 +113,38 @@ def train(features: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, p
     return ToxicityModel(used[keep], w[keep], bias)
 
 
-def _features(texts: pd.Series) -> pd.DataFrame:
-    bins, pairs = [], []
-    texts = [t if isinstance(t, str) else "" for t in texts]
-    for lo, hi in slices(texts):
-        bins += [b.astype(np.int32).tobytes() for b in bins_of(texts[lo:hi])]
-        for t in texts[lo:hi]:
-            both = bins_of([s for pair in swapped(t)[:20] for s in pair])
-            pairs.append([b.astype(np.int32).tobytes() for b in both])
-    return pd.DataFrame({"bins": bins, "pairs": pairs})
+def chosen(pairs: list[tuple[str, str]], most: int) -> list[tuple[str, str]]:
+    """At most so many of a text's pairs, those first by a hash of place and sentence, so from all over the text."""
+    at = sorted(range(len(pairs)), key=lambda i: (zlib.crc32(f"{i} {pairs[i][0]}".encode("utf-8", "replace")), i))
+    return [pairs[i] for i in sorted(at[:most])]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = FIT_PER_LABEL, lam: float = 5.0) -> ToxicityModel:
+def _features(most: int):
+    @F.pandas_udf("bins binary, pairs array<binary>")
+    def features(texts: pd.Series) -> pd.DataFrame:
+        bins, pairs = [], []
+        texts = [t if isinstance(t, str) else "" for t in texts]
+        for lo, hi in slices(texts):
+            bins += [b.astype(np.int32).tobytes() for b in bins_of(texts[lo:hi])]
+            for t in texts[lo:hi]:
+                both = bins_of([s for pair in chosen(swapped(t), most) for s in pair])
+                pairs.append([b.astype(np.int32).tobytes() for b in both])
+        return pd.DataFrame({"bins": bins, "pairs": pairs})
+
+    return features
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = FIT_PER_LABEL, lam: float = 5.0, pairs_per_text: int = PAIRS_PER_TEXT) -> ToxicityModel:
     """A model from docs (doc_id, text) and labels (doc_id, toxic 0 or 1): whole texts of up to per_label rows of each
-    label, the first by a hash of doc_id, weighted so that the labels keep their shares. Up to 20 sentences a text that
-    hold identity terms give counterfactual pairs. Null labels, ids or texts are left out; a doc_id with several labels
-    counts with each."""
+    label, the first by a hash of doc_id (of repeated ids one text), weighted so that the labels keep their shares. Up to
+    pairs_per_text sentences a text that hold identity terms, by a hash over the whole text, give counterfactual pairs.
+    Null labels, ids or texts are left out; a doc_id with several labels counts with each."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").distinct()
     share = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     first = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
     known = known.withColumn("n", first).where(F.col("n") <= per_label).drop("n")
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", F.pandas_udf(_features, "bins binary, pairs array<binary>")("text").alias("x")).select("toxic", "x.*").orderBy("toxic", "bins").collect()
+    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = texts.select("toxic", _features(pairs_per_text)("text").alias("x")).select("toxic", "x.*").orderBy("toxic", "bins").collect()
     y = np.array([r.toxic for r in rows], float)
     n = np.bincount(y.astype(int), minlength=2) if len(y) else np.zeros(2)
     weight = np.array([share[r.toxic] / n[r.toxic] for r in rows])

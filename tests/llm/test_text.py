@@ -149,6 +149,19 @@ def test_toxicity_odd(spark):
     assert docs.select(toxicity.score_toxicity(model, F.col("text")).alias("s")).where("s between 0 and 1").count() == 4
 
 
+def test_toxicity_repeated_ids_and_long_texts(spark, monkeypatch):
+    """A repeated doc_id is fitted on once for each label, and counterfactuals come from all over a long text."""
+    long = " ".join(f"A muslim spoke of thing{i}." for i in range(200))
+    docs = spark.createDataFrame([(1, "scum")] * 50 + [(2, "fine"), (3, long)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "train", lambda *a: a)
+    features, y, weights, pairs, _ = toxicity.fit_toxicity(docs, labels)
+    assert len(features) == 4 and y.tolist() == [0, 0, 0, 1] and weights.tolist() == [1, 1, 1, 1] and len(pairs) == 20
+    first = {tuple(toxicity.bins_of([s])[0].tolist()) for s, _ in toxicity.swapped(long)[:20]}
+    assert sum(tuple(p[0].tolist()) in first for p in pairs) < 10
+    assert len(toxicity.fit_toxicity(docs, labels, pairs_per_text=1000)[3]) == 200
+
+
 def plain_jp(x, y):
     return sum(1 / sum(max(x.get(e, 0) / x[d], y.get(e, 0) / y[d]) for e in {*x, *y}) for d in x if d in y)
 
