@@ -83,9 +83,10 @@ def period_year(period: Column) -> Column:
 
 def format_value(value: Column, unit: Column, decimals: Column, symbol: Column) -> Column:
     """A figure as shown: an em dash for null, grouped, with its currency (none for shares; a blank after "kr", "CHF")."""
-    n = F.coalesce(decimals, F.lit(0))
+    n = F.greatest(F.coalesce(decimals, F.lit(0)), F.lit(0))
     size = F.abs(value)
-    shown = F.coalesce(*[F.when(n == d, F.format_number(F.round(size, d), d)) for d in range(7)])
+    # halves are rounded up for as many decimals as figures have; beyond that as Spark formats them
+    shown = F.coalesce(*[F.when(n == d, F.format_number(F.round(size, d), d)) for d in range(7)], F.call_function("format_number", size, n))
     prefix = F.when(F.coalesce(unit, F.lit("")) == "shares", "").when(F.length(symbol) > 1, F.concat(symbol, F.lit(" "))).otherwise(symbol)
     return F.when(value.isNull(), "—").otherwise(F.concat(F.when(value < 0, "-").otherwise(""), prefix, shown))
 

@@ -33,6 +33,11 @@ LANDMARKS = [
 ]
 #: The ways a cash-flow statement names its last line.
 ENDING_CASH = ["cash and cash equivalents at the end", "cash and cash equivalents at end", "at the end of the period", "at the end of the year", "at end of"]
+#: The last lines of a balance sheet, of which one stands for both of the two below.
+BOTH_SIDES = ["total equity and liabilities", "total liabilities and equity", "total liabilities and shareholders"]
+EITHER_SIDE = ["total equity", "total liabilities"]
+#: The parts of a cash-flow statement.
+ACTIVITIES = ["operating activities", "investing activities", "financing activities"]
 #: Words frequent in English reports.
 ENGLISH_WORDS = ["the", "and", "of", "to", "in", "for", "as", "are", "with", "that", "this", "total", "cash", "income", "assets", "from", "other"]
 
@@ -41,6 +46,10 @@ def contains_any(low: Column, phrases: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [low.contains(p) for p in phrases])
 
 
+def contains_all(low: Column, phrases: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [low.contains(p) for p in phrases])
+
+
 def disqualified(low: Column) -> Column:
     return contains_any(low, DISQUALIFYING)
 
@@ -61,13 +70,12 @@ def heading_of(text: Column) -> Column:
 
 def has_balance_signature(text: Column) -> Column:
     low = F.lower(text)
-    both = low.contains("total equity") & low.contains("total liabilities")
-    return low.contains("total assets") & (contains_any(low, ["total equity and liabilities", "total liabilities and equity", "total liabilities and shareholders"]) | both)
+    return low.contains("total assets") & (contains_any(low, BOTH_SIDES) | contains_all(low, EITHER_SIDE))
 
 
 def has_cashflow_signature(text: Column) -> Column:
     low = F.lower(text)
-    return low.contains("operating activities") & low.contains("investing activities") & low.contains("financing activities") & contains_any(low, ENDING_CASH)
+    return contains_all(low, ACTIVITIES) & contains_any(low, ENDING_CASH)
 
 
 def segments(text: Column) -> Column:

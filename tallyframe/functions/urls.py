@@ -105,13 +105,24 @@ def _absolute(href: str, base: str) -> str | None:
     return urlunsplit((s.scheme, host, quote(s.path or "/", safe=safe), quote(s.query, safe=safe + "?{}`\\"), quote(s.fragment, safe=safe + "?{}\\#")))
 
 
+#: What may stand in a path, a query or a fragment without being encoded.
+_PLAIN = r"[A-Za-z0-9!$%&'()*+,\-./:;=@_~|^\[\]]"
+
+
 def resolve_url(href: Column, base: Column) -> Column:
-    """The absolute URL of a link on a page, or null where there is none. The one function that needs Python."""
+    """The absolute URL of a link on a page, or null where there is none.
+
+    Whole http(s) URLs and paths from a host's root are resolved by built-in expressions where nothing in them has to be
+    encoded, lowered or removed; only other links go to Python, in batches.
+    """
+    tail = rf"/{_PLAIN}*(?:\?{_PLAIN}+)?(?:#{_PLAIN}+)?"
+    origin = F.nullif(F.regexp_extract(base, r"^(https?://[a-z0-9.-]+)(?:[/?#]|$)", 1), F.lit(""))
+    native = F.when(href.rlike(rf"^https?://[a-z0-9.-]+{tail}$") & ~href.rlike(r"/\.{1,2}(?:[/?#]|$)"), href).when(href.rlike(rf"^{tail}$") & ~href.rlike(r"^//|/\.{1,2}(?:[/?#]|$)"), F.concat(origin, href))
 
     def absolute(h: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_absolute(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(h, b)])
 
-    return F.pandas_udf(absolute, "string")(href, base)
+    return F.coalesce(native, F.pandas_udf(absolute, "string")(F.when(native.isNull(), href), base))
 
 
 def search_results(html: Column, most: int = 8) -> Column:

@@ -6,7 +6,7 @@ before, under labels whose wording changes from report to report.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: slug, y, item, amt: what a company's orders of a year came to, by type of part.
@@ -31,6 +31,8 @@ sheet AS (
   SELECT 'income' AS kind, '0' AS rank, 'Revenues' AS label, 'line' AS row_kind, 1.0 AS part, 0 AS wrong UNION ALL
   SELECT 'income', 'z1', 'Cost of sales', 'subtotal', -0.6, 0 UNION ALL
   SELECT 'income', 'z2', 'Net profit', 'total', 0.1, 0 UNION ALL
+  SELECT 'income', 'z3', 'Other income', 'line', 0.01, 0 UNION ALL
+  SELECT 'income', 'z4', 'Other incomes (2)', 'line', 0.02, 0 UNION ALL
   SELECT 'balance', '0', 'Assets', 'section', NULL, 0 UNION ALL
   SELECT 'balance', '1', 'Inventories1', 'line', 0.5, 0 UNION ALL
   SELECT 'balance', '2', 'Other receivables', 'line', 0.25, 0 UNION ALL
@@ -61,8 +63,12 @@ SELECT source AS slug, CAST(2000 + n // 60 AS INT) AS report_year, CAST(n % 60 A
   concat('Annual report | ', source, chr(10), CASE WHEN doc_id % 7 = 0 THEN concat('Consolidated statement of financial position Total assets 12345 total equity and liabilities ', CAST(doc_id AS STRING))
     WHEN doc_id % 7 = 1 THEN 'Consolidated income statement Revenue net sales 1234 gross profit 567 operating profit 89' WHEN doc_id % 7 = 2 THEN 'Consolidated statement of cash flows operating activities 12 investing activities 34 financing activities 56 cash and cash equivalents at the end 78'
     WHEN doc_id % 7 = 3 THEN 'significant accounting policies total assets 55 balance sheet' ELSE '' END, chr(10), text) AS text
-FROM (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM {documents}) AS d
+FROM {numbered} AS d
 """
+#: The same numbers in one step, for an engine on one machine.
+NUMBERED = "(SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM {documents})"
+#: Documents of a source that are numbered together.
+RANGE = 4096
 
 #: Links of filings: slug (of the page's host), page_ord, ord, href.
 FILING_LINKS = """
@@ -76,7 +82,7 @@ FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#
 
 def _sql(spark: SparkSession, sf_dir: str, sql: str, **given: DataFrame) -> DataFrame:
     names = [n for n in ("lineitem", "orders", "customer", "part", "documents", "pages") if "{%s}" % n in sql]
-    return spark.sql(sql.replace("//", "DIV") if "n // 60" in sql else sql, **given, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+    return spark.sql(sql.replace(" // ", " DIV "), **given, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +111,52 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("slug", "report_year", "kind", F.transform("years", lambda y: F.concat(F.lit("12/31/"), y.cast("string"))).alias("periods"), F.transform("all", one).alias("rows"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with n, each source's documents counted from 0 by doc_id: ranges of ids get their first number from the counts
+    before them, so a source of very many documents is numbered in many tasks."""
+    d = docs.select("source", "doc_id", "text", F.floor(F.col("doc_id") / RANGE).alias("range"))
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = d.groupBy("source", "range").agg(F.count("*").alias("n")).select("source", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("source", "range").orderBy("doc_id")
+    return d.withColumn("row", F.row_number().over(inside)).join(starts, ["source", "range"]).select("source", "doc_id", "text", (F.col("start") + F.col("row") - 1).alias("n"))
+
+
 def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, PAGES)
+    return _sql(spark, sf_dir, PAGES, numbered=numbered(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def rowless(reports: DataFrame) -> DataFrame:
+    """reports where some companies' cash-flow statements have periods but no rows."""
+    gone = (F.col("kind") == "cashflow") & F.col("slug").like("%7")
+    return reports.withColumn("rows", F.when(gone, F.array().cast(reports.schema["rows"].dataType)).otherwise(F.col("rows")))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports as a model's replies: JSON between words or in a code fence; some are cut off and so no JSON."""
+    r = reports(spark, sf_dir)
+    json = F.to_json(F.struct("periods", "rows"))
+    told = F.when(F.col("report_year") % 3 == 0, F.concat(F.lit("```json\n"), json, F.lit("\n```"))).when(F.col("report_year") % 3 == 1, F.concat(F.lit("Here: "), json, F.lit(" Done."))).otherwise(json)
+    return r.select("slug", "report_year", "kind", F.when(F.col("slug").like("%3") & (F.col("kind") == "balance"), F.lit('{"periods":["2020"')).otherwise(told).alias("reply"))
+
+
+#: A page of filings as investor pages have them, in links: relative ones, repeated ones, PDFs without text, and on some
+#: pages more than two hundred. n: link's number, href and text: what it says.
+SHELF = """
+SELECT page_id, host, n, CASE WHEN n % 4 = 0 THEN concat('/docs/annual-report-', CAST(2000 + n // 4 % 25 AS STRING), '.pdf') WHEN n % 4 = 1 THEN concat('https://', host, '/docs/annual-report-', CAST(2000 + n // 8 % 25 AS STRING), '.pdf')
+    WHEN n % 4 = 2 THEN concat('/ir/q', CAST(1 + n % 3 AS STRING), '-', CAST(2010 + n % 10 AS STRING), '.pdf?v=', CAST(n AS STRING)) ELSE concat('/news/', CAST(n AS STRING)) END AS href,
+  CASE WHEN n % 4 = 2 THEN '' WHEN n % 12 = 3 THEN ' ' ELSE concat('Link <b>', CAST(n AS STRING), '</b>') END AS text
+FROM {hosts} CROSS JOIN {numbers} WHERE n < CASE WHEN page_id % 10 = 0 THEN 280 ELSE 12 END
+"""
+HOSTS = "(SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www[.]', '') AS host FROM {pages})"
+
+
+def shelves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as HTML: slug (the host), page_ord, url, html."""
+    hosts = _sql(spark, sf_dir, f"SELECT * FROM {HOSTS} AS h WHERE host <> ''")
+    links = _sql(spark, sf_dir, SHELF, hosts=hosts, numbers=spark.range(280).select(F.col("id").cast("int").alias("n")))
+    one = F.concat(F.lit('<a class="x" href="'), "href", F.lit('">'), "text", F.lit("</a>"))
+    p = links.groupBy("page_id", "host").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", one.alias("a")))), lambda x: x["a"]), "\n").alias("body"))
+    return p.select(F.col("host").alias("slug"), F.col("page_id").alias("page_ord"), F.concat(F.lit("https://"), "host", F.lit("/ir/index.html")).alias("url"), F.concat(F.lit("<html><body>"), "body", F.lit("</body></html>")).alias("html"))
 
 
 def filing_links(spark: SparkSession, sf_dir: str) -> DataFrame:

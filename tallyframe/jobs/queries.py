@@ -59,13 +59,22 @@ def statement_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = checking.validate(compiling.compile_statements(derive.reports(spark, sf_dir)))
+    r = derive.rowless(derive.reports(spark, sf_dir))
+    v = checking.validate(compiling.compile_statements(r), compiling.statement_years(r))
     return v.select("slug", "check", "severity", "period_year", F.floor("expected").alias("expected"), F.floor("actual").alias("actual"))
 
 
 def validation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = derive.reports(spark, sf_dir)
-    return checking.validation_status(checking.validate(compiling.compile_statements(r)), r)
+    r = derive.rowless(derive.reports(spark, sf_dir))
+    return checking.validation_status(checking.validate(compiling.compile_statements(r), compiling.statement_years(r)), r)
+
+
+def replies_to_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a model's replies to compiled and checked statements: each cell with its company's status."""
+    r = replies.parse_replies(derive.replies(spark, sf_dir))
+    c = compiling.compile_statements(r)
+    status = checking.validation_status(checking.validate(c, compiling.statement_years(r)), r)
+    return c.join(status, "slug").select("slug", "status", "kind", "ord", "label", "period_year", "value", "restated", "historical")
 
 
 def subtotal_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,6 +157,15 @@ def statement_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("slug", "report_year", "kind", F.md5("text").alias("digest"), F.length("text").alias("chars"))
 
 
+def pages_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the pages of English reports to each statement's text, without any hint where to look."""
+    pages = locating.english_filter(derive.report_pages(spark, sf_dir), ratio=0.15)
+    cleaned = locating.strip_boilerplate(pages)
+    picks = locating.snap_to_signature(locating.resolve_picks(locating.candidate_pages(pages), locating.heading_map(cleaned)), pages)
+    t = locating.statement_text(locating.statement_spans(picks, cleaned), pages)
+    return t.select("slug", "report_year", "kind", F.md5("text").alias("digest"), F.length("text").alias("chars"))
+
+
 def page_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("o_orderkey")
     given = F.concat(F.lit("income:"), (n % 300).cast("string"), F.lit(", balance : "), (n % 299).cast("string"), F.lit(",other:3,cashflow:"), F.when(n % 4 == 0, "x1").otherwise((n % 50).cast("string")), F.lit(",income:"), F.when(n % 3 == 0, "").otherwise("7"))
@@ -176,6 +194,21 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filings.extract_links(derive.html_pages(spark, sf_dir))
 
 
+def shelf_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two hundred links of pages that have more; those without text only if they name a PDF."""
+    return filings.extract_links(derive.shelves(spark, sf_dir)).select("slug", "page_ord", "ord", "text", "href")
+
+
+def html_to_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From investor pages' HTML to the catalogue, its report URLs filled into the discovered map and marked as used."""
+    pages = derive.shelves(spark, sf_dir)
+    links = filings.extract_links(pages, cap=None, keep_empty=True)
+    companies = pages.select("slug").distinct().select("slug", F.array("slug").alias("hosts"))
+    d = pages.where("page_ord % 5 = 0").groupBy("slug").agg(F.lit(2003).alias("year"), F.min(F.concat(F.lit("https://"), "slug", F.lit("/docs/annual-report-2003.pdf"))).alias("url"))
+    c = filings.catalog_filings(links, companies, d)
+    return filings.mark_used(c, filings.fill_discovered(c, d)).select("slug", "year", "type", "title", "url", "used", "ord")
+
+
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.html_pages(spark, sf_dir).select("page_id", U.page_title(F.col("html")).alias("title"))
 
@@ -263,8 +296,8 @@ def recompiled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     label_keys, row_keys, statement_cells, compiled, newest_periods, statement_shape, validation_issues, validation_status, subtotal_notes, restatement_audit, restatement_count, shown_figures,
-    english_reports, english_pages, boilerplate, cleaned_pages, heading_map, candidate_pages, candidate_union, statement_picks, statement_spans, statement_text, page_overrides, parsed_replies, reply_quality,
-    page_links, page_titles, pdf_links, official_pdfs, company_slugs, search_results, filing_catalog, report_urls, discovered_filled, filings_marked, filings_by_type, catalog_merged, source_list, pending_reports, recompiled,
+    english_reports, english_pages, boilerplate, cleaned_pages, heading_map, candidate_pages, candidate_union, statement_picks, statement_spans, statement_text, page_overrides, parsed_replies, reply_quality, replies_to_statements, pages_to_text,
+    page_links, shelf_links, html_to_catalog, page_titles, pdf_links, official_pdfs, company_slugs, search_results, filing_catalog, report_urls, discovered_filled, filings_marked, filings_by_type, catalog_merged, source_list, pending_reports, recompiled,
 ]
 
 

@@ -88,7 +88,7 @@ def reconcile(compiled: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """Subtotals and totals that aren't the sum of the lines since the last row that is no line: slug, kind, ord, label,
     period_year, line_sum, reported. A missing figure counts as 0 among the lines."""
     c = compiled.where("period_year is not null").select("slug", "kind", "ord", "label", "row_kind", "period_year", "value")
-    line = F.col("row_kind") == "line"
+    line = F.coalesce(F.col("row_kind") == "line", F.lit(False))  # a row of unknown kind ends a block like any other
     before = Window.partitionBy("slug", "kind", "period_year").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     c = c.withColumn("block", F.coalesce(F.sum((~line).cast("int")).over(before), F.lit(0)))
     b = c.groupBy("slug", "kind", "period_year", "block").agg(
@@ -105,16 +105,19 @@ def audit_restatements(reports: DataFrame) -> DataFrame:
     Costs are made negative by each row's own label on statements of any kind. Repeated keys and years within a report
     all count, unlike in compile_statements.
     """
-    cells = explode_cells(reports, first_only=False).withColumn("value", fix_expense_sign(F.col("label"), F.col("value"))).where("value is not null")
-    at = F.struct("report_year", -F.col("pos"), -F.col("col"))
-    entry = F.struct((-F.col("report_year")).alias("y"), "pos", "col", "value")
-    a = cells.groupBy("slug", "kind", "key", "period_year").agg(
-        F.max_by("value", at).alias("used"), F.max("report_year").alias("used_report"), F.min_by("value", at).alias("original"), F.min("report_year").alias("original_report"),
-        F.sort_array(F.collect_list(entry)).alias("h"), (F.min("value") != F.max("value")).alias("differs"),
-    ).where("differs")
-    names = explode_cells(reports, first_only=False).groupBy("slug", "kind", "key").agg(F.max_by("label", F.struct("report_year", -F.col("pos"))).alias("label"))
+    cells = explode_cells(reports, first_only=False).withColumn("value", fix_expense_sign(F.col("label"), F.col("value")))
+    given = F.col("value").isNotNull()
+    at = F.when(given, F.struct("report_year", -F.col("pos"), -F.col("col")))
+    year = F.when(given, F.col("report_year"))
+    entry = F.when(given, F.struct((-F.col("report_year")).alias("y"), "pos", "col", "value"))
+    # a key's name is that of its newest cell of any year, so cells meet by key and each year's figures are part of that
+    a = cells.repartition("slug", "kind", "key").groupBy("slug", "kind", "key", "period_year").agg(
+        F.max_by("value", at).alias("used"), F.max(year).alias("used_report"), F.min_by("value", at).alias("original"), F.min(year).alias("original_report"),
+        F.sort_array(F.collect_list(entry)).alias("h"), (F.min("value") != F.max("value")).alias("differs"), F.max(F.struct("report_year", -F.col("pos"), "label")).alias("name"),
+    )
+    a = a.withColumn("label", F.max("name").over(Window.partitionBy("slug", "kind", "key"))["label"]).where("differs")
     history = F.transform("h", lambda x: F.struct((-x["y"]).alias("report_year"), x["value"].alias("value")))
-    return a.join(names, ["slug", "kind", "key"]).select("slug", "kind", "key", "label", "period_year", "used", "used_report", "original", "original_report", history.alias("history"))
+    return a.select("slug", "kind", "key", "label", "period_year", "used", "used_report", "original", "original_report", history.alias("history"))
 
 
 def restatement_count(audit: DataFrame) -> DataFrame:

@@ -14,34 +14,37 @@ from tallyframe.functions.labels import canon_key, clean_label, is_expense_label
 ROWS = "array<struct<label:string,kind:string,unit:string,decimals:int,values:array<double>>>"
 
 
-def row_keys(reports: DataFrame) -> DataFrame:
-    """reports with keys, array<string> parallel to rows.
+def keyed_rows(reports: DataFrame, carried: str = "periods", own_entry: bool = False) -> DataFrame:
+    """One row for each row of the statements, dealt out by company and kind: slug, report_year, kind, the column `carried`
+    of its report, pos, row, key, and whether it is the first of that key in its report.
 
     On a balance sheet a row's key is its label's and that of the next total below it (a total's too; none after the
-    last); on other statements the n-th repeat of a label has "#n". Worked out inside the arrays, so nothing is shuffled.
-    """
-    r = reports.withColumn("base", F.transform("rows", lambda x: canon_key(x["label"])))
-    marks = F.transform("base", lambda b, i: F.struct(i.alias("i"), b.alias("key"), F.get("rows", i)["kind"].alias("kind")))
-    is_total = lambda t: t["kind"].isin("total", "subtotal") | t["key"].rlike("^total( |$)")
-    r = r.withColumn("totals", F.when(F.col("kind") == "balance", F.filter(marks, is_total)).otherwise(F.filter(marks, lambda t: F.lit(False))))
-    tagged = F.transform("base", lambda b, i: F.concat_ws("@@", b, F.get(F.filter("totals", lambda t: t["i"] > i), F.lit(0))["key"]))
-
-    def nth(b, i):
-        n = F.size(F.filter(F.slice("base", F.lit(1), i), lambda x: x == b))
-        return F.when(n == 0, b).otherwise(F.concat(b, F.lit("#"), n.cast("string")))
+    last); on other statements the n-th repeat of a label has "#n". A row without a label has no key. own_entry: each
+    report has an entry of its own besides, without a row or key, at pos -1.
 
-    return r.withColumn("keys", F.when(F.col("kind") == "balance", tagged).otherwise(F.transform("base", nth))).drop("base", "totals")
+    Labels are keyed by generated code as rows are read; then rows, whose figures still are one array, are shuffled once.
+    Whatever follows by company and kind keeps that partitioning.
+    """
+    entries = F.concat(F.array(F.get("rows", F.lit(-1))), "rows") if own_entry else F.col("rows")
+    r = reports.select("slug", "report_year", "kind", carried, F.posexplode(entries).alias("pos", "row"))
+    r = r.withColumn("pos", F.col("pos") - int(own_entry)).withColumn("base", canon_key(F.col("row.label"))).repartition("slug", "kind")
+    report = Window.partitionBy("slug", "kind", "report_year")
+    total = F.col("row.kind").isin("total", "subtotal") | F.col("base").rlike("^total( |$)")
+    below = report.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("tag", F.last(F.when(total, F.col("base")), ignorenulls=True).over(below))
+    r = r.withColumn("nth", F.row_number().over(report.partitionBy("slug", "kind", "report_year", "base").orderBy("pos")))
+    repeat = F.when(F.col("nth") == 1, F.col("base")).otherwise(F.concat("base", F.lit("#"), (F.col("nth") - 1).cast("string")))
+    r = r.withColumn("key", F.when(F.col("base").isNotNull(), F.when(F.col("kind") == "balance", F.concat_ws("@@", "base", "tag")).otherwise(repeat)))
+    first = F.row_number().over(report.partitionBy("slug", "kind", "report_year", "key").orderBy("pos")) == 1
+    return r.select("slug", "report_year", "kind", carried, "pos", "row", "key", first.alias("first"))
 
 
 def statement_rows(reports: DataFrame, first_only: bool = True, carried: str = "periods") -> DataFrame:
     """One row for each row of the statements: slug, report_year, kind, pos, key, label, row_kind, unit, decimals, values,
     and the column `carried` of its report. Of rows with one key in one report the first counts (all of them without first_only)."""
-    # whether a row is its key's first is told inside the arrays, and explode_outer keeps Spark from inferring filters on
-    # them: it would push those below the keys and work these out again for each
-    keys = F.col("keys")
-    entry = F.transform(keys, lambda k, i: F.struct(i.alias("pos"), k.alias("key"), F.get("rows", i).alias("row"), (F.array_position(keys, k) == i + 1).alias("first")))
-    r = row_keys(reports).select("slug", "report_year", "kind", carried, F.explode_outer(entry).alias("e")).where("e.first" if first_only else "e.pos is not null")
-    return r.select("slug", "report_year", "kind", "e.pos", "e.key", "e.row.label", F.col("e.row.kind").alias("row_kind"), "e.row.unit", "e.row.decimals", "e.row.values", carried)
+    r = keyed_rows(reports, carried)
+    r = r.where("first and key is not null") if first_only else r
+    return r.select("slug", "report_year", "kind", "pos", "key", "row.label", F.col("row.kind").alias("row_kind"), "row.unit", "row.decimals", "row.values", carried)
 
 
 def explode_cells(reports: DataFrame, first_only: bool = True) -> DataFrame:
@@ -50,7 +53,7 @@ def explode_cells(reports: DataFrame, first_only: bool = True) -> DataFrame:
     years = F.transform("periods", period_year)
     columns = F.transform("years", lambda y, i: F.struct(i.alias("col"), y.alias("period_year"), (F.array_position("years", y) == i + 1).alias("first")))
     r = statement_rows(reports.withColumn("years", years), first_only, "years")
-    r = r.withColumn("c", F.explode_outer(columns)).where("c.first" if first_only else "c.period_year is not null")
+    r = r.withColumn("c", F.explode(columns)).where("c.first" if first_only else "c.period_year is not null")
     return r.select("slug", "report_year", "kind", "pos", "key", "label", "row_kind", "c.col", "c.period_year", F.get("values", F.col("c.col")).alias("value"))
 
 
@@ -90,19 +93,15 @@ def compile_statements(reports: DataFrame) -> DataFrame:
     reports differ. On income statements costs are negative whatever sign a report gave them. A statement without any
     year has rows with a null period_year.
 
-    The same as joining templates, statement_years and newest_values, but in one pass: cells are shuffled once, by company
-    and kind, and every later step keeps that partitioning (a statement is small; companies spread evenly). A report's
-    own entry, without a key, stands for its years and for its being the newest.
+    The same as joining templates, statement_years and newest_values, but in one pass: rows are shuffled once, by company
+    and kind, with their figures as arrays, and every later step keeps that partitioning (a statement is small; companies
+    spread evenly). A report's own entry, without a key, stands for its years and for its being the newest.
     """
-    keys = F.col("keys")
-    own = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("key"), F.get("rows", F.lit(-1)).alias("row"), F.lit(True).alias("first")))
-    entry = F.transform(keys, lambda k, i: F.struct(i.alias("pos"), k.alias("key"), F.get("rows", i).alias("row"), (F.array_position(keys, k) == i + 1).alias("first")))
-    r = row_keys(reports.withColumn("years", F.transform("periods", period_year)))
-    r = r.select("slug", "report_year", "kind", "years", F.explode_outer(F.concat(own, entry)).alias("e")).where("e.first")
+    r = keyed_rows(reports.withColumn("years", F.transform("periods", period_year)), "years", own_entry=True).where("first and (key is not null or pos = -1)")
     columns = F.transform("years", lambda y, i: F.struct(i.alias("col"), y.alias("period_year"), (F.array_position("years", y) == i + 1).alias("first")))
     r = r.withColumn("c", F.explode_outer(columns)).where(F.coalesce("c.first", F.lit(True)))
-    top = F.struct("report_year", (-F.col("e.pos")).alias("up"), "e.row.label", F.col("e.row.kind").alias("row_kind"), "e.row.unit", "e.row.decimals")
-    cells = r.select("slug", "kind", "e.key", "report_year", "c.period_year", F.get("e.row.values", F.col("c.col")).alias("value"), top.alias("t")).repartition("slug", "kind")
+    top = F.struct("report_year", (-F.col("pos")).alias("up"), "row.label", F.col("row.kind").alias("row_kind"), "row.unit", "row.decimals")
+    cells = r.select("slug", "kind", "key", "report_year", "c.period_year", F.get("row.values", F.col("c.col")).alias("value"), top.alias("t"))
     cost = -F.abs("value")
     per = cells.groupBy("slug", "kind", "key", "period_year").agg(
         F.max_by("value", F.when(F.col("value").isNotNull(), F.col("report_year"))).alias("value"), (F.min("value") != F.max("value")).alias("differs"),
@@ -113,14 +112,16 @@ def compile_statements(reports: DataFrame) -> DataFrame:
     one = F.when(F.col("period_year").isNotNull(), F.struct("period_year", F.struct("value", "differs", "differs_as_cost")))
     g = per.groupBy("slug", "kind", "key").agg(F.max("t").alias("t"), F.first("newest").alias("newest"), F.first("years").alias("years"), F.map_from_entries(F.collect_list(one)).alias("cell"))
     g = g.withColumn("ord", F.row_number().over(statement.orderBy(F.desc("t.report_year"), F.desc("t.up"))) - 1)
+    # what a label says is told once for each row, before its years are dealt out
+    g = g.withColumn("label", clean_label(F.col("t.label"))).withColumn("cost", (F.col("kind") == "income") & is_expense_label(F.col("t.label")))
+    g = g.withColumn("shown_cost", (F.col("kind") == "income") & is_expense_label(F.col("label")))
     g = g.withColumn("period_year", F.explode_outer("years")).withColumn("x", F.try_element_at("cell", F.col("period_year")))
-    income, label, value = F.col("kind") == "income", F.col("t.label"), F.col("x.value")
-    shown = clean_label(label)
-    restated = F.when(income & is_expense_label(label), F.col("x.differs_as_cost")).otherwise(F.col("x.differs"))
+    value = F.col("x.value")
+    restated = F.when(F.col("cost"), F.col("x.differs_as_cost")).otherwise(F.col("x.differs"))
     old = (F.col("t.row_kind") != "section") & (F.col("t.report_year") < F.col("newest"))
     return g.select(
-        "slug", "kind", "ord", "key", shown.alias("label"), "t.row_kind", "t.unit", "t.decimals", "period_year",
-        F.when(income & (value > 0) & is_expense_label(shown), -value).otherwise(value).alias("value"),
+        "slug", "kind", "ord", "key", "label", "t.row_kind", "t.unit", "t.decimals", "period_year",
+        F.when(F.col("shown_cost") & (value > 0), -value).otherwise(value).alias("value"),
         F.coalesce(restated, F.lit(False)).alias("restated"), F.coalesce(old, F.lit(True)).alias("historical"),
     )
 

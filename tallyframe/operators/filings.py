@@ -20,9 +20,10 @@ def extract_links(html_pages: DataFrame, cap: int | None = 200, keep_empty: bool
     rest = [c for c in html_pages.columns if c != "html"]
     a = html_pages.select(*rest, F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))).alias("ord", "a"))
     a = a.select(*rest, "ord", F.regexp_extract("a", ANCHOR, 1).alias("raw"), F.substring(U.strip_tags(F.regexp_extract("a", ANCHOR, 2)), 1, 100).alias("text"))
-    a = a.withColumn("href", U.resolve_url(F.col("raw"), F.col("url"))).where("href is not null")
-    first = F.struct("ord", "text")
-    a = a.groupBy(*rest, "href").agg(F.min(first).alias("x")).select(*rest, "x.ord", "x.text", "href")
+    # links meet by page once; there each raw link is resolved once, and each address kept once
+    first = F.min(F.struct("ord", "text")).alias("x")
+    a = a.repartition(*rest).groupBy(*rest, "raw").agg(first).withColumn("href", U.resolve_url(F.col("raw"), F.col("url"))).where("href is not null")
+    a = a.select(*rest, "x.*", "href").groupBy(*rest, "href").agg(first).select(*rest, "x.ord", "x.text", "href")
     if not keep_empty:
         a = a.where((F.col("text") != "") | F.lower("href").contains(".pdf"))
     if cap is not None:

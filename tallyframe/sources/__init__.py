@@ -105,5 +105,10 @@ def filter_companies(companies: DataFrame, slug: str | None = None) -> DataFrame
 
 
 def company_lookup(df: DataFrame, companies: DataFrame) -> DataFrame:
-    """df with the attributes of its company (small dimension: Spark broadcasts it by its size)."""
-    return df.join(companies, "slug", "left")
+    """df with the attributes of its company (small dimension: Spark broadcasts it by its size); a company that isn't known
+    has those of the first one, by slug."""
+    rest = [c for c in companies.columns if c != "slug"]
+    first = companies.agg(F.min_by(F.struct(*rest), "slug").alias("first"))
+    known = companies.select("slug", F.struct(*rest).alias("own"))
+    out = df.join(known, "slug", "left").join(F.broadcast(first))  # one row
+    return out.select(*df.columns, F.coalesce("own", "first").alias("x")).select(*df.columns, "x.*")

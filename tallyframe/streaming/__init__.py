@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.operators.compiling import compile_statements
+from tallyframe.operators.compiling import ROWS, compile_statements
 
 
 def pending_reports(wanted: DataFrame, stored: DataFrame, refresh: bool = False) -> DataFrame:
@@ -31,10 +31,10 @@ def refresh_incremental(spark: SparkSession, incoming: str, reports: str, compil
 
     Reports and compiled statements are partitioned by a hash of the company; a batch reads and overwrites only the
     buckets it touches, so doing it again after a failure gives the same. Late reports of older years need no rule: the
-    newest figure wins whatever the order of arrival.
+    newest figure wins whatever the order of arrival. Nothing in `incoming` yet means nothing to do; the folder must exist.
     """
     bucket = F.pmod(F.xxhash64("slug"), F.lit(buckets)).cast("int")
-    schema = spark.read.parquet(incoming).schema
+    schema = f"slug string, report_year int, kind string, periods array<string>, rows {ROWS}"
 
     def batch(new: DataFrame, _: int) -> None:
         new = new.dropDuplicates(["slug", "report_year", "kind"]).withColumn("bucket", bucket).persist()
