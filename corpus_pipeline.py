@@ -18,29 +18,32 @@ def _crc_mod(n: int):
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what no language's centroid accepts, and texts that are null or without a letter."""
+    """Drops what no language's centroid accepts, and texts that are null or without a letter. Repeated rows stay or go
+    together; without any labelled text everything goes."""
     model = language.fit_language(docs.where(_crc_mod(3) != 1))
     return docs.where(~language.detect_language(model, docs["text"])["rejected"])
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts with a toxicity score of 0.5 or more."""
+    """Drops texts with a toxicity score of 0.5 or more. Null and empty texts have the score of a text without a known
+    word and so stay where toxic texts are the fewer; without any labelled text nothing goes."""
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels").where(_crc_mod(5) != 0))
     return docs.where(toxicity.score_toxicity(model, docs["text"]) < 0.5)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near-duplicates."""
+    """Keeps one document of each class of near-duplicates: the one of the least doc_id (see deduplicate for ties, null
+    ids and repeated rows). Null texts all stay, of equal texts without words one."""
     return neardup.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of the benchmark."""
+    """Drops documents that hold an item of the benchmark, repeated rows together; null and empty texts stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces in sequences of the permitted lengths."""
+    """Every document's pieces in sequences of the permitted lengths; null and empty texts are pieces of length 0."""
     return packing.pack_documents(docs)
 
 
