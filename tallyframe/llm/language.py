@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -9,9 +10,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm import textops
+from tallyframe.llm.shared import bounded_batches, first_by_hash, stored
 from tallyframe.llm.textops import slices
 
 #: Vector positions: n-grams of 1 to 3 bytes (lower case; runs of non-letters are one blank) are hashed into so many.
@@ -39,18 +42,16 @@ class LanguageModel:
     least: np.ndarray  # cosine below which a centroid rejects (centroids x classes of length)
 
 
-def ngram_counts(texts: list[str]) -> np.ndarray:
-    """Counts (texts x BINS) of the hashed n-grams of whole texts."""
-    raw = [b" " + t.lower().encode("utf-8", "replace") + b" " for t in texts]
+def _ngram_counts(raw: list[bytes]) -> np.ndarray:
     buf = np.frombuffer(b"".join(raw), np.uint8)
-    own = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+    size = np.array([len(r) for r in raw])
+    own = np.repeat(np.arange(len(raw), dtype=np.int32), size)
     letter = _LETTER_BYTE[buf]
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first byte after a letter stays, as a blank
-    keep[:1] = True
-    c, own = np.where(letter, buf, np.uint8(32))[keep].astype(np.uint32), own[keep]
+    keep[np.cumsum(size) - size] = True  # each text's first blank, whatever stands before it
+    c, own = np.where(letter, buf, np.uint8(32))[keep], own[keep]
     total = np.zeros(len(raw) * BINS, np.int64)
-    base = own * BINS
     for n in (1, 2, 3):
         if len(c) < n:
             break
@@ -59,10 +60,35 @@ def ngram_counts(texts: list[str]) -> np.ndarray:
             code = code * np.uint32(0x01000193) + c[j : len(c) - n + 1 + j]
         code = ((code ^ (code >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> np.uint32(20)
         same = own[: len(code)] == own[n - 1 :]
-        total += np.bincount((base[: len(code)] + code)[same], minlength=len(total))
+        total += np.bincount((own[: len(code)].astype(np.int64) * BINS + code)[same], minlength=len(total))
     return total.reshape(len(raw), BINS)
 
 
+def _kept_end(raw: bytes) -> bytes:
+    """The last two bytes that count in raw, which begins with a blank."""
+    tail = re.sub(rb"[^a-z\x80-\xff]+", b" ", raw[-64:])
+    return tail[-2:] if len(tail) > 2 else re.sub(rb"[^a-z\x80-\xff]+", b" ", raw)[-2:]
+
+
+def ngram_counts(texts: list[str]) -> np.ndarray:
+    """Counts (texts x BINS) of the hashed n-grams of whole texts. A text of more than CHUNK characters is counted in parts
+    that begin with the last two bytes of what came before, so only a part of it is unpacked at a time."""
+    total = np.zeros((len(texts), BINS), np.int64)
+    short = [i for i, t in enumerate(texts) if len(t) <= textops.CHUNK]
+    if short:
+        total[short] = _ngram_counts([b" " + texts[i].lower().encode("utf-8", "replace") + b" " for i in short])
+    for i, t in enumerate(texts):
+        if len(t) > textops.CHUNK:
+            before = b" "
+            for lo in range(0, len(t), textops.CHUNK):
+                part = before + t[lo : lo + textops.CHUNK].lower().encode("utf-8", "replace") + b" " * (lo + textops.CHUNK >= len(t))
+                total[i] += _ngram_counts([part])[0]
+                if lo:
+                    total[i] -= _ngram_counts([before])[0]
+                before = _kept_end(part)
+    return total
+
+
 def unit_vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = np.log1p(counts.astype(np.float32)) * idf
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
@@ -94,36 +120,57 @@ def pieces(text: str) -> list[str]:
     return [text[at % (len(text) - n) :][:n] for n in PIECES if n < len(text)]
 
 
-def _counts(texts: pd.Series) -> pd.DataFrame:
-    """For each text and its pieces: where counts are not 0 (row * BINS + position), and how often they occur."""
+def _sparse(texts: pd.Series) -> pd.DataFrame:
+    """For each text where its counts are not 0, and how often they occur (65,535 at most)."""
     at, times = [], []
     for lo, hi in slices(list(texts)):
-        for t in texts[lo:hi]:
-            flat = ngram_counts([t, *pieces(t)]).ravel()
-            where = np.flatnonzero(flat)
-            at.append(where.astype(np.int32).tobytes())
-            times.append(flat[where].astype(np.int32).tobytes())
+        for counts in ngram_counts(list(texts[lo:hi])):
+            where = np.flatnonzero(counts)
+            at.append(where.astype(np.uint16).tobytes())
+            times.append(np.minimum(counts[where], 65535).astype(np.uint16).tobytes())
     return pd.DataFrame({"at": at, "times": times})
 
 
-def _dense(at: bytes, times: bytes) -> np.ndarray:
-    out = np.zeros((1 + len(PIECES)) * BINS, np.float32)
-    out[np.frombuffer(at, np.int32)] = np.frombuffer(times, np.int32)
-    return out.reshape(-1, BINS)
-
-
-def _centroids(counts: np.ndarray, lang: np.ndarray, per_language: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """The weights of positions, and each language's centroids."""
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
+def _centroids(rows: list[tuple], per_language: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The weights of positions, and each language's centroids; only one language's vectors are unpacked at a time."""
+    held = np.zeros(BINS, np.int64)
+    for _, at, _ in rows:
+        held[np.frombuffer(at, np.uint16)] += 1
+    idf = np.log((1 + len(rows)) / (1 + held)).astype(np.float32) + np.float32(1)
     out = {}
-    for name in sorted(set(lang)):
-        x = unit_vectors(counts[lang == name], idf)
+    for name in sorted({r[0] for r in rows}):
+        own = [r for r in rows if r[0] == name]
+        counts = np.zeros((len(own), BINS), np.float32)
+        for x, (_, at, times) in zip(counts, own):
+            x[np.frombuffer(at, np.uint16)] = np.frombuffer(times, np.uint16)
+        x = unit_vectors(counts, idf)
         c = cluster(x, per_language)
         size = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
         out[str(name)] = c[size >= min(size.max(), LEAST_SHARE * len(x))]
     return idf, out
 
 
+def _held_against(halves: list[tuple]):
+    """The cosines (class of length, cosine) of a text and its pieces to its language's centroids as the other half of the
+    texts gave them, without those that are nearer to another language."""
+
+    @F.pandas_udf("array<struct<class:int,cosine:double>>")
+    def near(text: pd.Series, lang: pd.Series, half: pd.Series) -> pd.Series:
+        out = []
+        for t, name, k in zip(text, lang, half):
+            idf, learnt = halves[k] if name in halves[k][1] else halves[2]
+            counts = ngram_counts([t, *pieces(t)])
+            counts = counts[counts.any(axis=1)]
+            v = unit_vectors(counts, idf)
+            cos = np.stack([(v @ c.T).max(axis=1) for c in learnt.values()])
+            own = list(learnt).index(name)
+            mine = np.argmax(cos, axis=0) == own
+            out.append([{"class": int(j), "cosine": float(x)} for j, x in zip(length_class(counts)[mine], cos[own][mine])])
+        return pd.Series(out)
+
+    return near
+
+
 def fit_language(docs: DataFrame, per_language: int = 4, fit_rows: int = FIT_ROWS, fit_per_language: int = FIT_PER_LANGUAGE, slack: float = 0.8) -> LanguageModel:
     """Centroids from docs (doc_id, text, lang): up to fit_per_language labelled texts of each language, fit_rows in all,
     the first by a hash of doc_id (chosen without reading texts; of repeated ids one text). Rows without a letter, doc_id
@@ -135,40 +182,30 @@ def fit_language(docs: DataFrame, per_language: int = 4, fit_rows: int = FIT_ROW
     either half, and of pieces of them, to the centroids learnt from the other half, without what is nearer to another
     language and so judged by that one's cosines. A class that none of them is of takes the next shorter one's cosine;
     no class has a higher one than a longer class.
+
+    The chosen texts are stored; the driver gets their counts where not 0 (4 bytes each, 4,096 a text at most) and, from a
+    second pass over them, a few quantiles.
     """
-    d = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang")
-    n = d.select("lang").distinct().count()
-    most = max(1, min(fit_per_language, fit_rows // max(1, n)))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = d.withColumn("n", first).where(F.col("n") <= most).select("doc_id", "lang").distinct().orderBy("lang", "doc_id").limit(fit_rows)
-    texts = docs.where(F.col("text").rlike("\\p{L}")).select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    rows = texts.select("lang", F.pandas_udf(_counts, "at binary, times binary")("text").alias("v")).select("lang", "v.*").orderBy("lang", "at", "times").collect()
+    bounded_batches(docs.sparkSession)
+    chosen = first_by_hash(docs, "lang", fit_per_language).orderBy("order", "lang", "doc_id").limit(fit_rows).select("doc_id", "lang")
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).where(F.col("text").rlike("\\p{L}"))
+    texts = stored(texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).cast("int")))
+    sparse = texts.select("lang", "half", F.pandas_udf(_sparse, "at binary, times binary")("text").alias("v"))
+    rows = [(r.half, (r.lang, bytes(r.at), bytes(r.times))) for r in sparse.select("lang", "half", "v.*").orderBy("lang", "at", "times").collect()]
     classes = len(LENGTHS) + 1
     if not rows:
         return LanguageModel([], np.zeros((0, BINS), np.float32), np.ones(BINS, np.float32), np.zeros((0, classes)))
-    counts, lang = np.zeros((len(rows), BINS), np.float32), np.array([r.lang for r in rows])
-    for x, r in zip(counts, rows):  # copied row by row: a view would keep all pieces of its text in memory
-        x[:] = _dense(r.at, r.times)[0]
-    idf, own = _centroids(counts, lang, per_language)
-    half = np.arange(len(rows)) % 2
-    others = [_centroids(counts[half != k], lang[half != k], per_language) if (half != k).any() else (idf, own) for k in (0, 1)]
-    near: dict[str, list] = {name: [[] for _ in range(classes)] for name in own}
-    for r, k in zip(rows, half):
-        i, learnt = others[k] if r.lang in others[k][1] else (idf, own)
-        x = _dense(r.at, r.times)
-        x = x[x.any(axis=1)]
-        v = unit_vectors(x, i)
-        cos = np.stack([(v @ c.T).max(axis=1) for c in learnt.values()])
-        mine = list(learnt).index(r.lang)
-        for j, value, best in zip(length_class(x), cos[mine], np.argmax(cos, axis=0)):
-            if best == mine:
-                near[r.lang][j].append(value)
+    every = _centroids([r for _, r in rows], per_language)
+    halves = [_centroids(x, per_language) if (x := [r for h, r in rows if h != k]) else every for k in (0, 1)]
+    shares = F.percentile("x.cosine", F.array(F.lit(PIECE_SHARE), F.lit(WHOLE_SHARE)))
+    cosines = texts.select("lang", F.explode(_held_against([*halves, every])("text", "lang", "half")).alias("x")).groupBy("lang", "x.class").agg(shares.alias("q"))
+    known = {(r["lang"], r["class"]): r["q"] for r in cosines.collect()}
+    idf, own = every
     least, short = [], int(np.digitize(max(PIECES), LENGTHS))
     for name, c in own.items():
-        q = [float(np.quantile(v, PIECE_SHARE if j <= short else WHOLE_SHARE)) if v else None for j, v in enumerate(near[name])]
+        q = []
         for j in range(classes):
-            if q[j] is None:
-                q[j] = q[j - 1] if j else 0.0
+            q.append(known[name, j][0 if j <= short else 1] if (name, j) in known else q[-1] if q else 0.0)
         least += [slack * np.minimum.accumulate(q[::-1])[::-1]] * len(c)
     return LanguageModel([name for name, c in own.items() for _ in c], np.concatenate(list(own.values())), idf, np.array(least))
 

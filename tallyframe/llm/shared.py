@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of at most 64 bytes each that one broadcast may hold (some tens of MB on an executor).
@@ -17,33 +17,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local master (tests) gets a
+    temporary folder; on a cluster that would be one machine's own, so there it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="spark-shared-")
         shared_dir.own = where
     return where.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: its lineage ends there, so a lost executor costs no earlier stage."""
+    """df written as Parquet to the shared folder and read back: its lineage ends there, so a lost executor costs no earlier stage.
+    Results are lazy, so what they were made from stays in that folder; the cluster clears it like other checkpoints."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Holds this session's Arrow batches to Python workers to so many bytes, where Spark's default (64 MB) still stands:
+    a worker holds several times a batch, beside its neighbour's, in what the JVM leaves of an executor."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, size)
+
+
 def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if its counted rows are within the bound, else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= bound else df
 
 
+def first_by_hash(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """Up to `most` distinct (doc_id, by) of each value of `by`, those first by a hash of doc_id: doc_id, by, order.
+
+    Null ids and values are left out. Ids whose hash is above twice what the number of ids of their value asks for go
+    where they are read, so however many rows a value has, few of them are shuffled to where the first are chosen. There
+    must be few values (languages, labels): their counts are broadcast.
+    """
+    d = rows.where(F.col("doc_id").isNotNull() & F.col(by).isNotNull()).select("doc_id", by)
+    share = d.groupBy(by).agg((F.lit(2.0 * most) / F.approx_count_distinct("doc_id", 0.02)).alias("share"))
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    near = d.withColumn("order", order).join(F.broadcast(share), by).where(F.col("order") / float(1 << 40) < F.col("share"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("order", "doc_id"))
+    return near.select("doc_id", by, "order").distinct().withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) for each node, root being its component's least node.
 
-    Large-star and small-star steps in turn until no edge changes; each is a min per node and a join back on the node,
-    so that a node with very many neighbours is split by Spark's skew join instead of meeting in one task. Edges with a
-    null end are left out, loops and repeated edges count once. Fails if `rounds` don't suffice (they grow with the
+    Large-star and small-star steps in turn until no edge changes; each is a min over a node's edges, which are a pair of
+    ids each and spill where they are many. Edges with a null end are left out, loops and repeated edges count once. Fails if `rounds` don't suffice (they grow with the
     logarithm of a component's diameter).
     """
     e = stored(
@@ -51,21 +77,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    before = None
+    before, near = None, Window.partitionBy("a")
     for _ in range(rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (
-            both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        )
-        root = large.groupBy("a").agg(F.min("b").alias("m"))
-        e = stored(
-            large.join(root, "a")
-            .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-            .select("x.*")
-            .where("a <> b")
-            .distinct()
-        )
+        least = F.least("a", F.min("b").over(near))
+        large = both.withColumn("m", least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        to = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
+        e = stored(large.withColumn("m", F.min("b").over(near)).select(to.alias("x")).select("x.*").where("a <> b").distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break

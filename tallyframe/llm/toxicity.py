@@ -12,12 +12,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.llm.shared import bounded_batches, first_by_hash, stored
 from tallyframe.llm.textops import slices, word_hashes
 
 #: Words are hashed into so many features; a feature is whether a text holds such a word.
 BINS = 1 << 18
 #: Labelled texts of one label to fit on at most.
 FIT_PER_LABEL = 5000
+#: Features of all texts to fit on together at most (4 bytes each on the driver).
+FIT_FEATURES = 8_000_000
 #: Sentences with identity terms that one text to fit on gives counterfactuals for at most.
 PAIRS_PER_TEXT = 20
 #: Identity terms (fixed values): a term may be swapped for any other of its line.
@@ -62,53 +65,77 @@ def swapped(text: str, terms: list[list[str]] = IDENTITY_TERMS) -> list[tuple[st
     return out
 
 
-def _sparse(rows: list[np.ndarray], index: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    own, col = [], []
-    for i, r in enumerate(rows):
-        c = [index[b] for b in r.tolist() if b in index]
-        own += [i] * len(c)
-        col += c
-    return np.array(own, np.int64), np.array(col, np.int64)
+class _Rows:
+    """Sets of features (one after the other, and where each set begins) as columns of those that are used."""
+
+    def __init__(self, sets: list[np.ndarray], used: np.ndarray):
+        at = np.full(BINS, -1, np.int32)
+        at[used] = np.arange(len(used))
+        kept = [c[c >= 0] for c in (at[x] for x in sets)]
+        self.n, self.width = len(sets), len(used)
+        self.col = np.concatenate([*kept, np.zeros(0, np.int32)])
+        self.start = np.zeros(len(sets) + 1, np.int64)
+        np.cumsum([len(c) for c in kept], out=self.start[1:])
+
+    def parts(self):
+        """Rows (from, to), their features, and each feature's row counted from the first: some hundred thousand at a time."""
+        lo = 0
+        while lo < self.n:
+            hi = max(lo + 1, int(np.searchsorted(self.start, self.start[lo] + (1 << 18), "right")) - 1)
+            yield lo, hi, self.col[self.start[lo] : self.start[hi]], np.repeat(np.arange(hi - lo), np.diff(self.start[lo : hi + 1]))
+            lo = hi
+
+    def sums(self, w: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(own, w[col], hi - lo) for lo, hi, col, own in self.parts()] or [np.zeros(0)])
+
+    def spread(self, r: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(col, r[lo:hi][own], self.width) for lo, hi, col, own in self.parts()), np.zeros(self.width))
 
 
 def train(features: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], lam: float = 5.0, l1: float = 5e-5, least: int = 3, rounds: int = 250) -> ToxicityModel:
     """Logistic regression with weights per row, an L1 penalty, and lam times the mean squared change of the linear
     score over counterfactual pairs; accelerated proximal gradient. Features in fewer than `least` rows are left out."""
-    n = len(features)
-    count = np.bincount(np.concatenate([*features, np.zeros(0, np.int64)]), minlength=BINS)
+    n, count = len(features), np.zeros(BINS, np.int64)
+    for f in features:
+        count[f] += 1
     used = np.flatnonzero(count >= least)
     if not n or labels.min() == labels.max():
         rate = float(np.average(labels, weights=weights)) if n else 0.0
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), float(np.log((rate + 1e-3) / (1 - rate + 1e-3))))
-    index = {int(b): j for j, b in enumerate(used)}
-    own, col = _sparse(features, index)
-    a, ca = _sparse([p[0] for p in pairs], index)
-    b, cb = _sparse([p[1] for p in pairs], index)
-    po, pc = np.concatenate([a, b]), np.concatenate([ca, cb])
-    sign = np.concatenate([np.ones(len(a)), -np.ones(len(b))])
+    x, a, b = _Rows(features, used), _Rows([p[0] for p in pairs], used), _Rows([p[1] for p in pairs], used)
     share = weights / weights.sum()
     # a step per feature: its diagonal curvature, times the most features that one row shares out
-    size = np.sqrt(max(1, np.bincount(own, minlength=n).max()))
-    curve = 0.25 * np.bincount(col, share[own], len(used)) * size + 1e-4
+    size = np.sqrt(max(1, np.diff(x.start).max()))
+    curve = 0.25 * x.spread(share) * size + 1e-4
     if len(pairs):
-        curve += 2 * lam / len(pairs) * np.bincount(pc, minlength=len(used)) * 4
-    w, bias = np.zeros(len(used)), float(np.log(share @ labels / (1 - share @ labels)))
-    wy, by, t = w, bias, 1.0
+        curve += 2 * lam / len(pairs) * (a.spread(np.ones(a.n)) + b.spread(np.ones(b.n))) * 4
+    mean = 2 * lam / max(1, len(pairs))
+
+    def loss(z, change):
+        return float(share @ (np.logaddexp(0, z) - z * labels) + mean / 2 * (change @ change))
+
+    w, bias, t, scale = np.zeros(len(used)), float(np.log(share @ labels / (1 - share @ labels))), 1.0, 1.0
+    z, change = np.full(n, bias), np.zeros(len(pairs))  # of the rows and pairs under w
+    wy, by, zy, cy = w, bias, z, change
     for _ in range(rounds):
-        z = np.bincount(own, wy[col], n) + by
-        r = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
-        g = np.bincount(col, r[own], len(used))
-        if len(pairs):
-            change = np.bincount(po, sign * wy[pc], len(pairs))
-            g += 2 * lam / len(pairs) * np.bincount(pc, sign * change[po], len(used))
-        w1 = wy - g / curve
-        w1 = np.sign(w1) * np.maximum(np.abs(w1) - l1 / curve, 0)
-        b1 = by - r.sum() / 0.25
+        r = share * (1 / (1 + np.exp(-zy)) - labels)
+        g = x.spread(r) + (mean * (a.spread(cy) - b.spread(cy)) if len(pairs) else 0)
+        fy, gb = loss(zy, cy), float(r.sum())
+        while True:  # a step as long as the curvature allows
+            w1 = wy - g / (scale * curve)
+            w1 = np.sign(w1) * np.maximum(np.abs(w1) - l1 / (scale * curve), 0)
+            b1 = by - gb / (scale * 0.25)
+            z1, c1 = x.sums(w1) + b1, a.sums(w1) - b.sums(w1)
+            d, db = w1 - wy, b1 - by
+            if scale > 1e6 or loss(z1, c1) <= fy + g @ d + gb * db + scale / 2 * (curve @ (d * d) + 0.25 * db * db) + 1e-12:
+                break
+            scale *= 2
         t1 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        if ((wy - w1) * curve) @ (w1 - w) + (by - b1) * (b1 - bias) > 0:
-            t1 = 1.0
-        wy, by = w1 + (t - 1) / t1 * (w1 - w), b1 + (t - 1) / t1 * (b1 - bias)
-        w, bias, t = w1, b1, t1
+        if ((wy - w1) * curve) @ (w1 - w) + 0.25 * (by - b1) * (b1 - bias) > 0:
+            t, t1 = 1.0, 1.0
+        k = (t - 1) / t1
+        wy, by, zy, cy = w1 + k * (w1 - w), b1 + k * (b1 - bias), z1 + k * (z1 - z), c1 + k * (c1 - change)
+        w, bias, z, change, t = w1, b1, z1, c1, t1
     keep = np.flatnonzero(w)
     return ToxicityModel(used[keep], w[keep], bias)
 
@@ -120,7 +147,7 @@ def chosen(pairs: list[tuple[str, str]], most: int) -> list[tuple[str, str]]:
 
 
 def _features(most: int):
-    @F.pandas_udf("bins binary, pairs array<binary>")
+    @F.pandas_udf("bins binary, pairs array<binary>, n long")
     def features(texts: pd.Series) -> pd.DataFrame:
         bins, pairs = [], []
         texts = [t if isinstance(t, str) else "" for t in texts]
@@ -129,32 +156,39 @@ def _features(most: int):
             for t in texts[lo:hi]:
                 both = bins_of([s for pair in chosen(swapped(t), most) for s in pair])
                 pairs.append([b.astype(np.int32).tobytes() for b in both])
-        return pd.DataFrame({"bins": bins, "pairs": pairs})
+        return pd.DataFrame({"bins": bins, "pairs": pairs, "n": [(len(b) + sum(map(len, p))) // 4 for b, p in zip(bins, pairs)]})
 
     return features
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = FIT_PER_LABEL, lam: float = 5.0, pairs_per_text: int = PAIRS_PER_TEXT) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = FIT_PER_LABEL, lam: float = 5.0, pairs_per_text: int = PAIRS_PER_TEXT, fit_features: int = FIT_FEATURES) -> ToxicityModel:
     """A model from docs (doc_id, text) and labels (doc_id, toxic 0 or 1): whole texts of up to per_label rows of each
-    label, the first by a hash of doc_id (of repeated ids one text), weighted so that the labels keep their shares. Up to
-    pairs_per_text sentences a text that hold identity terms, by a hash over the whole text, give counterfactual pairs.
-    Null labels, ids or texts are left out; a doc_id with several labels counts with each."""
-    known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").distinct()
-    share = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    first = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    known = known.withColumn("n", first).where(F.col("n") <= per_label).drop("n")
-    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = texts.select("toxic", _features(pairs_per_text)("text").alias("x")).select("toxic", "x.*").orderBy("toxic", "bins").collect()
-    y = np.array([r.toxic for r in rows], float)
-    n = np.bincount(y.astype(int), minlength=2) if len(y) else np.zeros(2)
-    weight = np.array([share[r.toxic] / n[r.toxic] for r in rows])
-    ints = lambda b: np.frombuffer(b, np.int32).astype(np.int64)
-    pairs = [(ints(r.pairs[i]), ints(r.pairs[i + 1])) for r in rows for i in range(0, len(r.pairs), 2)]
-    return train([ints(r.bins) for r in rows], y, weight, pairs, lam)
+    label, the first by a hash of doc_id (of repeated ids the least text), as long as their features and those of their
+    pairs are at most fit_features together; weighted so that the labels keep their shares. Up to pairs_per_text sentences
+    a text that hold identity terms, by a hash over the whole text, give counterfactual pairs. Null labels, ids or texts
+    are left out; a doc_id with several labels counts with each; empty texts are texts without features, repeated rows
+    count once; other columns are not read. Without rows, or of one label alone, the model is a constant."""
+    bounded_batches(docs.sparkSession)
+    known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic")
+    share = {r.toxic: r.n for r in known.distinct().groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    known = first_by_hash(known, "toxic", per_label)
+    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic", "order").agg(F.min("text").alias("text"))
+    rows = stored(texts.select("doc_id", "toxic", "order", _features(pairs_per_text)("text").alias("x")).select("doc_id", "toxic", "order", "x.*"))
+    before = F.sum("n").over(Window.orderBy("order", "doc_id", "toxic"))  # of a bounded number of rows, without their features
+    within = rows.select("doc_id", "toxic", before.alias("used"), "order", "n").where(F.col("used") <= fit_features).select("doc_id", "toxic")
+    y, features, pairs = [], [], []
+    for r in rows.join(F.broadcast(within), ["doc_id", "toxic"]).select("toxic", "bins", "pairs").orderBy("toxic", "bins").collect():
+        y.append(r.toxic)
+        features.append(np.frombuffer(bytes(r.bins), np.int32))
+        both = [np.frombuffer(bytes(p), np.int32) for p in r.pairs]
+        pairs += zip(both[::2], both[1::2])
+    n = np.bincount(y, minlength=2)
+    return train(features, np.array(y, float), np.array([share[k] / n[k] for k in y], float), pairs, lam)
 
 
 def score_toxicity(model: ToxicityModel, text: Column) -> Column:
-    """The score (0 to 1) of each whole text; null and empty texts get the bias alone."""
+    """The score (0 to 1) of each whole text, which depends on the text alone: equal texts tie. Null and empty texts get the
+    bias alone."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
