@@ -55,11 +55,14 @@ WITH p AS (
   SELECT page_id, md5(html) AS body, regexp_replace(url, '#.*$', '') AS x FROM pages
 ), q AS (
   SELECT page_id, body, lower(regexp_extract(x, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, regexp_extract(x, '^[A-Za-z][A-Za-z0-9+.-]*://(.*)$', 1) AS rest, x FROM p
+), h AS (
+  SELECT *, CASE WHEN contains(auth, '@') THEN regexp_extract(auth, '^.*@') ELSE '' END || CASE WHEN starts_with(lower(bare), 'www.') THEN substr(lower(bare), 5) ELSE lower(bare) END AS host
+  FROM (SELECT *, regexp_extract(auth, '[^@]*$') AS bare FROM (SELECT *, regexp_extract(rest, '^[^/?]*') AS auth FROM q))
 ), u AS (
-  SELECT page_id, body, CASE WHEN scheme = '' THEN trim(x) ELSE scheme || '://' || regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\.|:80$|:443$', '', 'g')
+  SELECT page_id, body, CASE WHEN scheme = '' THEN trim(x) ELSE scheme || '://' || CASE WHEN scheme = 'http' AND ends_with(host, ':80') THEN left(host, length(host) - 3) WHEN scheme = 'https' AND ends_with(host, ':443') THEN left(host, length(host) - 4) ELSE host END
     || CASE WHEN regexp_extract(rest, '^[^/?]*([^?]*)', 1) = '' THEN '/' ELSE regexp_extract(rest, '^[^/?]*([^?]*)', 1) END
     || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda z: z <> '' AND NOT starts_with(z, 'utm_')), '&'), ''), '') END AS canonical
-  FROM q
+  FROM h
 ), c AS (
   SELECT page_id * 4 + k AS record_id, canonical, 1600000000 + page_id % 1000 * 60 + k * 40000 AS at_s,
     CASE WHEN k = 0 OR (page_id + k) % 5 = 0 THEN 'response' ELSE 'revisit' END AS kind,

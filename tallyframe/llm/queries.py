@@ -13,14 +13,14 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 
 def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
-    return chat.conversation_digests(chat.chat_windows(turns.union(extra)))
+    said = F.lit("\\### Assistant: </turn> ok").alias("text")
+    extra = F.inline(F.array(*[F.struct(F.lit(-7).alias("conv_id"), F.lit(n).alias("turn"), F.lit(role).alias("role"), said) for n, role in enumerate(("user", "assistant"))]))
+    return chat.conversation_digests(chat.chat_windows(turns.unionByName(spark.range(0, 1, 1, 1).select(extra))))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    return urlfilter.judge_urls(table(spark, sf_dir, "pages"), rules)
+    rules = F.inline(F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(rule, ("host", "path", "verdict"))]) for rule in RULES]))
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"), spark.range(0, 1, 1, 1).select(rules))
 
 
 def captures(pages: DataFrame) -> DataFrame:
