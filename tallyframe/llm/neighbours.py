@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.shared import stored
 
-#: Centroids of each vector half (at most 64: a query's cells of one first-half centroid travel as the bits of a long).
-HALF_CENTROIDS = 32
+#: Entries that a cell should have on average, and the least and most centroids of each half (their pairs' sizes are a table
+#: on the driver and in each task: 8 MB at most).
+CELL_ROWS, LEAST_CENTROIDS, MOST_CENTROIDS = 64, 8, 1024
 #: Vectors to fit the centroids on at most, queries to calibrate with, and vectors and queries that meet in one task.
 FIT_ROWS, CALIBRATION_QUERIES, BLOCK_ROWS, BLOCK_QUERIES = 20_000, 64, 20_000, 4_000
+#: Queries whose cells one task looks up.
+QUERIES_TASK = 500
 
 
 @dataclass
@@ -43,7 +46,7 @@ def assign(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def traverse(query: np.ndarray, index: MultiIndex) -> np.ndarray:
-    """For each first-half centroid, the second-half centroids (as bits) that a query visits.
+    """The cells that a query visits (a table of booleans, first by second half).
 
     Pairs of centroids are taken in falling order of the summed inner products with the query's halves, by a heap over
     the two sorted lists, until they hold index.budget entries.
@@ -52,20 +55,19 @@ def traverse(query: np.ndarray, index: MultiIndex) -> np.ndarray:
     a, b = index.first @ query[:half], index.second @ query[half:]
     ia, ib = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
     a, b = a[ia].tolist(), b[ib].tolist()
-    cells = index.cells[ia][:, ib].tolist()
-    ia, ib = ia.tolist(), ib.tolist()
-    out = [0] * len(a)
+    ia, ib, cells = ia.tolist(), ib.tolist(), index.cells
+    out = np.zeros(cells.shape, bool)
     heap, got = [(-(a[0] + b[0]), 0, 0)], 0
     while heap and got < index.budget:
         _, i, j = heapq.heappop(heap)
-        if n := cells[i][j]:
+        if n := cells[ia[i], ib[j]]:
             got += n
-            out[ia[i]] |= 1 << ib[j]
+            out[ia[i], ib[j]] = True
         if j + 1 < len(b):
             heapq.heappush(heap, (-(a[i] + b[j + 1]), i, j + 1))
         if j == 0 and i + 1 < len(a):
             heapq.heappush(heap, (-(a[i + 1] + b[0]), i + 1, 0))
-    return np.array(out, np.uint64).view(np.int64)
+    return out
 
 
 def _matrix(raw: pd.Series, dim: int) -> np.ndarray:
@@ -86,123 +88,159 @@ def _bytes(v: pd.Series) -> pd.Series:
     return pd.Series([np.asarray(x, np.float64).tobytes() for x in v])
 
 
-def fit_index(entries: DataFrame, dim: int, k: int, half_centroids: int, recall: float, fit_rows: int, calibration: int) -> MultiIndex:
-    """Centroids from up to fit_rows entries (vec_id, raw), the first by a hash of the id; cell sizes over all entries;
-    and the least traversal budget (of 12 sizes, doubling down from all entries) whose mean recall of the k nearest,
-    over up to `calibration` entries taken as queries and measured against every entry, is at least `recall`."""
-    rows = entries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).select("vec_id", "raw").collect()
+def fit_index(entries: DataFrame, n: int, dim: int, k: int, half_centroids: int | None, recall: float, fit_rows: int, calibration: int) -> MultiIndex:
+    """Centroids from about fit_rows of the n entries (vec_id, raw), the first by a hash of the id; cell sizes over all
+    entries; and the least traversal budget (of two sizes for each halving down from all entries) whose mean recall of the
+    k nearest, over up to `calibration` entries taken as queries and measured against every entry, is at least `recall`."""
+    order = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))
+    near = entries.where(order < int(min(1.0, 1.5 * fit_rows / max(1, n)) * (1 << 40)))  # so that few are compared
+    rows = near.select("vec_id", "raw").orderBy(order, "vec_id").limit(fit_rows).collect()
     x = np.frombuffer(b"".join(r.raw for r in rows), np.float64).reshape(-1, dim)
     half = dim // 2
-    first, second = kmeans(x[:, :half], half_centroids), kmeans(x[:, half:], half_centroids)
+    wide = half_centroids or int(np.clip(round(np.sqrt(n / CELL_ROWS)), LEAST_CENTROIDS, MOST_CENTROIDS))
+    first, second = kmeans(x[:, :half], wide), kmeans(x[:, half:], wide)
     index = MultiIndex(dim, first, second, np.zeros((len(first), len(second)), np.int64), 0)
-    queries, ids = x[:calibration], np.array([r.vec_id for r in rows[:calibration]])
+    queries, ids = x[:calibration].copy(), np.array([r.vec_id for r in rows[:calibration]])
+    del rows, x
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A task's cell sizes (q = -1), and its k nearest entries for each query."""
+        cells, best = np.zeros(len(first) * len(second), np.int64), None
         for p in batches:
             m = _matrix(p["raw"], dim)
-            c1, c2 = assign(m[:, :half], first), assign(m[:, half:], second)
-            cell = np.bincount(c1 * len(second) + c2, minlength=len(first) * len(second))
-            at = np.flatnonzero(cell)
-            yield pd.DataFrame({"q": -1, "cell": at, "n": cell[at], "score": 0.0})
+            cell = assign(m[:, :half], first) * len(second) + assign(m[:, half:], second)
+            cells += np.bincount(cell, minlength=len(cells))
             s = queries @ m.T
             s[ids[:, None] == p["vec_id"].to_numpy()] = -np.inf
-            best = np.argsort(-s, axis=1)[:, :k]
-            q = np.repeat(np.arange(len(queries)), best.shape[1])
-            e = best.ravel()
-            yield pd.DataFrame({"q": q, "cell": c1[e] * len(second) + c2[e], "n": 1, "score": s[q, e]})
+            s, c = (s, np.broadcast_to(cell, s.shape)) if best is None else (np.hstack([best[0], s]), np.hstack([best[1], np.broadcast_to(cell, s.shape)]))
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            best = np.take_along_axis(s, top, 1), np.take_along_axis(c, top, 1)
+        if best is not None:
+            at = np.flatnonzero(cells)
+            yield pd.DataFrame({"q": -1, "cell": at, "n": cells[at], "score": 0.0})
+            q = np.repeat(np.arange(len(queries)), best[0].shape[1])
+            yield pd.DataFrame({"q": q, "cell": best[1].ravel(), "n": 1, "score": best[0].ravel()})
 
     seen = stored(entries.mapInPandas(measure, "q int, cell long, n long, score double"))
     for r in seen.where("q = -1").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         index.cells[r.cell // len(second), r.cell % len(second)] = r.n
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
-    truth = seen.where("q >= 0").withColumn("rank", rank).where(F.col("rank") <= k).select("q", "cell").collect()
-    total = int(index.cells.sum())
-    for share in sorted({max(min(total, 50 * k), total >> j) for j in range(12)} | {max(min(total, 50 * k), (3 * total) >> (j + 2)) for j in range(10)}):
-        index.budget = share
-        masks = [traverse(q, index) for q in queries]
-        hit = sum(int(masks[r.q][r.cell // len(second)]) >> int(r.cell % len(second)) & 1 for r in truth)
-        if hit >= recall * max(1, len(truth)):
+    truth = seen.where("q >= 0 and score > double('-infinity')").withColumn("rank", rank).where(F.col("rank") <= k).select("q", "cell").collect()
+    of = np.array([(r.q, r.cell) for r in truth], np.int64).reshape(-1, 2)
+    least = min(n, 2 * k)
+    for budget in sorted({max(least, n >> j) for j in range(16)} | {max(least, (3 * n) >> (j + 2)) for j in range(16)}):
+        index.budget = budget
+        hit = sum(int(traverse(q, index).ravel()[of[of[:, 0] == i, 1]].sum()) for i, q in enumerate(queries))
+        if hit >= recall * max(1, len(of)):
             break
     return index
 
 
-def nearest(vectors: DataFrame, queries_where: str = "vec_id % 20 = 0", k: int = 20, half_centroids: int = HALF_CENTROIDS, recall: float = 0.95, fit_rows: int = FIT_ROWS, calibration: int = CALIBRATION_QUERIES) -> DataFrame:
+def units(cells: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of first-half centroids that hold about block_rows entries, as each centroid's run and each run's first
+    centroid, and how many parts a run is cut into: one, but for a centroid that alone holds more."""
+    run, first, parts, held = np.zeros(len(cells), np.int32), [], [], 0
+    for c, n in enumerate(cells.sum(axis=1).tolist()):
+        if not first or held + n > block_rows:
+            first.append(c)
+            parts.append(max(1, -(-n // block_rows)))
+            held = 0
+        held += n
+        run[c] = len(first) - 1
+    return run, np.array([*first, len(cells)]), np.array(parts)
+
+
+def nearest(vectors: DataFrame, queries_where: str = "vec_id % 20 = 0", k: int = 20, half_centroids: int | None = None, recall: float = 0.95, fit_rows: int = FIT_ROWS, calibration: int = CALIBRATION_QUERIES, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """The k nearest rows of vectors (vec_id, embedding) by inner product, for each row that queries_where selects.
 
     Returns query_id, rank (from 1; ties of score: the smaller vec_id first), vec_id, score; a query is no neighbour of
-    itself. Vectors are quantised by halves; a query visits the pairs of centroids with the highest summed inner
-    products until they hold a number of entries that was calibrated for `recall`, and those are scored in double
-    precision. Vectors null, empty, zero, or with null or non-finite components take no part, as do null ids and vectors
-    of another length than the commonest; other columns are not read. Repeated rows (same id and vector) count once.
+    itself. Vectors are quantised by halves, by a number of centroids that grows with the number of entries unless it is
+    given; a query visits the pairs of centroids with the highest summed inner products until they hold a number of
+    entries that was calibrated for `recall`, and those are scored in double precision. Vectors null, empty, zero, or with
+    null or non-finite components take no part, as do null ids and vectors of another length than the commonest (ties:
+    the shorter); other columns are not read. Repeated rows (same id and vector) count once. No rows give no rows.
 
     Of equal vectors only the k + 1 with the smallest ids are entries (no query needs more), and equal queries are
-    searched once, so a vector that very many rows share costs no more than others. Entries and queries of one
-    first-half centroid meet in blocks of bounded size. All entries are indexed; whatever falls behind, fewer than k
-    found means that fewer exist.
+    searched once, so a vector that very many rows share costs no more than others. Entries meet queries by runs of
+    first-half centroids in blocks of bounded size; a query travels once to each block that it visits a cell of. All
+    entries are indexed; fewer than k found means that fewer exist.
     """
     spark = vectors.sparkSession
     v = usable(vectors).select("vec_id", F.pandas_udf(_bytes, "binary")("v").alias("raw"))
     v = stored(v.withColumn("h", F.md5("raw")).dropDuplicates(["vec_id", "h"]))
     one = v.select(F.length("raw").alias("n")).first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if one is None:
-        return empty
+        return v.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     dim = one["n"] // 8
     copy = F.row_number().over(Window.partitionBy("h").orderBy("vec_id"))
     entries = stored(v.withColumn("copy", copy).where(F.col("copy") <= k + 1).select("vec_id", "raw"))
-    index = fit_index(entries, dim, k, min(64, half_centroids), recall, fit_rows, calibration)
-    half, wide = dim // 2, len(index.first)
+    index = fit_index(entries, entries.count(), dim, k, half_centroids, recall, fit_rows, calibration)
+    half = dim // 2
+    run, begins, e_parts = units(index.cells, block_rows)
 
     asked = v.where(queries_where)
-    distinct = asked.groupBy("h").agg(F.min("raw").alias("raw"))
+    distinct = asked.groupBy("h").agg(F.min("raw").alias("raw")).repartition(max(1, -(-asked.count() // QUERIES_TASK)))
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             m = _matrix(p["raw"], dim)
-            yield pd.DataFrame({"c1": assign(m[:, :half], index.first), "c2": assign(m[:, half:], index.second), "vec_id": p["vec_id"], "raw": p["raw"]})
+            c1, c2 = assign(m[:, :half], index.first), assign(m[:, half:], index.second)
+            yield pd.DataFrame({"run": run[c1], "c1": c1, "c2": c2, "vec_id": p["vec_id"], "raw": p["raw"]})
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row for each run of which a query visits a cell: which of the run's cells, as bits."""
         for p in batches:
             for lo in range(0, len(p), 500):
-                part = p.iloc[lo : lo + 500]
-                bits = np.stack([traverse(q, index) for q in _matrix(part["raw"], dim)])
-                at, c1 = np.nonzero(bits)
-                yield pd.DataFrame({"c1": c1, "bits": bits[at, c1], "h": part["h"].to_numpy()[at], "raw": part["raw"].to_numpy()[at]})
-
-    placed = entries.mapInPandas(locate, "c1 int, c2 int, vec_id long, raw binary")
-    visits = stored(distinct.mapInPandas(visit, "c1 int, bits long, h string, raw binary"))
-    # bounded blocks: of a centroid's entries by id, of its queries by hash; each query block meets each entry block
-    many = {r.c1: r.n for r in visits.groupBy("c1").agg(F.count("*").alias("n")).collect()}
-    blocks = lambda n, size: max(1, -(-int(n) // size))
-    e_blocks = F.array(*[F.lit(blocks(index.cells[c].sum(), BLOCK_ROWS)) for c in range(wide)])
-    q_blocks = F.array(*[F.lit(blocks(many.get(c, 0), BLOCK_QUERIES)) for c in range(wide)])
-    left = placed.withColumn("e", F.pmod(F.xxhash64("vec_id"), F.element_at(e_blocks, F.col("c1") + 1)).cast("int"))
-    left = left.withColumn("q", F.explode(F.sequence(F.lit(0), F.element_at(q_blocks, F.col("c1") + 1) - 1)))
-    right = visits.withColumn("q", F.pmod(F.xxhash64("h"), F.element_at(q_blocks, F.col("c1") + 1)).cast("int"))
-    right = right.withColumn("e", F.explode(F.sequence(F.lit(0), F.element_at(e_blocks, F.col("c1") + 1) - 1)))
+                out = []
+                for h, raw in zip(p["h"].iloc[lo : lo + 500], p["raw"].iloc[lo : lo + 500]):
+                    cells = traverse(np.frombuffer(raw, np.float64), index)
+                    for u in np.unique(run[cells.any(axis=1)]).tolist():
+                        out.append((u, np.packbits(cells[begins[u] : begins[u + 1]]).tobytes(), h, raw))
+                yield pd.DataFrame(out, columns=["run", "bits", "h", "raw"])
+
+    placed = entries.mapInPandas(locate, "run int, c1 int, c2 int, vec_id long, raw binary")
+    visits = stored(distinct.mapInPandas(visit, "run int, bits binary, h string, raw binary"))
+    # bounded blocks: of a run's entries by id, of its queries by hash; each query block meets each entry block
+    many = {r.run: r.n for r in visits.groupBy("run").agg(F.count("*").alias("n")).collect()}
+    parts = [(u, int(n), max(1, -(-many.get(u, 0) // block_queries))) for u, n in enumerate(e_parts.tolist())]
+    parts = F.broadcast(spark.createDataFrame(parts, "run int, e_parts int, q_parts int"))  # a row for each centroid at most
+    left = placed.join(parts, "run").withColumn("e", F.pmod(F.xxhash64("vec_id"), F.col("e_parts")).cast("int"))
+    left = left.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1))).select("run", "e", "q", "c1", "c2", "vec_id", "raw")
+    right = visits.join(parts, "run").withColumn("q", F.pmod(F.xxhash64("h"), F.col("q_parts")).cast("int"))
+    right = right.withColumn("e", F.explode(F.sequence(F.lit(0), F.col("e_parts") - 1))).select("run", "e", "q", "bits", "h", "raw")
 
     def score(p: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, width = [], len(index.second)
         if len(p) and len(asks):
-            p = p.sort_values("vec_id", ignore_index=True)
-            m, c2, ids = _matrix(p["raw"], dim), p["c2"].to_numpy(), p["vec_id"].to_numpy()
-            bits, names = asks["bits"].to_numpy(), asks["h"].to_numpy()
-            x = _matrix(asks["raw"], dim)
+            p = p.sort_values(["c1", "vec_id"], ignore_index=True)
+            begin = begins[p["run"].iloc[0]]
+            m, c1, c2, ids = _matrix(p["raw"], dim), p["c1"].to_numpy() - begin, p["c2"].to_numpy(), p["vec_id"].to_numpy()
+            at = np.searchsorted(c1, np.arange(c1[-1] + 2))
+            names, x = asks["h"].to_numpy(), _matrix(asks["raw"], dim)
             for lo in range(0, len(asks), 256):
-                b = bits[lo : lo + 256]
-                s = x[lo : lo + 256] @ m.T
-                s[(b[:, None] >> c2) & 1 == 0] = -np.inf
-                most = min(k + 1, s.shape[1])
-                low = -np.partition(-s, most - 1, axis=1)[:, most - 1 : most]
-                q, e = np.nonzero((s >= low) & (s > -np.inf))
-                order = np.lexsort((ids[e], -s[q, e], q))
-                q, e = q[order], e[order]
-                rank = np.arange(len(q)) - np.searchsorted(q, q)
-                q, e = q[rank < most], e[rank < most]
-                out.append(pd.DataFrame({"h": names[lo + q], "vec_id": ids[e], "score": s[q, e]}))
+                bits = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for b in asks["bits"].iloc[lo : lo + 256]])
+                found = []  # of each centroid's entries the k + 1 nearest of the visited
+                for c in range(len(at) - 1):
+                    own = bits[:, c * width : (c + 1) * width]
+                    ask, some = np.flatnonzero(own.any(axis=1)), slice(at[c], at[c + 1])
+                    if len(ask) and at[c] < at[c + 1]:
+                        s = x[lo + ask] @ m[some].T
+                        s[own[ask][:, c2[some]] == 0] = -np.inf
+                        most = min(k + 1, s.shape[1])
+                        low = -np.partition(-s, most - 1, axis=1)[:, most - 1 : most]
+                        q, e = np.nonzero((s >= low - 1e-9 * np.abs(low)) & (s > -np.inf))
+                        found.append((ask[q], at[c] + e))
+                if found:
+                    q, e = (np.concatenate(f) for f in zip(*found))
+                    s = (x[lo + q] * m[e]).sum(axis=1)  # each pair by itself, so that equal vectors tie
+                    order = np.lexsort((ids[e], -s, q))
+                    q, e, s = q[order], e[order], s[order]
+                    rank = np.arange(len(q)) - np.searchsorted(q, q)
+                    q, e, s = q[rank <= k], e[rank <= k], s[rank <= k]
+                    out.append(pd.DataFrame({"h": names[lo + q], "vec_id": ids[e], "score": s}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"h": [], "vec_id": [], "score": []}).astype({"vec_id": "int64", "score": "float64"})
 
-    hits = left.groupBy("c1", "e", "q").cogroup(right.groupBy("c1", "e", "q")).applyInPandas(score, "h string, vec_id long, score double")
+    hits = left.groupBy("run", "e", "q").cogroup(right.groupBy("run", "e", "q")).applyInPandas(score, "h string, vec_id long, score double")
     near = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("score"), "vec_id"))
     hits = hits.withColumn("rank", near).where(F.col("rank") <= k + 1).select("h", "vec_id", "score")
     lists = hits.groupBy("h").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "vec_id"))).alias("found"))
