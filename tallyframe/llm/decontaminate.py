@@ -9,15 +9,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyframe.llm.textops import mix, slices
+from tallyframe.llm.shared import bounded_batches, stored
+from tallyframe.llm.textops import CHUNK, mix, slices
 
 #: Length of a q-gram in characters, and edits allowed as a share of an item's length.
 Q, EDITS = 12, 0.05
-#: Items of fewer normalised characters are no evidence of a leak.
-LEAST_CHARS = 20
 #: Benchmark characters that one broadcast index may hold; a larger benchmark is searched for in several passes.
 BLOCK_CHARS = 4_000_000
+#: Where an item and a text share q-grams at more pairs of places than this for each character, they repeat themselves so
+#: much that all diagonals would be kept: such parts of a text are aligned without them.
+DENSE = 4
+#: Characters of a text whose q-grams are looked up at once.
+WINDOW = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
 _ASCII = np.array([chr(c).isalnum() for c in range(128)])
@@ -28,11 +33,13 @@ class BenchmarkIndex:
     ids: list  # item ids
     chars: list[np.ndarray]  # normalised characters of each item
     edits: np.ndarray  # most edits of each item
-    bound: np.ndarray  # q-grams that a region within those edits must share with it
+    bound: np.ndarray  # q-grams that a region within those edits must share with it (0: it is shorter than a q-gram)
     grams: np.ndarray  # sorted distinct q-gram hashes
-    first: np.ndarray  # where each hash's places begin
-    item: np.ndarray  # places: item and position in it
+    first: np.ndarray  # where each hash's (hash, item) pairs begin
+    item: np.ndarray  # of each pair: item, and where its places begin
+    at: np.ndarray
     place: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by length of the items shorter than a q-gram: sorted hashes, items
 
 
 def _lower(text: str) -> str:
@@ -40,25 +47,37 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
-def normalise(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All texts' characters in lower case, each run of others than letters and digits as one blank (none before the
-    first word), and a 0 after each text. Also each character's text, its place in that text, and where texts begin."""
-    raw = "\0".join(map(_lower, texts)) + "\0"
-    code = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), "<u4")
-    size = np.array([len(t) + 1 for t in texts])
-    begin = np.cumsum(size) - size
+def _kept(raw: str, before: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Normalised characters of raw and their places in it; before: whether a letter or digit comes right before it."""
+    code = np.frombuffer(_lower(raw).encode("utf-32-le", "surrogatepass"), "<u4")
     word = (code >= 128) & ((code < 0x2000) | (code > 0x206F)) & (code != 0xA0) & (code != 0xAB) & (code != 0xBB)
     low = code < 128
     word[low] = _ASCII[code[low]]
     keep = word.copy()
     keep[1:] |= word[:-1]
-    out = np.where(word, code, np.uint32(32))
-    end = begin + size - 1
-    keep[end], out = True, out.copy()
-    out[end] = 0
+    keep[:1] |= before
     at = np.flatnonzero(keep)
-    own = np.repeat(np.arange(len(texts)), size)[at]
-    return out[at], own, at - begin[own], np.searchsorted(at, begin)
+    return np.where(word[at], code[at], np.uint32(32)), at, bool(word[-1]) if len(word) else before
+
+
+def normalise(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' characters in lower case, each run of others than letters and digits as one blank (none before the
+    first word), and a 0 after each text. Also each character's text, its place in that text, and where texts begin. A
+    long text is unpacked part by part; what stays is 12 bytes a character."""
+    code, own, at = [], [], []
+    for i, t in enumerate(texts):
+        before = False
+        for lo in range(0, len(t), CHUNK):
+            c, a, before = _kept(t[lo : lo + CHUNK], before)
+            code.append(c)
+            at.append((a + lo).astype(np.int32))
+            own.append(np.full(len(c), i, np.int32))
+        code.append(np.zeros(1, np.uint32))
+        at.append(np.full(1, len(t), np.int32))
+        own.append(np.full(1, i, np.int32))
+    own = np.concatenate(own) if own else np.zeros(0, np.int32)
+    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    return join(code, np.uint32), own, join(at, np.int32), np.searchsorted(own, np.arange(len(texts)))
 
 
 def qgram_hashes(code: np.ndarray, q: int = Q) -> np.ndarray:
@@ -78,106 +97,209 @@ def qgram_hashes(code: np.ndarray, q: int = Q) -> np.ndarray:
         width *= 2
 
 
-def build_index(items: list[tuple], q: int = Q, edits: float = EDITS, least: int = LEAST_CHARS) -> BenchmarkIndex:
-    """Items (id, text) of the benchmark; those too short are left out. An item's edits are lowered so far that the
-    lemma's bound, m + 1 - q * (edits + 1), is 1 at least."""
-    ids, chars, most, bound, gram, item, place = [], [], [], [], [], [], []
+def build_index(items: list[tuple], q: int = Q, edits: float = EDITS) -> BenchmarkIndex:
+    """Items (id, text) of the benchmark; those without a letter or digit are left out. An item's edits are lowered so far
+    that the lemma's bound, m + 1 - q * (edits + 1), is 1 at least; one shorter than a q-gram is looked for as it is."""
+    ids, chars, most, bound, gram, item, place, short = [], [], [], [], [], [], [], {}
     for name, text in items:
         c = normalise([text or ""])[0][:-1]
         c = c[:-1] if len(c) and c[-1] == 32 else c
-        if len(c) < max(least, q):
+        if not len(c):
             continue
-        k = min(int(edits * len(c)), len(c) // q - 1)
+        k = max(0, min(int(edits * len(c)), len(c) // q - 1))
         h = qgram_hashes(c, q)
-        item += [len(ids)] * len(h)
-        place += range(len(h))
+        if len(c) < q:
+            short.setdefault(len(c), []).append((qgram_hashes(c, len(c))[0], len(ids)))
+        item.append(np.full(len(h), len(ids), np.int32))
+        place.append(np.arange(len(h), dtype=np.int32))
         gram.append(h)
         ids.append(name)
         chars.append(c)
         most.append(k)
-        bound.append(len(c) + 1 - q * (k + 1))
-    gram = np.concatenate(gram) if gram else np.zeros(0, np.uint64)
-    order = np.argsort(gram, kind="stable")
-    grams, first = np.unique(gram[order], return_index=True)
-    to = lambda x, kind: np.array(x, kind)
-    return BenchmarkIndex(ids, chars, to(most, np.int64), to(bound, np.int64), grams, np.append(first, len(gram)), to(item, np.int32)[order], to(place, np.int32)[order])
+        bound.append(len(c) + 1 - q * (k + 1) if len(c) >= q else 0)
+    gram, item, place = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((gram, np.uint64), (item, np.int32), (place, np.int32)))
+    order = np.lexsort((place, item, gram))
+    gram, item, place = gram[order], item[order], place[order]
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (item[1:] != item[:-1])
+    at = np.flatnonzero(new)
+    grams, first = np.unique(gram[at], return_index=True)
+    tables = {n: tuple(np.array(x, kind) for x, kind in zip(zip(*sorted(found)), (np.uint64, np.int64))) for n, found in short.items()}
+    return BenchmarkIndex(ids, chars, np.array(most, np.int64), np.array(bound, np.int64), grams, np.append(first, len(at)), item[at].astype(np.int64), np.append(at, len(gram)), place, tables)
 
 
-def align(item: np.ndarray, text: np.ndarray, most: int, anchored: bool = False) -> tuple[int, int] | None:
-    """The least edits (most at most) that make the item a part of text, and where that part ends; None if there is
-    none. Only diagonals of text are walked along on which the item can lie. anchored: the part begins text."""
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, … count[0] of them, then those of start[1], and so on."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
+
+
+def distances(item: np.ndarray, text: np.ndarray, most: int, anchored: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The least edits (most + 1 for more than most) that make the item a part of text, for each place where that part may
+    end. Only diagonals of text are walked along on which the item can lie. anchored: the part begins text."""
     width = len(text) - len(item) + 2 * most + 1
     if width <= 0:
-        return None
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     none = np.full(most, 0xFFFFFFFF, np.uint32)  # a blank margin: to lie there costs an edit a character
     pad = np.concatenate([none, text, none])
-    step = np.arange(width)
-    row = np.where(step < most, most + 1, step - most) if anchored else np.zeros(width, np.int64)
+    step = np.arange(width, dtype=np.int32)
+    row = np.where(step < most, most + 1, step - most).astype(np.int32) if anchored else np.zeros(width, np.int32)
     for i, c in enumerate(item):
         new = row + (pad[i : i + width] != c)
         new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        row = np.minimum.accumulate(new - step) + step
+        row = (np.minimum.accumulate(new - step) + step).astype(np.int32) if most else new
         if row.min() > most:
-            return None
-    end = len(item) - most + step
-    fits = np.where((end >= 0) & (end <= len(text)), row, most + 1)
-    d = int(np.argmin(fits))
-    return (int(fits[d]), int(end[d])) if fits[d] <= most else None
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    end = len(item) - most + step.astype(np.int64)
+    inside = (end >= 0) & (end <= len(text))
+    return np.minimum(row[inside], most + 1), end[inside]
 
 
-def find_leaks(texts: list[str], index: BenchmarkIndex, bitmap: np.ndarray, q: int = Q) -> list[tuple]:
-    """(text's index, item's index, start, end, edits) of each benchmark item found in the texts; start and end are
-    characters of the text as given."""
-    code, own, at, begin = normalise(texts)
-    h = qgram_hashes(code, q)
+def align(item: np.ndarray, text: np.ndarray, most: int, anchored: bool = False) -> tuple[int, int] | None:
+    """The least edits (most at most) that make the item a part of text, and where the first such part ends, or None."""
+    edits, end = distances(item, text, most, anchored)
+    if not len(edits) or edits.min() > most:
+        return None
+    d = int(np.argmin(edits))
+    return int(edits[d]), int(end[d])
+
+
+def _between(item: np.ndarray, text: np.ndarray, most: int) -> Iterator[tuple[int, int, int]]:
+    """Finds (start, end, edits) in a text from the left: the first place where the item may end within `most` edits, or
+    of the next 2 * most places the first with fewest edits; then the same in what follows."""
+    pos, reach = 0, len(item) + most
+    size = 4 * reach
+    while len(text) - pos >= len(item) - most:
+        part = text[pos : pos + size]
+        edits, end = distances(item, part, most)
+        good = np.flatnonzero(edits <= most)
+        last = pos + size >= len(text)
+        if not len(good):
+            if last:
+                return
+            pos, size = pos + size - reach, min(2 * size, max(1 << 18, 4 * reach))
+            continue
+        j = int(end[good[0]])
+        if j + 2 * most > len(part) and not last:
+            pos, size = pos + max(0, j - reach), 4 * reach
+            continue
+        near = good[end[good] <= j + 2 * most]
+        best = near[np.argmin(edits[near])]
+        j, e = int(end[best]), int(edits[best])
+        back = align(item[::-1], part[max(0, j - reach) : j][::-1], e, anchored=True)
+        yield pos + j - back[1], pos + j, e
+        pos, size = pos + j, 4 * reach
+
+
+def finds(item: np.ndarray, text: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of an item in a text, none overlapping: exact ones first, from the left, then between them
+    others (see _between)."""
+    raw, one, exact, at = text.tobytes(), item.tobytes(), [], 0
+    while (at := raw.find(one, at)) >= 0:
+        if at % 4:
+            at += 1
+        else:
+            exact.append((at // 4, at // 4 + len(item), 0))
+            at += len(one)
+    if not most:
+        return exact
+    out, lo = list(exact), 0
+    for start, end, _ in [*exact, (len(text), len(text), 0)]:
+        out += [(lo + a, lo + z, e) for a, z, e in _between(item, text[lo:start], most)]
+        lo = end
+    return sorted(out)
+
+
+def _regions(code: np.ndarray, lo: int, hi: int, index: BenchmarkIndex, bitmap: np.ndarray, q: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Where items may lie in code[lo:hi]: (item, from, to) arrays; the region may go beyond a text's ends."""
+    h = qgram_hashes(code[lo:hi], q)
     hit = np.flatnonzero(bitmap[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
-    if not len(hit) or not len(index.grams):
-        return []
+    if not len(hit):
+        return
     g = np.minimum(np.searchsorted(index.grams, h[hit]), len(index.grams) - 1)
     same = index.grams[g] == h[hit]
-    hit, g = hit[same], g[same]
+    hit, g = hit[same] + lo, g[same]
     count = index.first[g + 1] - index.first[g]
-    pos = np.repeat(hit, count)
-    where = np.arange(len(pos)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(index.first[g], count)
-    item, place = index.item[where].astype(np.int64), index.place[where].astype(np.int64)
+    pair = _ranges(index.first[g], count)
+    pos, item = np.repeat(hit, count), index.item[pair]
+    times = index.at[pair + 1] - index.at[pair]
+    reach = np.array([len(c) for c in index.chars], np.int64) + index.edits
+    # parts of the text, as long as the item's regions, where they share too many pairs of places to list them
+    bucket = pos // reach[item]
+    key, back, hits = np.unique(item << 40 | bucket, return_inverse=True, return_counts=True)
+    near = hits.astype(np.int64)
+    follows = key[1:] == key[:-1] + 1
+    near[1:][follows] += hits[:-1][follows]
+    near[:-1][follows] += hits[1:][follows]
+    dense = np.bincount(back, times, len(key)) > DENSE * reach[key >> 40]
+    d = np.flatnonzero(dense & (near >= index.bound[key >> 40]))
+    i, b = key[d] >> 40, key[d] & ((1 << 40) - 1)
+    yield i, (b - 1) * reach[i], (b + 2) * reach[i]
+    keep = ~dense[back]
+    pos, item, pair, times = pos[keep], item[keep], pair[keep], times[keep]
+    place = index.place[_ranges(index.at[pair], times)].astype(np.int64)
+    pos, item = np.repeat(pos, times), np.repeat(item, times)
     wide = index.edits[item] + 1
     band = (pos - place + len(code)) // wide  # of diagonals, all above 0
     key = np.concatenate([item << 40 | band, item << 40 | (band - 1)])  # bands of two widths overlap by one
     uniq, back, n = np.unique(key, return_inverse=True, return_counts=True)
-    good = n >= index.bound[uniq >> 40]
-    kept = np.flatnonzero(good[back])
-    if not len(kept):
-        return []
-    both = np.unique(np.stack([back[kept], np.concatenate([place, place])[kept]], 1), axis=0)[:, 0]  # each q-gram of an item counts once
-    band_id, n = np.unique(both, return_counts=True)
-    some = np.zeros(len(uniq), np.int64)
-    some[back] = np.concatenate([pos, pos])
-    out = set()
-    for b in band_id[n >= index.bound[uniq[band_id] >> 40]].tolist():
-        i = int(uniq[b] >> 40)
-        k, c = int(index.edits[i]), index.chars[i]
-        t = int(own[some[b]])
-        diagonal = int(uniq[b] & ((1 << 40) - 1)) * (k + 1) - len(code)
-        stop = int(begin[t + 1]) - 1 if t + 1 < len(begin) else len(code) - 1
-        lo = max(int(begin[t]), diagonal - k)
-        region = code[lo : min(stop, diagonal + 2 * (k + 1) + len(c) + k)]
-        exact = region.tobytes().find(c.tobytes())
-        while exact > 0 and exact % 4:
-            exact = region.tobytes().find(c.tobytes(), exact + 1)
-        if exact >= 0:
-            found = (0, exact // 4 + len(c))
-        elif k == 0 or (found := align(c, region, k)) is None:
-            continue
-        rest = align(c[::-1], region[: found[1]][::-1], found[0], anchored=True) if found[0] else (0, len(c))
-        a, z = lo + found[1] - rest[1], lo + found[1] - 1
-        out.add((t, i, int(at[a]), int(at[z]) + 1, found[0]))
-    return sorted(out)
+    kept = np.flatnonzero((n >= index.bound[uniq >> 40])[back])
+    both = np.unique(back[kept] << 32 | np.concatenate([place, place])[kept]) >> 32  # each q-gram of an item counts once
+    b, n = np.unique(both, return_counts=True)
+    b = uniq[b[n >= index.bound[uniq[b] >> 40]]]
+    i, diagonal = b >> 40, (b & ((1 << 40) - 1)) * (index.edits[b >> 40] + 1) - len(code)
+    yield i, diagonal - index.edits[i], diagonal + 2 * (index.edits[i] + 1) + reach[i]
 
 
-def leaks_in(index: BenchmarkIndex, text: Column, q: int = Q) -> Column:
-    """array<struct(item, start, end, edits)> of the benchmark items in each whole text; item counts in index.ids."""
+def find_leaks(texts: list[str], index: BenchmarkIndex, bitmap: np.ndarray, q: int = Q) -> list[tuple]:
+    """(text's index, item's index, start, end, edits) of each benchmark item found in the texts; start and end are
+    characters of the text as given."""
+    code, own, at, begin = normalise(texts)
+    stop = np.append(begin[1:], len(code)) - 1
+    out, found = [], []
+    if len(index.grams):
+        reach = int(max(len(c) + k for c, k in zip(index.chars, index.edits)))
+        window = max(WINDOW, 4 * reach)
+        for lo in range(0, len(code), window):
+            found += _regions(code, lo, min(len(code), lo + window + 2 * reach + q), index, bitmap, q)
+    if found:
+        item, lo, hi = (np.concatenate(x) for x in zip(*found))
+        lo, hi = np.maximum(lo, 0), np.minimum(hi, len(code))
+        # a region may touch several texts: its part in each
+        first, last = own[np.minimum(lo, len(own) - 1)], own[np.maximum(hi - 1, 0)]
+        n = np.maximum(last - first + 1, 0)
+        t, of = _ranges(first.astype(np.int64), n.astype(np.int64)), np.repeat(np.arange(len(item)), n)
+        item, lo, hi = item[of], np.maximum(lo[of], begin[t]), np.minimum(hi[of], stop[t])
+        order = np.lexsort((lo, item, t))
+        t, item, lo, hi = t[order], item[order], lo[order], hi[order]
+        r = 0
+        while r < len(t):  # overlapping regions of one item and text are one
+            text, i, a, z, r = int(t[r]), int(item[r]), int(lo[r]), int(hi[r]), r + 1
+            while r < len(t) and t[r] == text and item[r] == i and lo[r] <= z:
+                z, r = max(z, int(hi[r])), r + 1
+            for s, e, edits in finds(index.chars[i], code[a:z], int(index.edits[i])):
+                out.append((text, i, int(at[a + s]), int(at[a + e - 1]) + 1, edits))
+    for n, (hashes, items) in index.short.items():
+        h = qgram_hashes(code, n)
+        g = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        hit = np.flatnonzero(hashes[g] == h)
+        before, after = code[hit - 1], code[np.minimum(hit + n, len(code) - 1)]
+        hit = hit[((hit == begin[own[hit]]) | (before == 32)) & ((after == 32) | (after == 0))]
+        for p in hit.tolist():
+            for j in range(int(np.searchsorted(hashes, h[p])), int(np.searchsorted(hashes, h[p], "right"))):
+                if (code[p : p + n] == index.chars[items[j]]).all():
+                    out.append((int(own[p]), int(items[j]), int(at[p]), int(at[p + n - 1]) + 1, 0))
+    out.sort()
+    kept = out[:1]
+    for x in out[1:]:  # of a short item's finds that overlap the first counts
+        if x[:2] != kept[-1][:2] or x[2] >= kept[-1][3]:
+            kept.append(x)
+    return kept
+
 
-    @F.pandas_udf("array<struct<item:int,start:int,end:int,edits:int>>")
+def leaks_in(index: BenchmarkIndex, text: Column, id_type: str = "bigint", q: int = Q) -> Column:
+    """array<struct(item_id, start, end, edits)> of the benchmark items in each whole text."""
+
+    @F.pandas_udf(f"array<struct<item_id:{id_type},start:int,end:int,edits:int>>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bitmap = np.zeros(1 << _BITS, bool)
         bitmap[(index.grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
@@ -185,20 +307,24 @@ def leaks_in(index: BenchmarkIndex, text: Column, q: int = Q) -> Column:
             texts = [t if isinstance(t, str) else "" for t in batch]
             found: list[list] = [[] for _ in texts]
             for lo, hi in slices(texts):
-                for t, *rest in find_leaks(texts[lo:hi], index, bitmap, q):
-                    found[lo + t].append(dict(zip(("item", "start", "end", "edits"), rest)))
+                for t, i, *rest in find_leaks(texts[lo:hi], index, bitmap, q):
+                    found[lo + t].append(dict(zip(("item_id", "start", "end", "edits"), (index.ids[i], *rest))))
             yield pd.Series(found)
 
     return find(text)
 
 
-def indexes(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, **options) -> Iterator[BenchmarkIndex]:
-    """The benchmark (item_id, text) as one index for each block of block_chars characters or so."""
+def indexes(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, **options) -> Iterator[tuple[int, BenchmarkIndex]]:
+    """The benchmark (item_id, text) as one index after the other, each of block_chars characters or so, and how many."""
     b = benchmark.where("text is not null").select("item_id", "text").distinct()
     n = -(-(b.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars)
     for k in range(n):
         rows = b.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
-        yield build_index([tuple(r) for r in rows], **options)
+        yield n, build_index([tuple(r) for r in rows], **options)
+
+
+def _id_type(benchmark: DataFrame) -> T.DataType:
+    return benchmark.select("item_id").schema[0].dataType
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS, **options) -> DataFrame:
@@ -206,22 +332,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOC
 
     Texts are compared in lower case with runs of other characters than letters and digits as one blank. A region holds
     an item if at most `edits` of the item's characters (a share; less for short items, see build_index) are changed,
-    dropped or added; of overlapping finds of one item in neighbouring bands each distinct span counts. Regions are
-    never missed: one within k edits shares the lemma's number of q-grams with the item on diagonals that some band
-    holds. Whole texts are searched; null and empty ones hold nothing, nor do null, empty or very short items. Repeated
-    rows give repeated results; other columns are not read. An empty benchmark gives no rows.
+    dropped or added; an item shorter than a q-gram must be there as whole words. Finds of one item don't overlap (see
+    finds). None is missed: a region within k edits shares the lemma's number of q-grams with the item on diagonals that
+    some band holds; where text and item only repeat themselves, the bands give way to alignment of the whole part.
+
+    Whole texts are searched, long ones in parts; null and empty ones hold nothing, nor do null items and such without a
+    letter or digit. Items of equal text are each found, repeated rows of docs give repeated results, repeated rows of
+    the benchmark count once; other columns are not read. An empty benchmark or no docs give no rows. A benchmark of
+    more than block_chars is searched for block by block, each in a pass of its own whose finds are stored, so one index
+    is in memory at a time.
     """
-    out = None
-    for index in indexes(benchmark, block_chars, **options):
-        ids = F.array(*[F.lit(i) for i in index.ids]) if index.ids else F.array().cast("array<long>")
-        one = docs.select("doc_id", F.explode(leaks_in(index, F.col("text"))).alias("x"))
-        one = one.select("doc_id", F.element_at(ids, F.col("x.item") + 1).cast("long").alias("item_id"), "x.start", "x.end", "x.edits")
+    bounded_batches(docs.sparkSession)
+    kind, out = _id_type(benchmark), None
+    for n, index in indexes(benchmark, block_chars, **options):
+        one = docs.select("doc_id", F.explode(leaks_in(index, F.col("text"), kind.simpleString())).alias("x")).select("doc_id", "x.*")
+        one = stored(one) if n > 1 else one
         out = one if out is None else out.union(one)
-    return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, end int, edits int") if out is None else out
+    return docs.select("doc_id", F.lit(None).cast(kind).alias("item_id"), *[F.lit(0).alias(c) for c in ("start", "end", "edits")]).where("false") if out is None else out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS, **options) -> DataFrame:
     """The rows of docs in whose text decontaminate finds nothing, with all their columns."""
-    for index in indexes(benchmark, block_chars, **options):
-        docs = docs.where(F.size(leaks_in(index, F.col("text"))) == 0)
+    bounded_batches(docs.sparkSession)
+    for n, index in indexes(benchmark, block_chars, **options):
+        docs = docs.where(F.size(leaks_in(index, F.col("text"), _id_type(benchmark).simpleString())) == 0)
+        docs = stored(docs) if n > 1 else docs
     return docs

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.shared import stored
+
 #: Permitted sequence lengths (in characters, as a character-level model counts tokens), and what a sequence costs
 #: besides its length.
 CAPACITIES, BIN_COST = (2048, 4096, 8192, 16384), 64
@@ -54,19 +56,21 @@ def best_fit(sizes: np.ndarray, capacities: tuple = CAPACITIES, bin_cost: float
     return bins, offset, least[bins]
 
 
-def pack_documents(docs: DataFrame, capacities: tuple = CAPACITIES, bin_cost: float = BIN_COST, lot: int = LOT) -> DataFrame:
+def pack_documents(docs: DataFrame, capacities: tuple = CAPACITIES, bin_cost: float = BIN_COST, lot: int = LOT, tokens: Callable[[Column], Column] = F.length) -> DataFrame:
     """Every document of docs (doc_id, text) in sequences: doc_id, piece, start, length, bin_id, capacity, offset.
 
-    A text longer than the largest capacity is cut into pieces of it; start and length (characters) say what a piece
-    holds, so substring(text, start + 1, length) at `offset` fills sequence bin_id. Pieces are dealt out evenly, about
-    `lot` to a task, and packed there by best_fit; only a task's last sequences can be emptier than they would be in
-    one run over everything. Null and empty texts are pieces of length 0, repeated rows are packed each, null doc_ids
-    like others; other columns are not read. Texts themselves are not shuffled. No rows give no rows.
+    A text of more tokens (of the text column; characters as they are given) than the largest capacity is cut into pieces
+    of it; start and length, in tokens, say what a piece holds, so with characters substring(text, start + 1, length) at
+    `offset` fills sequence bin_id. Pieces are dealt out evenly, about `lot` to a task, and packed there by best_fit; only a
+    task's last sequences can be emptier than they would be in one run over everything. Null and empty texts are pieces of
+    length 0, pieces of equal length go by doc_id and piece, repeated rows are packed each, null doc_ids like others; other
+    columns are not read. Texts are read once and not shuffled. No rows give no rows.
     """
     most = max(capacities)
-    n = F.coalesce(F.length("text"), F.lit(0))
+    n = F.coalesce(tokens(F.col("text")), F.lit(0)).cast("int")
     d = docs.select("doc_id", n.alias("n")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / most) - 1, F.lit(0)).cast("int"))))
     d = d.select("doc_id", "piece", (F.col("piece") * most).alias("start"), F.least(F.lit(most), F.col("n") - F.col("piece") * most).alias("length"))
+    d = stored(d)
     lots = max(1, -(-d.count() // lot))
     d = d.repartition(lots).sortWithinPartitions("length", "doc_id", "piece")
 
