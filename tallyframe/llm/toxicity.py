@@ -177,7 +177,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = FIT_PER_LA
     before = F.sum("n").over(Window.orderBy("order", "doc_id", "toxic"))  # of a bounded number of rows, without their features
     within = rows.select("doc_id", "toxic", before.alias("used"), "order", "n").where(F.col("used") <= fit_features).select("doc_id", "toxic")
     y, features, pairs = [], [], []
-    for r in rows.join(F.broadcast(within), ["doc_id", "toxic"]).select("toxic", "bins", "pairs").orderBy("toxic", "bins").collect():
+    for r in rows.join(F.broadcast(within), ["doc_id", "toxic"]).orderBy("order", "doc_id", "toxic").select("toxic", "bins", "pairs").collect():
         y.append(r.toxic)
         features.append(np.frombuffer(bytes(r.bins), np.int32))
         both = [np.frombuffer(bytes(p), np.int32) for p in r.pairs]
