@@ -47,8 +47,9 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
-def _kept(raw: str, before: bool) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Normalised characters of raw and their places in it; before: whether a letter or digit comes right before it."""
+def _kept(raw: str, before: bool, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Normalised characters of raw and their places in it; before: whether a letter or digit comes right before it; ends:
+    where in raw a text ends, at a 0."""
     code = np.frombuffer(_lower(raw).encode("utf-32-le", "surrogatepass"), "<u4")
     word = (code >= 128) & ((code < 0x2000) | (code > 0x206F)) & (code != 0xA0) & (code != 0xAB) & (code != 0xBB)
     low = code < 128
@@ -56,8 +57,11 @@ def _kept(raw: str, before: bool) -> tuple[np.ndarray, np.ndarray, bool]:
     keep = word.copy()
     keep[1:] |= word[:-1]
     keep[:1] |= before
+    out = np.where(word, code, np.uint32(32))
+    if ends is not None:
+        keep[ends], out[ends] = True, 0
     at = np.flatnonzero(keep)
-    return np.where(word[at], code[at], np.uint32(32)), at, bool(word[-1]) if len(word) else before
+    return out[at], at, bool(word[-1]) if len(word) else before
 
 
 def normalise(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,16 +69,22 @@ def normalise(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     first word), and a 0 after each text. Also each character's text, its place in that text, and where texts begin. A
     long text is unpacked part by part; what stays is 12 bytes a character."""
     code, own, at = [], [], []
-    for i, t in enumerate(texts):
-        before = False
-        for lo in range(0, len(t), CHUNK):
-            c, a, before = _kept(t[lo : lo + CHUNK], before)
+    for first, last in slices(texts, CHUNK):
+        if last - first > 1 or len(texts[first]) <= CHUNK:  # short texts at once, with a 0 after each
+            size = np.array([len(t) + 1 for t in texts[first:last]])
+            c, a, _ = _kept("\0".join(texts[first:last]) + "\0", False, np.cumsum(size) - 1)
+            of = np.repeat(np.arange(first, last, dtype=np.int32), size)[a]
+            parts = [(c, of, a - (np.cumsum(size) - size)[of - first])]
+        else:
+            parts, before = [], False
+            for lo in range(0, len(texts[first]), CHUNK):
+                c, a, before = _kept(texts[first][lo : lo + CHUNK], before)
+                parts.append((c, np.full(len(c), first, np.int32), a + lo))
+            parts.append((np.zeros(1, np.uint32), np.full(1, first, np.int32), np.full(1, len(texts[first]))))
+        for c, of, a in parts:
             code.append(c)
-            at.append((a + lo).astype(np.int32))
-            own.append(np.full(len(c), i, np.int32))
-        code.append(np.zeros(1, np.uint32))
-        at.append(np.full(1, len(t), np.int32))
-        own.append(np.full(1, i, np.int32))
+            own.append(of)
+            at.append(a.astype(np.int32))
     own = np.concatenate(own) if own else np.zeros(0, np.int32)
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
     return join(code, np.uint32), own, join(at, np.int32), np.searchsorted(own, np.arange(len(texts)))
