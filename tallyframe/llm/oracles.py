@@ -85,3 +85,17 @@ SELECT record_id, canonical, at_s, status, CASE WHEN status IN ('resolved', 'unv
   CASE WHEN status IN ('resolved', 'unverified') THEN coalesce(r_digest, digest) END AS digest
 FROM s
 """
+
+SQL["op11_repeats"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT r, i, array_to_string(w[i:i + 34], ' ') AS t FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), hit AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM win JOIN (SELECT t FROM win GROUP BY t HAVING count(*) > 1) USING (t)
+), kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n
+  FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN hit USING (r, p) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""

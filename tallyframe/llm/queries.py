@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, decontaminate, language, neardup, neighbours, packing, sharding, toxicity, urlfilter, warc
+from tallyframe.llm import chat, decontaminate, language, neardup, neighbours, packing, sharding, substrings, toxicity, urlfilter, warc
 from tallyframe.llm.shared import table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -83,8 +83,12 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op2_revisits": op2_revisits, "op3_chat_windows": op3_chat_windows, "op4_near_duplicates": op4_near_duplicates, "op5_language": op5_language, "op6_nearest": op6_nearest, "op7_url_filter": op7_url_filter, "op8_shards": op8_shards, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
+    return {"op1_decontaminate": op1_decontaminate, "op2_revisits": op2_revisits, "op3_chat_windows": op3_chat_windows, "op4_near_duplicates": op4_near_duplicates, "op5_language": op5_language, "op6_nearest": op6_nearest, "op7_url_filter": op7_url_filter, "op8_shards": op8_shards, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing, "op11_repeats": op11_repeats}
 
 
 def oracle_sql() -> dict[str, str]:
