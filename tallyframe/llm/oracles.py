@@ -99,3 +99,29 @@ WITH d AS (
 )
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
 """
+
+
+def _lloyd(rounds: int = 10) -> str:
+    """Rounds of Lloyd's algorithm, each two named tables: t (each vector's cluster) and c (the centroids)."""
+    nearest = """t{0} AS MATERIALIZED (
+  SELECT r, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT r, k, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c{0} c USING (i) GROUP BY r, k) GROUP BY r
+)"""
+    moved = """c{1} AS MATERIALIZED (
+  SELECT k, i, coalesce(m, c.x) AS x FROM c{0} c LEFT JOIN (SELECT k, i, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m FROM v JOIN t{0} USING (r) GROUP BY k, i) USING (k, i)
+)"""
+    return ",\n".join(x for n in range(rounds) for x in (nearest.format(n), moved.format(n, n + 1))) + ",\n" + nearest.format(rounds)
+
+
+SQL["op12_centroids"] = f"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), v AS MATERIALIZED (
+  SELECT r, i, CAST(floor(1024 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x FROM (SELECT r, embedding, unnest(range(1, 65)) AS i FROM e)
+), c0 AS MATERIALIZED (
+  SELECT k, i, x FROM (SELECT r, row_number() OVER (ORDER BY h) - 1 AS k FROM e ORDER BY h LIMIT 8) JOIN v USING (r)
+),
+{_lloyd()}
+SELECT vec_id, CAST(t.k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY t.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, s AS centroid_sha256
+FROM t10 t JOIN e USING (r) JOIN (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS s FROM c10 GROUP BY k) n ON n.k = t.k
+"""

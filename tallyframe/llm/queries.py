@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, decontaminate, language, neardup, neighbours, packing, sharding, substrings, toxicity, urlfilter, warc
-from tallyframe.llm.shared import table
+from tallyframe.llm import centroids, chat, decontaminate, language, neardup, neighbours, packing, sharding, substrings, toxicity, urlfilter, warc, whitening
+from tallyframe.llm.shared import stored, table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -87,8 +87,18 @@ def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clustered, found = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"), k=8, rounds=10)
+    names = F.array(*[F.sha2(F.lit(",".join(map(str, c.tolist()))), 256) for c in found]) if len(found) else F.array(F.lit(""))
+    return centroids.with_inertia(stored(clustered)).withColumn("centroid_sha256", F.get(names, F.col("cluster")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 16)
+
+
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op2_revisits": op2_revisits, "op3_chat_windows": op3_chat_windows, "op4_near_duplicates": op4_near_duplicates, "op5_language": op5_language, "op6_nearest": op6_nearest, "op7_url_filter": op7_url_filter, "op8_shards": op8_shards, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing, "op11_repeats": op11_repeats}
+    return {"op1_decontaminate": op1_decontaminate, "op2_revisits": op2_revisits, "op3_chat_windows": op3_chat_windows, "op4_near_duplicates": op4_near_duplicates, "op5_language": op5_language, "op6_nearest": op6_nearest, "op7_url_filter": op7_url_filter, "op8_shards": op8_shards, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing, "op11_repeats": op11_repeats, "op12_centroids": op12_centroids, "op13_whitening": op13_whitening}
 
 
 def oracle_sql() -> dict[str, str]:
