@@ -7,11 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tallyframe.llm.shared import bounded_batches, stored
+from tallyframe.llm.shared import bounded_batches, small, stored
 from tallyframe.llm.textops import CHUNK, mix, slices
 
 #: Length of a q-gram in characters, and edits allowed as a share of an item's length.
@@ -306,7 +305,7 @@ def find_leaks(texts: list[str], index: BenchmarkIndex, bitmap: np.ndarray, q: i
     return kept
 
 
-def leaks_in(index: BenchmarkIndex, text: Column, id_type: str = "bigint", q: int = Q) -> Column:
+def leaks_in(index: BenchmarkIndex, text: Column, id_type: str, q: int = Q) -> Column:
     """array<struct(item_id, start, end, edits)> of the benchmark items in each whole text."""
 
     @F.pandas_udf(f"array<struct<item_id:{id_type},start:int,end:int,edits:int>>")
@@ -324,17 +323,27 @@ def leaks_in(index: BenchmarkIndex, text: Column, id_type: str = "bigint", q: in
     return find(text)
 
 
-def indexes(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, **options) -> Iterator[tuple[int, BenchmarkIndex]]:
-    """The benchmark (item_id, text) as one index after the other, each of block_chars characters or so, and how many."""
-    b = benchmark.where("text is not null").select("item_id", "text").distinct()
-    n = -(-(b.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars)
-    for k in range(n):
-        rows = b.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
-        yield n, build_index([tuple(r) for r in rows], **options)
+def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, buckets: int = 256) -> DataFrame:
+    """The distinct texts of the benchmark (item_id, text) and the block of each by running length: entry (a digest of
+    the text), text, block. A block has block_chars characters and at most one text more; the driver adds up `buckets` sums."""
+    b = benchmark.where("text is not null").select("text").distinct().select(F.md5("text").alias("entry"), "text", F.length("text").cast("long").alias("n"))
+    b = stored(b.withColumn("bucket", F.pmod(F.xxhash64("text"), F.lit(buckets))))
+    sums = {r.bucket: r.n for r in b.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    starts = np.cumsum([0, *[sums.get(k, 0) for k in range(buckets)]])[:-1].tolist()
+    start = F.get(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("bucket").cast("int"))
+    here = F.sum("n").over(Window.partitionBy("bucket").orderBy("entry")) - F.col("n")
+    return stored(b.select("entry", "text", F.floor((start + here) / block_chars).alias("block")))
 
 
-def _id_type(benchmark: DataFrame) -> T.DataType:
-    return benchmark.select("item_id").schema[0].dataType
+def indexes(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, **options) -> Iterator[tuple[bool, BenchmarkIndex]]:
+    """The distinct texts of the benchmark as one index after the other (its ids are their digests), and whether there
+    are several. Blocks in which no text has a letter or digit are left out."""
+    b = blocks(benchmark, block_chars)
+    some = sorted(r.block for r in b.select("block").distinct().collect())
+    for k in some:
+        index = build_index([tuple(r) for r in b.where(F.col("block") == k).select("entry", "text").orderBy("entry").collect()], **options)
+        if index.ids:
+            yield len(some) > 1, index
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS, **options) -> DataFrame:
@@ -348,23 +357,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOC
 
     Whole texts are searched, long ones in parts; null and empty ones hold nothing, nor do null items and such without a
     letter or digit. Items of equal text are each found, repeated rows of docs give repeated results, repeated rows of
-    the benchmark count once; other columns are not read. An empty benchmark or no docs give no rows. A benchmark of
-    more than block_chars is searched for block by block, each in a pass of its own whose finds are stored, so one index
-    is in memory at a time.
+    the benchmark count once; other columns are not read. An empty benchmark or no docs give no rows. An index holds each
+    text once, whatever number of items have it. A benchmark of more than block_chars is searched for block by block, each in a
+    pass of its own whose finds are stored, so one index is in memory at a time.
     """
     bounded_batches(docs.sparkSession)
-    kind, out = _id_type(benchmark), None
-    for n, index in indexes(benchmark, block_chars, **options):
-        one = docs.select("doc_id", F.explode(leaks_in(index, F.col("text"), kind.simpleString())).alias("x")).select("doc_id", "x.*")
-        one = stored(one) if n > 1 else one
-        out = one if out is None else out.union(one)
-    return docs.select("doc_id", F.lit(None).cast(kind).alias("item_id"), *[F.lit(0).alias(c) for c in ("start", "end", "edits")]).where("false") if out is None else out
+    found, named = None, stored(benchmark.where("text is not null").select(F.md5("text").alias("entry"), "item_id").distinct())
+    for several, index in indexes(benchmark, block_chars, **options):
+        one = docs.select("doc_id", F.explode(leaks_in(index, F.col("text"), "string")).alias("x")).select("doc_id", "x.*").withColumnRenamed("item_id", "entry")
+        one = stored(one) if several else one
+        found = one if found is None else found.union(one)
+    if found is None:
+        kind = named.schema["item_id"].dataType
+        return docs.select("doc_id", F.lit(None).cast(kind).alias("item_id"), *[F.lit(0).alias(c) for c in ("start", "end", "edits")]).where("false")
+    return found.join(small(named, named.count()), "entry").select("doc_id", "item_id", "start", "end", "edits")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS, **options) -> DataFrame:
     """The rows of docs in whose text decontaminate finds nothing, with all their columns."""
     bounded_batches(docs.sparkSession)
-    for n, index in indexes(benchmark, block_chars, **options):
-        docs = docs.where(F.size(leaks_in(index, F.col("text"), _id_type(benchmark).simpleString())) == 0)
-        docs = stored(docs) if n > 1 else docs
+    for several, index in indexes(benchmark, block_chars, **options):
+        docs = docs.where(F.size(leaks_in(index, F.col("text"), "string")) == 0)
+        docs = stored(docs) if several else docs
     return docs

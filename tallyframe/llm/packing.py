@@ -6,7 +6,7 @@ from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,12 +74,12 @@ def pack_documents(docs: DataFrame, capacities: tuple = CAPACITIES, bin_cost: fl
     lots = max(1, -(-d.count() // lot))
     d = d.repartition(lots).sortWithinPartitions("length", "doc_id", "piece")
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [b for b in batches if len(b)]
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
         if rows:
-            x = pd.concat(rows, ignore_index=True)
-            bins, x["offset"], x["capacity"] = best_fit(x["length"].to_numpy(np.int64), capacities, bin_cost)
-            x["bin_id"] = (TaskContext.get().partitionId() << 32) + bins
-            yield x[["doc_id", "piece", "start", "length", "bin_id", "capacity", "offset"]]
+            x = pa.Table.from_batches(rows)  # ids go through as they are, nulls among them
+            bins, offset, capacity = best_fit(x["length"].to_numpy().astype(np.int64), capacities, bin_cost)
+            added = {"bin_id": (TaskContext.get().partitionId() << 32) + bins, "capacity": capacity.astype(np.int32), "offset": offset.astype(np.int32)}
+            yield from pa.table({c: x[c] for c in x.column_names} | added).to_batches()
 
-    return d.mapInPandas(pack, "doc_id long, piece int, start int, length int, bin_id long, capacity int, offset int")
+    return d.mapInArrow(pack, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, piece int, start int, length int, bin_id long, capacity int, offset int")

@@ -50,15 +50,15 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
-def join_hot(rows: DataFrame, found: DataFrame, on: list[str], count: str, share: int = 1000) -> DataFrame:
-    """rows joined with found, which has one row for each value of `on` and, in `count`, how many of rows have that value.
+def join_hot(rows: DataFrame, found: DataFrame, on: list[str], count: str, how: str = "inner", share: int = 1000) -> DataFrame:
+    """rows joined (inner or left) with found, which has one row for each value of `on` and, in `count`, how many of rows have that value.
 
     Values that more than 1 / share of the rows have (fewer than `share` such values there can be) are broadcast, so their
     rows stay where they are; the rest is shuffled. Both sides are read twice and should be stored.
     """
     most = max(10_000, rows.count() // share)
     hot = F.broadcast(found.where(F.col(count) > most))
-    cold = rows.join(hot.select(*on), on, "left_anti").join(found.where(F.col(count) <= most), on)
+    cold = rows.join(hot.select(*on), on, "left_anti").join(found.where(F.col(count) <= most), on, how)
     return rows.join(hot, on).unionByName(cold)
 
 
