@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.operators.compiling import ROWS, to_wide
+from tallyframe.sources.publishing import BUCKETS, read_published, replace_companies
 
 STATEMENT = f"struct<periods:array<string>,rows:{ROWS}>"
 NAME = r"([^/]+)-([0-9]{4})\.(?:pages|extracted)\.json$"
@@ -44,33 +45,51 @@ def read_discovered(spark: SparkSession, path: str) -> DataFrame:
     return m.select(F.get(part, F.lit(0)).alias("slug"), F.get(part, F.lit(1)).try_cast("int").alias("year"), "url")
 
 
-def read_filings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_filings(spark: SparkSession, path: str, slug: str | None = None) -> DataFrame:
+    """The catalogue as published, of all companies or one."""
+    return read_published(spark, path, only=slug)
 
 
-def write_statements(compiled: DataFrame, sources: DataFrame, status: DataFrame, path: str, strict: bool = False, dry_run: bool = False) -> DataFrame:
-    """Writes each company's wide statements with its sources, partitioned by kind, replacing only the kinds it has rows
-    of; strict withholds companies that failed. Returns what is (or, on a dry run, would be) written."""
+def read_statements(spark: SparkSession, path: str, slug: str | None = None) -> DataFrame:
+    """Wide statements as published by write_statements, of all companies or one."""
+    return read_published(spark, path, only=slug)
+
+
+def read_validation(spark: SparkSession, path: str, slug: str | None = None) -> DataFrame:
+    """slug, status and issues as published by write_validation, of all companies or one."""
+    return read_published(spark, path, only=slug)
+
+
+def write_statements(compiled: DataFrame, sources: DataFrame, status: DataFrame, path: str, strict: bool = False, dry_run: bool = False, buckets: int = BUCKETS) -> DataFrame:
+    """Publishes the wide statements of each company in compiled or status, with its sources; other companies keep theirs.
+
+    A company without a row left has none any more. strict withholds companies whose status is fail: they keep what they
+    had. Returns what is (or, on a dry run, would be) written. See publishing for how others see it.
+    """
     wide = to_wide(compiled)
+    companies = compiled.select("slug").union(status.select("slug"))
     if strict:
-        wide = wide.join(status.where("status = 'fail'").select("slug"), "slug", "left_anti")
+        failed = status.where("status = 'fail'").select("slug")
+        wide, companies = wide.join(failed, "slug", "left_anti"), companies.join(failed, "slug", "left_anti")
     urls = sources.groupBy("slug").agg(F.sort_array(F.collect_list(F.struct("report_year", "url")), asc=False).alias("sources"))
-    out = wide.join(urls, "slug", "left").join(status.select("slug", "status"), "slug", "left")
+    out = wide.join(urls, "slug", "left").join(status.groupBy("slug").agg(F.max("status").alias("status")), "slug", "left")
     if not dry_run:
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind").parquet(path)
+        replace_companies(out, companies, path, order=("kind", "historical", "ord"), buckets=buckets)
     return out
 
 
-def write_validation(issues: DataFrame, status: DataFrame, path: str) -> None:
-    """One JSON object for each company: slug, status, issues."""
+def write_validation(issues: DataFrame, status: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Publishes slug, status and issues for each company in status; other companies keep theirs."""
     rows = issues.groupBy("slug").agg(F.sort_array(F.collect_list(F.struct("check", "severity", "period_year", "expected", "actual", "diff"))).alias("issues"))
     none = F.array().cast("array<struct<check:string,severity:string,period_year:int,expected:double,actual:double,diff:double>>")
-    status.join(rows, "slug", "left").select("slug", "status", F.coalesce("issues", none).alias("issues")).write.mode("overwrite").json(path)
+    out = status.groupBy("slug").agg(F.max("status").alias("status")).join(rows, "slug", "left").select("slug", "status", F.coalesce("issues", none).alias("issues"))
+    replace_companies(out, status, path, buckets=buckets)
 
 
-def write_catalog(filings: DataFrame, path: str) -> None:
-    """The catalogue partitioned by company; only the companies in filings are replaced."""
-    filings.repartition("slug").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug").parquet(path)
+def write_catalog(filings: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Publishes the catalogue of each company in filings; other companies keep theirs. However many companies there are, a
+    write makes no more files than buckets (but for such of more than FILE_ROWS rows)."""
+    replace_companies(filings, filings, path, order=("ord",) if "ord" in filings.columns else (), buckets=buckets)
 
 
 def source_list(reports: DataFrame, discovered: DataFrame, registry: DataFrame | None = None) -> DataFrame:

@@ -155,14 +155,14 @@ def test_files_and_refresh(spark, tmp_path):
     later = r.withColumn("report_year", F.lit(2021)).withColumn("periods", F.transform("periods", lambda p: F.lit("2021")))
     later.write.mode("append").parquet(where[0])
     streaming.refresh_incremental(spark, *where, buckets=2)
-    got = spark.read.parquet(where[2])
+    got = sources.read_published(spark, where[2])
     assert by(got, "kind", "period_year", "value") == [("income", 2020, 1.0), ("income", 2021, 1.0)]
     assert by(streaming.pending_reports(later.select("slug", "report_year").distinct(), r), "report_year") == [(2021,)]
     status = spark.createDataFrame([("my-firm", "fail")], "slug string, status string")
     src = sources.source_list(r, spark.createDataFrame([], "slug string, year int, url string"))
     c = compiling.compile_statements(r)
     sources.write_statements(c, src, status, f"{tmp_path}/out")
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 1
+    assert sources.read_statements(spark, f"{tmp_path}/out").count() == 1
     assert sources.write_statements(c, src, status, f"{tmp_path}/out2", strict=True, dry_run=True).count() == 0
     sources.write_validation(checking.validate(c), status, f"{tmp_path}/validation")
-    assert spark.read.json(f"{tmp_path}/validation").first()["status"] == "fail"
+    assert sources.read_validation(spark, f"{tmp_path}/validation").first()["status"] == "fail"

@@ -105,7 +105,7 @@ def test_refresh_of_nothing(spark, tmp_path):
     streaming.refresh_incremental(spark, *where, buckets=2)
     spark.createDataFrame([("a", 2020, "income", ["2020"], [row("Revenue", "line", [1.0])])], SCHEMA).write.mode("append").parquet(where[0])
     streaming.refresh_incremental(spark, *where, buckets=2)
-    assert by(spark.read.parquet(where[2]), "slug", "value") == [("a", 1.0)]
+    assert by(sources.read_published(spark, where[2]), "slug", "value") == [("a", 1.0)]
 
 
 GOLDEN = sorted(glob.glob(f"{os.environ.get('GOLDEN_STATEMENTS', '/nonexistent')}/*.ts"))
