@@ -227,53 +227,54 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
             yield x[["h", "g", "row", "lo", "n"]]
 
     found = stored(texts.mapInPandas(cut, "h long, g long, row long, lo int, n int"))
+    found = stored(join_hot(found, stored(found.groupBy("h").agg(F.count("*").alias("all")).where("all > 1")), ["h"], "all").drop("all"))
     kinds = stored(found.groupBy("h", "g").agg(F.count("*").alias("c"), F.min("row").alias("ref")))
-    grams = kinds.groupBy("h").agg(F.sum("c").alias("all"), F.count("*").alias("kinds"), F.count(F.when(F.col("c") == 1, 1)).alias("single")).where("all > 1")
-    kinds = join_hot(kinds, grams, ["h"], "kinds")
+    kinds = join_hot(kinds, stored(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.count(F.when(F.col("c") == 1, 1)).alias("single"))), ["h"], "kinds")
     kinds = stored(kinds.select("h", "g", "c", "ref", ((F.col("kinds") > 1) & (F.col("single") > 0)).alias("mixed")))
     found = join_hot(found, kinds, ["h", "g"], "c")
     look = F.col("mixed") & ((F.col("c") == 1) | (F.col("row") == F.col("ref")))
-    asked = found.select("row", F.struct("lo", "n", F.when(F.col("c") > 1, F.col("ref")).alias("ref"), look.alias("look")).alias("x"))
-    asked = asked.groupBy("row").agg(F.collect_list("x").alias("parts"))  # of one text
-    asked = stored(texts.join(asked, "row").select("row", "text", "parts"))
+    asked = found.select("row", F.struct("lo", "n", F.when(F.col("c") > 1, F.col("ref")).otherwise(-1).alias("ref"), look.alias("look")).alias("x"))
+    asked = asked.groupBy("row").agg(F.collect_list("x").alias("x"))  # of one text
+    asked = stored(texts.join(asked, "row").select("row", "text", *[F.col(f"x.{c}").alias(c) for c in ("lo", "n", "ref", "look")]))
 
     def hash_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p, t in _texts(batches):
             words, start = blank_words(t)
             one, two = Runs(words), Runs(mix(words), 1)
             row, at = [p["row"].to_numpy()[:0]], [np.zeros(0, np.int64)]
-            for k, (r, parts) in enumerate(zip(p["row"], p["parts"])):
-                for x in parts:
-                    if x["look"]:
-                        at.append(start[k] + x["lo"] + np.arange(x["n"]))
-                        row.append(np.full(x["n"], r))
+            for k, (r, lo, n, look) in enumerate(zip(p["row"], p["lo"], p["n"], p["look"])):
+                lo, n = lo[look], n[look].astype(np.int64)
+                at.append(np.repeat(start[k] + lo - np.cumsum(n) + n, n) + np.arange(n.sum()))
+                row.append(np.full(len(at[-1]), r))
             at, row = np.concatenate(at), np.concatenate(row)
             base = start[np.searchsorted(start, at, "right") - 1]
             yield pd.DataFrame({"w": one.hashes(at, at + window).view(np.int64), "v": two.hashes(at, at + window).view(np.int64), "row": row, "pos": at - base})
 
-    seen = stored(asked.where(F.exists("parts", lambda x: x["look"])).mapInPandas(hash_windows, "w long, v long, row long, pos int"))
+    seen = stored(asked.where(F.exists("look", lambda x: x)).mapInPandas(hash_windows, "w long, v long, row long, pos int"))
     twice = seen.groupBy("w", "v").agg(F.count("*").alias("c"), F.min("row").alias("ref")).where("c > 1")
-    alike = join_hot(seen, twice, ["w", "v"], "c").groupBy("row").agg(F.collect_list(F.struct("pos", "ref")).alias("single"))  # of one text
+    alike = join_hot(seen, twice, ["w", "v"], "c").groupBy("row").agg(F.collect_list(F.struct("pos", "ref")).alias("x"))  # of one text
+    alike = alike.select("row", F.col("x.pos").alias("pos"), F.col("x.ref").alias("pos_ref"))
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Runs of windows with one reference, as words."""
         for p in batches:
             out = []
-            for row, text, parts, single in zip(p["row"], p["text"], p["parts"], p["single"]):
-                of: dict[int, list[tuple[int, int]]] = {}
-                for x in parts:
-                    if x["ref"] is not None:
-                        of.setdefault(x["ref"], []).append((x["lo"], x["lo"] + x["n"]))
-                for x in single if single is not None else ():
-                    of.setdefault(x["ref"], []).append((x["pos"], x["pos"] + 1))
-                words = text.encode("utf-8", "surrogatepass").split() if of else []
-                for ref, at in of.items():
-                    at = np.array(at)
-                    for _, lo, hi in _merged(np.zeros(len(at), np.int64), at[:, 0], at[:, 1]).itertuples(index=False):
-                        out.append((ref, row, lo, hi - lo + window - 1, b" ".join(words[lo : hi + window - 1]).decode("utf-8", "surrogatepass")))
+            for row, text, lo, n, of, pos, pos_of in p[["row", "text", "lo", "n", "ref", "pos", "pos_ref"]].itertuples(index=False):
+                lo, n, of = lo[of >= 0], n[of >= 0], of[of >= 0]
+                if pos is not None:
+                    lo, n, of = np.append(lo, pos), np.append(n, np.ones(len(pos), np.int64)), np.append(of, pos_of)
+                if len(lo):
+                    order = np.lexsort((lo, of))
+                    of, lo, n = of[order], lo[order].astype(np.int64), n[order]
+                    own = np.cumsum(np.append(0, of[1:] != of[:-1])) << 32
+                    top = np.maximum.accumulate(own + lo + n)  # how far a run reaches
+                    first = np.append(True, (own + lo)[1:] > top[:-1])
+                    last, words = np.append(first[1:], True), text.encode("utf-8", "surrogatepass").split()
+                    for ref, a, z in zip(of[first].tolist(), lo[first].tolist(), ((top - own)[last] + window - 1).tolist()):
+                        out.append((ref, row, a, z - a, b" ".join(words[a:z]).decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(out, columns=["ref", "row", "lo", "n", "words"])
 
-    s = stored(asked.join(alike, "row", "left").mapInPandas(segments, "ref long, row long, lo int, n int, words string"))
+    s = stored(asked.drop("look").join(alike, "row", "left").mapInPandas(segments, "ref long, row long, lo int, n int, words string"))
     own = F.col("ref") == F.col("row")
     total = s.where(own).agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // block_words))
