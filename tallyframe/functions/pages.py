@@ -16,6 +16,8 @@ HEADINGS = {
     "balance": ["statement of financial position", "balance sheet"],
     "cashflow": ["statement of cash flows", "cash flow statement", "statements of cash flows"],
 }
+#: Titles of statements of no such kind.
+OTHER_STATEMENTS = ["comprehensive income", "changes in equity"]
 ANCHORS = {
     "income": ["net sales", "total revenue", "gross profit", "operating profit", "operating income", "profit before tax", "profit after tax", "net income", "cost of sales", "cost of revenue"],
     "balance": ["total assets", "total equity", "total liabilities", "total current assets", "total non-current assets"],

@@ -95,20 +95,16 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells as reports: rows in order of rank, a period for each year that the report states, newest first."""
-    c = cells(spark, sf_dir)
-    row = c.groupBy("slug", "report_year", "kind", "rank", "label", "row_kind").agg(F.map_from_entries(F.collect_list(F.struct("period_year", "value"))).alias("by_year"))
-    r = row.groupBy("slug", "report_year", "kind").agg(
-        F.collect_list(F.struct("rank", "label", "row_kind", F.map_entries("by_year").alias("by_year"))).alias("all"),
-    )
-    r = r.withColumn("all", F.array_sort("all"))
-    years = F.sort_array(F.array_distinct(F.flatten(F.transform("all", lambda x: F.transform(x["by_year"], lambda e: e["key"])))), asc=False)
-    r = r.withColumn("years", years)
-
-    def one(x):
-        values = F.transform("years", lambda y: F.get(F.filter(x["by_year"], lambda e: e["key"] == y), F.lit(0))["value"])
-        return F.struct(x["label"].alias("label"), x["row_kind"].alias("kind"), F.lit("currency").alias("unit"), F.lit(0).alias("decimals"), values.alias("values"))
-
-    return r.select("slug", "report_year", "kind", F.transform("years", lambda y: F.concat(F.lit("12/31/"), y.cast("string"))).alias("periods"), F.transform("all", one).alias("rows"))
+    c = cells(spark, sf_dir).withColumn("k", F.col("report_year") - F.col("period_year")).repartition("slug", "report_year", "kind")
+    ks = range(3)  # a report states its own year and two before it
+    row = c.groupBy("slug", "report_year", "kind", "rank", "label", "row_kind").agg(*[F.max(F.when(F.col("k") == k, F.col("value"))).alias(f"v{k}") for k in ks], *[F.max(F.col("k") == k).alias(f"has{k}") for k in ks])
+    one = F.struct("rank", "label", "row_kind", F.array(*[f"v{k}" for k in ks]).alias("values"))
+    r = row.groupBy("slug", "report_year", "kind").agg(F.array_sort(F.collect_list(one)).alias("all"), *[F.max(f"has{k}").alias(f"has{k}") for k in ks])
+    r = r.withColumn("ks", F.array_compact(F.array(*[F.when(F.col(f"has{k}"), F.lit(k)) for k in ks])))
+    periods = F.transform("ks", lambda k: F.concat(F.lit("12/31/"), (F.col("report_year") - k).cast("string")))
+    values = lambda x: F.transform("ks", lambda k: F.get(x["values"], k))
+    rows = F.transform("all", lambda x: F.struct(x["label"].alias("label"), x["row_kind"].alias("kind"), F.lit("currency").alias("unit"), F.lit(0).alias("decimals"), values(x).alias("values")))
+    return r.select("slug", "report_year", "kind", periods.alias("periods"), rows.alias("rows"))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -153,7 +149,8 @@ HOSTS = "(SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([
 def shelves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as HTML: slug (the host), page_ord, url, html."""
     hosts = _sql(spark, sf_dir, f"SELECT * FROM {HOSTS} AS h WHERE host <> ''")
-    links = _sql(spark, sf_dir, SHELF, hosts=hosts, numbers=spark.range(280).select(F.col("id").cast("int").alias("n")))
+    most = F.when(F.col("page_id") % 10 == 0, 279).otherwise(11)
+    links = _sql(spark, sf_dir, SHELF.replace("{hosts} CROSS JOIN {numbers}", "{numbered}"), numbered=hosts.withColumn("n", F.explode(F.sequence(F.lit(0), most))))
     one = F.concat(F.lit('<a class="x" href="'), "href", F.lit('">'), "text", F.lit("</a>"))
     p = links.groupBy("page_id", "host").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", one.alias("a")))), lambda x: x["a"]), "\n").alias("body"))
     return p.select(F.col("host").alias("slug"), F.col("page_id").alias("page_ord"), F.concat(F.lit("https://"), "host", F.lit("/ir/index.html")).alias("url"), F.concat(F.lit("<html><body>"), "body", F.lit("</body></html>")).alias("html"))

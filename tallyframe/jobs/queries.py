@@ -60,21 +60,21 @@ def statement_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def validation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = derive.rowless(derive.reports(spark, sf_dir))
-    v = checking.validate(compiling.compile_statements(r), compiling.statement_years(r))
+    v = checking.validate(compiling.compile_statements(r, markers=True))
     return v.select("slug", "check", "severity", "period_year", F.floor("expected").alias("expected"), F.floor("actual").alias("actual"))
 
 
 def validation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = derive.rowless(derive.reports(spark, sf_dir))
-    return checking.validation_status(checking.validate(compiling.compile_statements(r), compiling.statement_years(r)), r)
+    return checking.validation_status(checking.validate(compiling.compile_statements(r, markers=True)), r)
 
 
 def replies_to_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From a model's replies to compiled and checked statements: each cell with its company's status."""
     r = replies.parse_replies(derive.replies(spark, sf_dir))
-    c = compiling.compile_statements(r)
-    status = checking.validation_status(checking.validate(c, compiling.statement_years(r)), r)
-    return c.join(status, "slug").select("slug", "status", "kind", "ord", "label", "period_year", "value", "restated", "historical")
+    c = compiling.compile_statements(r, markers=True)
+    status = checking.validation_status(checking.validate(c), r)
+    return c.where("key is not null").join(status, "slug").select("slug", "status", "kind", "ord", "label", "period_year", "value", "restated", "historical")
 
 
 def subtotal_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,37 +133,30 @@ def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locating.candidate_union(locating.candidate_pages(derive.report_pages(spark, sf_dir)))
 
 
-def _spans(spark: SparkSession, sf_dir: str):
+def _located(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     pages = derive.report_pages(spark, sf_dir)
-    cleaned = locating.strip_boilerplate(pages)
     override = pages.where("page_index = 5 and slug like '%3'").select("slug", "report_year", F.lit("balance").alias("kind"), "page_index")
     located = pages.where("page_index = 9").select("slug", "report_year", F.lit("income").alias("kind"), "page_index")
-    picks = locating.resolve_picks(locating.candidate_pages(pages), locating.heading_map(cleaned), located, override)
-    return pages, cleaned, locating.snap_to_signature(picks, pages, override)
+    return pages, locating.locate(pages, located, override)
 
 
 def statement_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(spark, sf_dir)[2]
+    return locating.located_rows(_located(spark, sf_dir)[1], "picks")
 
 
 def statement_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, cleaned, picks = _spans(spark, sf_dir)
-    return locating.statement_spans(picks, cleaned)
+    return locating.located_rows(_located(spark, sf_dir)[1])
 
 
 def statement_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, cleaned, picks = _spans(spark, sf_dir)
-    t = locating.statement_text(locating.statement_spans(picks, cleaned), pages)
-    return t.select("slug", "report_year", "kind", F.md5("text").alias("digest"), F.length("text").alias("chars"))
+    pages, located = _located(spark, sf_dir)
+    return locating.located_text(located, pages).select("slug", "report_year", "kind", F.md5("text").alias("digest"), F.length("text").alias("chars"))
 
 
 def pages_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the pages of English reports to each statement's text, without any hint where to look."""
     pages = locating.english_filter(derive.report_pages(spark, sf_dir), ratio=0.15)
-    cleaned = locating.strip_boilerplate(pages)
-    picks = locating.snap_to_signature(locating.resolve_picks(locating.candidate_pages(pages), locating.heading_map(cleaned)), pages)
-    t = locating.statement_text(locating.statement_spans(picks, cleaned), pages)
-    return t.select("slug", "report_year", "kind", F.md5("text").alias("digest"), F.length("text").alias("chars"))
+    return locating.located_text(locating.locate(pages), pages).select("slug", "report_year", "kind", F.md5("text").alias("digest"), F.length("text").alias("chars"))
 
 
 def page_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,11 @@ from tallyframe.operators.compiling import explode_cells
 
 #: Names of the net profit line.
 NET_PROFIT = ["net profit", "net income", "profit for the year", "profit for the period", "profit after tax", "profit after taxes", "earnings after taxes", "consolidated net income"]
+#: What the other headline figures are called (whole labels, or what a label holds).
+BOTH = ["total equity and liabilities", "total liabilities and equity"]
+CASH_PARTS, CASH = ["cash and cash equivalents", "cash at bank"], "cash"
+REVENUE = ["revenue", "sales", "turnover", "total operating performance"]
+OPERATING = "operating activities"
 #: Names of the checks.
 CHECKS = {
     "balance": "balance sheet balances (assets = equity + liabilities)",
@@ -36,28 +41,25 @@ def headline_values(compiled: DataFrame) -> DataFrame:
     has = lambda kind: F.max((F.col("kind") == kind).cast("int")) == 1
     return c.groupBy("slug", "period_year").agg(
         find_value("balance", low == "total assets").alias("assets"),
-        find_value("balance", low.isin("total equity and liabilities", "total liabilities and equity")).alias("both"),
+        find_value("balance", low.isin(BOTH)).alias("both"),
         find_value("balance", low == "total equity").alias("equity"),
         find_value("balance", low == "total liabilities").alias("liabilities"),
         find_value("income", profit).alias("profit"),
         find_value("cashflow", profit).alias("cash_profit"),
-        find_value("balance", low.contains("cash and cash equivalents") | low.contains("cash at bank") | (low == "cash")).alias("cash"),
+        find_value("balance", low.contains(CASH_PARTS[0]) | low.contains(CASH_PARTS[1]) | (low == CASH)).alias("cash"),
         find_value("cashflow", low.contains("cash") & low.contains("end")).alias("ending_cash"),
-        find_value("income", low.rlike("revenue|sales|turnover|total operating performance")).alias("revenue"),
-        find_value("cashflow", low.contains("operating activities")).alias("operating"),
+        find_value("income", low.rlike("|".join(REVENUE))).alias("revenue"),
+        find_value("cashflow", low.contains(OPERATING)).alias("operating"),
         has("income").alias("has_income"), has("balance").alias("has_balance"), has("cashflow").alias("has_cashflow"),
     )
 
 
-def validate(compiled: DataFrame, years: DataFrame | None = None) -> DataFrame:
+def validate(compiled: DataFrame) -> DataFrame:
     """Issues of compiled statements: slug, check, severity, period_year, expected, actual, diff.
 
     Identities compare within the greater of 1 and half a percent; coverage asks each statement's headline in each of its
-    years. years (slug, kind, period_year) adds those of statements without any row.
+    years. Statements that have years but no row count if compile_statements gave markers of them. One aggregate.
     """
-    if years is not None:
-        blank = years.join(compiled.select("slug", "kind", "period_year").distinct(), ["slug", "kind", "period_year"], "left_anti")
-        compiled = compiled.unionByName(blank, allowMissingColumns=True)
     v = headline_values(compiled)
     both = F.coalesce("both", F.col("equity") + F.col("liabilities"))
     off = lambda a, b: F.abs(a - b) > F.greatest(F.lit(1.0), F.abs(b) * 0.005)

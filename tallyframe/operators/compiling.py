@@ -6,7 +6,7 @@ row for each company, report and kind, with empty arrays where a report lacks th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.labels import canon_key, clean_label, is_expense_label, period_year
@@ -14,36 +14,39 @@ from tallyframe.functions.labels import canon_key, clean_label, is_expense_label
 ROWS = "array<struct<label:string,kind:string,unit:string,decimals:int,values:array<double>>>"
 
 
-def keyed_rows(reports: DataFrame, carried: str = "periods", own_entry: bool = False) -> DataFrame:
-    """One row for each row of the statements, dealt out by company and kind: slug, report_year, kind, the column `carried`
-    of its report, pos, row, key, and whether it is the first of that key in its report.
+def keyed_entries(reports: DataFrame, *carried: str) -> DataFrame:
+    """slug, report_year, kind, the columns carried, and entries: the report's rows as array<struct<pos, row, key, first>>,
+    with each row's key and whether it is the first of that key.
 
     On a balance sheet a row's key is its label's and that of the next total below it (a total's too; none after the
-    last); on other statements the n-th repeat of a label has "#n". A row without a label has no key. own_entry: each
-    report has an entry of its own besides, without a row or key, at pos -1.
-
-    Labels are keyed by generated code as rows are read; then rows, whose figures still are one array, are shuffled once.
-    Whatever follows by company and kind keeps that partitioning.
+    last); on other statements the n-th repeat of a label has "#n". A row without a label has no key. All of it is told
+    where reports are read: a fold from the last row to the first carries the next total, repeats are counted among the
+    labels before a row.
     """
-    entries = F.concat(F.array(F.get("rows", F.lit(-1))), "rows") if own_entry else F.col("rows")
-    r = reports.select("slug", "report_year", "kind", carried, F.posexplode(entries).alias("pos", "row"))
-    r = r.withColumn("pos", F.col("pos") - int(own_entry)).withColumn("base", canon_key(F.col("row.label"))).repartition("slug", "kind")
-    report = Window.partitionBy("slug", "kind", "report_year")
-    total = F.col("row.kind").isin("total", "subtotal") | F.col("base").rlike("^total( |$)")
-    below = report.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("tag", F.last(F.when(total, F.col("base")), ignorenulls=True).over(below))
-    r = r.withColumn("nth", F.row_number().over(report.partitionBy("slug", "kind", "report_year", "base").orderBy("pos")))
-    repeat = F.when(F.col("nth") == 1, F.col("base")).otherwise(F.concat("base", F.lit("#"), (F.col("nth") - 1).cast("string")))
-    r = r.withColumn("key", F.when(F.col("base").isNotNull(), F.when(F.col("kind") == "balance", F.concat_ws("@@", "base", "tag")).otherwise(repeat)))
-    first = F.row_number().over(report.partitionBy("slug", "kind", "report_year", "key").orderBy("pos")) == 1
-    return r.select("slug", "report_year", "kind", carried, "pos", "row", "key", first.alias("first"))
+    r = reports.select("slug", "report_year", "kind", *carried, "rows")
+    r = r.withColumn("_labels", F.transform("rows", lambda x: canon_key(x["label"])))
+    total = lambda x, b: x["kind"].isin("total", "subtotal") | b.rlike("^total( |$)")
+    r = r.withColumn("_totals", F.when(F.col("kind") == "balance", F.zip_with("rows", "_labels", lambda x, b: F.when(total(x, b), b))))
+    none = F.struct(F.lit(None).cast("string").alias("next"), F.array().cast("array<string>").alias("tags"))
+    tag = lambda at, x: F.struct(F.coalesce(x, at["next"]).alias("next"), F.concat(F.array(at["next"]), at["tags"]).alias("tags"))
+    r = r.withColumn("_tags", F.aggregate(F.reverse("_totals"), none, tag, lambda at: at["tags"]))
+    before = lambda b, i: i - F.size(F.array_remove(F.slice("_labels", F.lit(1), i), b))
+    repeat = lambda b, i: F.when(F.array_position("_labels", b) == i + 1, b).otherwise(F.concat(b, F.lit("#"), before(b, i).cast("string")))
+    under = F.zip_with("_labels", "_tags", lambda b, t: F.when(b.isNotNull(), F.concat_ws("@@", b, t)))
+    r = r.withColumn("_keys", F.when(F.col("kind") == "balance", under).otherwise(F.transform("_labels", repeat)))
+    # columns that are made once stay so as long as a lambda isn't the only place that names them
+    r = r.withColumn("_first", F.transform("_keys", lambda k, i: F.array_position("_keys", k) == i + 1))
+    entries = F.arrays_zip(F.col("rows").alias("row"), F.col("_keys").alias("key"), F.col("_first").alias("first"))
+    entry = lambda x, i: F.struct(i.alias("pos"), x["row"].alias("row"), x["key"].alias("key"), x["first"].alias("first"))
+    return r.select("slug", "report_year", "kind", *carried, F.transform(entries, entry).alias("entries"))
 
 
 def statement_rows(reports: DataFrame, first_only: bool = True, carried: str = "periods") -> DataFrame:
     """One row for each row of the statements: slug, report_year, kind, pos, key, label, row_kind, unit, decimals, values,
     and the column `carried` of its report. Of rows with one key in one report the first counts (all of them without first_only)."""
-    r = keyed_rows(reports, carried)
-    r = r.where("first and key is not null") if first_only else r
+    # an outer generator, so that no filter on the whole fold is inferred and run beside it
+    r = keyed_entries(reports, carried).select("slug", "report_year", "kind", carried, F.inline_outer("entries"))
+    r = r.where("first and key is not null" if first_only else "pos is not null")
     return r.select("slug", "report_year", "kind", "pos", "key", "row.label", F.col("row.kind").alias("row_kind"), "row.unit", "row.decimals", "row.values", carried)
 
 
@@ -85,39 +88,61 @@ def newest_values(reports: DataFrame) -> DataFrame:
     )
 
 
-def compile_statements(reports: DataFrame) -> DataFrame:
+def newest_first(cells: Column) -> Column:
+    """Cells of one key, array<struct<period_year, old (the negated year of the report), value>>, as one entry for each year: the newest report's
+    value, and the least and greatest value and absolute value of all reports."""
+    entry = "array<struct<period_year:int,value:double,lo:double,hi:double,near:double,far:double>>"
+    one = lambda y, v, lo, hi, near, far: F.array(F.struct(y.alias("period_year"), v.alias("value"), lo.alias("lo"), hi.alias("hi"), near.alias("near"), far.alias("far")))
+
+    def fold(at: Column, c: Column) -> Column:
+        last, v, size = F.get(at, F.size(at) - 1), c["value"], F.abs(c["value"])
+        more = one(last["period_year"], last["value"], F.least(last["lo"], v), F.greatest(last["hi"], v), F.least(last["near"], size), F.greatest(last["far"], size))
+        return F.when(last["period_year"] == c["period_year"], F.concat(F.slice(at, F.lit(1), F.size(at) - 1), more)).otherwise(F.concat(at, one(c["period_year"], v, v, v, size, size)))
+
+    return F.aggregate(F.array_sort(cells), F.array().cast(entry), fold)
+
+
+def compile_statements(reports: DataFrame, markers: bool = False) -> DataFrame:
     """All reports of a company as one statement of each kind, in long form: slug, kind, ord, key, label, row_kind, unit,
     decimals, period_year, value, restated, historical.
 
     Each row of `templates` meets each year of its kind; the newest report that has a figure wins, restated tells that
     reports differ. On income statements costs are negative whatever sign a report gave them. A statement without any
-    year has rows with a null period_year.
+    year has rows with a null period_year. markers: a statement that has years but no row has a row without a key for each
+    of them, as validate wants to know.
 
-    The same as joining templates, statement_years and newest_values, but in one pass: rows are shuffled once, by company
-    and kind, with their figures as arrays, and every later step keeps that partitioning (a statement is small; companies
-    spread evenly). A report's own entry, without a key, stands for its years and for its being the newest.
+    The same as joining templates, statement_years and newest_values, but in one pass: rows are keyed where they are read, then
+    shuffled once, by company and kind, with their figures as arrays, and every later step keeps that partitioning (a
+    statement is small; companies spread evenly). A key's rows of all reports meet in one aggregate, and a fold over their
+    cells gives each year's value. A report's own entry, without a key, stands for its years and for its being the newest.
     """
-    r = keyed_rows(reports.withColumn("years", F.transform("periods", period_year)), "years", own_entry=True).where("first and (key is not null or pos = -1)")
-    columns = F.transform("years", lambda y, i: F.struct(i.alias("col"), y.alias("period_year"), (F.array_position("years", y) == i + 1).alias("first")))
-    r = r.withColumn("c", F.explode_outer(columns)).where(F.coalesce("c.first", F.lit(True)))
-    top = F.struct("report_year", (-F.col("pos")).alias("up"), "row.label", F.col("row.kind").alias("row_kind"), "row.unit", "row.decimals")
-    cells = r.select("slug", "kind", "key", "report_year", "c.period_year", F.get("row.values", F.col("c.col")).alias("value"), top.alias("t"))
-    cost = -F.abs("value")
-    per = cells.groupBy("slug", "kind", "key", "period_year").agg(
-        F.max_by("value", F.when(F.col("value").isNotNull(), F.col("report_year"))).alias("value"), (F.min("value") != F.max("value")).alias("differs"),
-        (F.min(cost) != F.max(cost)).alias("differs_as_cost"), F.max("t").alias("t"),
-    )
-    statement = Window.partitionBy("slug", "kind")
-    per = per.withColumn("newest", F.max("t.report_year").over(statement)).withColumn("years", F.collect_set("period_year").over(statement)).where("key is not null")
-    one = F.when(F.col("period_year").isNotNull(), F.struct("period_year", F.struct("value", "differs", "differs_as_cost")))
-    g = per.groupBy("slug", "kind", "key").agg(F.max("t").alias("t"), F.first("newest").alias("newest"), F.first("years").alias("years"), F.map_from_entries(F.collect_list(one)).alias("cell"))
-    g = g.withColumn("ord", F.row_number().over(statement.orderBy(F.desc("t.report_year"), F.desc("t.up"))) - 1)
+    r = keyed_entries(reports.withColumn("years", F.transform("periods", period_year)), "years")
+    cell = lambda y, v: F.struct(y.alias("period_year"), (-F.col("report_year")).alias("old"), v.alias("value"))
+    # figures of the first column of each year, those that are there
+    cells = lambda x: F.filter(F.transform("years", lambda y, i: F.when(F.array_position("years", y) == i + 1, cell(y, F.get(x["row"]["values"], i)))), lambda c: c["value"].isNotNull())
+    top = lambda pos, row: F.struct(F.col("report_year"), (-pos).alias("up"), row["label"].alias("label"), row["kind"].alias("row_kind"), row["unit"].alias("unit"), row["decimals"].alias("decimals"))
+    item = lambda x: F.struct(x["key"].alias("key"), top(x["pos"], x["row"]).alias("t"), cells(x).alias("cells"))
+    kept = F.transform(F.filter("entries", lambda x: x["first"]), item)
+    itself = F.struct(F.lit(None).cast("string").alias("key"), top(F.lit(1), F.lit(None).cast(ROWS.removeprefix("array<").removesuffix(">"))).alias("t"), F.array().cast("array<struct<period_year:int,old:int,value:double>>").alias("cells"))
+    r = r.select("slug", "kind", F.inline_outer(F.concat(F.array(itself), kept)), F.array_compact("years").alias("years"))
+    # only a report's own entry carries its years further
+    r = r.withColumn("years", F.when(F.col("key").isNull(), F.col("years"))).repartition("slug", "kind")
+    g = r.groupBy("slug", "kind", "key").agg(F.max("t").alias("t"), F.flatten(F.collect_list("cells")).alias("cells"), F.flatten(F.collect_list("years")).alias("own_years"))
+    # the keys of a statement in order, and what all of them share
+    item = F.when(F.col("key").isNotNull(), F.struct((-F.col("t.report_year")).alias("age"), (-F.col("t.up")).alias("pos"), "key", "t", newest_first(F.col("cells")).alias("cells")))
+    g = g.groupBy("slug", "kind").agg(F.max("t.report_year").alias("newest"), F.array_distinct(F.flatten(F.collect_list("own_years"))).alias("years"), F.array_sort(F.collect_list(item)).alias("items"))
+    if not markers:
+        g = g.where(F.size("items") > 0)
+    g = g.select("slug", "kind", "newest", "years", F.posexplode_outer("items").alias("ord", "x")).select("slug", "kind", "newest", "years", "ord", "x.key", "x.t", "x.cells")
     # what a label says is told once for each row, before its years are dealt out
     g = g.withColumn("label", clean_label(F.col("t.label"))).withColumn("cost", (F.col("kind") == "income") & is_expense_label(F.col("t.label")))
     g = g.withColumn("shown_cost", (F.col("kind") == "income") & is_expense_label(F.col("label")))
-    g = g.withColumn("period_year", F.explode_outer("years")).withColumn("x", F.try_element_at("cell", F.col("period_year")))
+    g = g.withColumn("period_year", F.explode_outer("years"))
+    g = g.withColumn("x", F.get(F.filter("cells", lambda c: c["period_year"] == F.col("period_year")), F.lit(0)))
+    if markers:
+        g = g.where("key is not null or period_year is not null")
     value = F.col("x.value")
-    restated = F.when(F.col("cost"), F.col("x.differs_as_cost")).otherwise(F.col("x.differs"))
+    restated = F.when(F.col("cost"), F.col("x.near") != F.col("x.far")).otherwise(F.col("x.lo") != F.col("x.hi"))
     old = (F.col("t.row_kind") != "section") & (F.col("t.report_year") < F.col("newest"))
     return g.select(
         "slug", "kind", "ord", "key", "label", "t.row_kind", "t.unit", "t.decimals", "period_year",

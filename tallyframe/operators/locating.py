@@ -5,7 +5,7 @@ pages: slug, report_year, page_index, text. A report is keyed by (slug, report_y
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import pages as P
@@ -41,9 +41,12 @@ def strip_boilerplate(pages: DataFrame, share: float = 0.25, min_len: int = 4) -
     """pages whose text is its segments that aren't boilerplate, joined by blanks. A report's boilerplate, at most a few
     segments a page, travels to its pages as one array."""
     found = boilerplate_segments(pages, share, min_len).groupBy(*REPORT).agg(F.collect_list("seg").alias("boilerplate"))
-    p = pages.join(found, REPORT, "left")
-    kept = F.filter(P.segments(F.col("text")), lambda s: ~F.coalesce(F.array_contains("boilerplate", s), F.lit(False)))
-    return p.select(*REPORT, "page_index", F.array_join(kept, " ").alias("text"))
+    return pages.join(found, REPORT, "left").select(*REPORT, "page_index", _without(F.col("text"), F.col("boilerplate")).alias("text"))
+
+
+def _without(text: Column, boilerplate: Column) -> Column:
+    kept = F.filter(P.segments(text), lambda s: ~F.coalesce(F.array_contains(boilerplate, s), F.lit(False)))
+    return F.array_join(kept, " ")
 
 
 def heading_map(cleaned: DataFrame) -> DataFrame:
@@ -94,14 +97,18 @@ def snap_to_signature(picks: DataFrame, pages: DataFrame, overrides: DataFrame |
     return both.select(*REPORT, "kind", F.coalesce("snapped", "page_index").alias("page_index"))
 
 
+def other_titles(kind: str) -> list[str]:
+    """Titles that a page of this kind of statement doesn't bear."""
+    return [h for o in P.KINDS if o != kind for h in P.HEADINGS[o]] + P.OTHER_STATEMENTS
+
+
 def statement_spans(picks: DataFrame, cleaned: DataFrame) -> DataFrame:
     """The pages of each statement: slug, report_year, kind, page_index. A page beside a pick belongs to it if it exists,
     is no pick, and bears no other statement's title; one page goes to one statement, of the lower pick (then by kind)."""
     place = F.create_map(*[F.lit(x) for i, k in enumerate(P.KINDS) for x in (k, i)])
     beside = picks.select(*REPORT, "kind", F.col("page_index").alias("pick"), F.explode(F.array(F.col("page_index") - 1, F.col("page_index") + 1)).alias("page_index"))
     low = F.lower("text")
-    others = {k: [h for o in P.KINDS if o != k for h in P.HEADINGS[o]] + ["comprehensive income", "changes in equity"] for k in P.KINDS}
-    marks = cleaned.select(*REPORT, "page_index", *[P.contains_any(low, others[k]).alias(f"not_{k}") for k in P.KINDS])
+    marks = cleaned.select(*REPORT, "page_index", *[P.contains_any(low, other_titles(k)).alias(f"not_{k}") for k in P.KINDS])
     b = beside.join(marks, [*REPORT, "page_index"]).join(picks.select(*REPORT, "page_index").distinct(), [*REPORT, "page_index"], "left_anti")
     barred = F.lit(False)
     for k in P.KINDS:
@@ -114,9 +121,78 @@ def statement_spans(picks: DataFrame, cleaned: DataFrame) -> DataFrame:
 
 def statement_text(spans: DataFrame, pages: DataFrame, max_chars: int = 12000) -> DataFrame:
     """The original text of each statement's pages in order, newline between, cut at max_chars."""
-    s = spans.join(pages.select(*REPORT, "page_index", "text"), [*REPORT, "page_index"])
+    return _assembled(spans.join(pages.select(*REPORT, "page_index", "text"), [*REPORT, "page_index"]), max_chars)
+
+
+def _features(pages: DataFrame) -> DataFrame:
+    """What locating asks of each page (with text and clean, its text without boilerplate), without any text: page_index,
+    score_<kind>, signed_<kind>, head, not_<kind>."""
+    low, clean_low = F.col("low"), F.col("clean_low")
+    p = pages.withColumn("low", F.lower("text")).withColumn("clean_low", F.lower("clean"))
+    return p.select(
+        *REPORT, "page_index", *[P.page_score(low, k).alias(f"score_{k}") for k in P.KINDS],
+        P.has_balance_signature(low).alias("signed_balance"), P.has_cashflow_signature(low).alias("signed_cashflow"),
+        P.heading_of(F.col("clean")).isNotNull().alias("head"), *[P.contains_any(clean_low, other_titles(k)).alias(f"not_{k}") for k in P.KINDS],
+    )
+
+
+def locate(pages: DataFrame, locator_picks: DataFrame | None = None, overrides: DataFrame | None = None, min_score: int = 3, share: float = 0.25, min_len: int = 4) -> DataFrame:
+    """One row for each report: slug, report_year, picks (the page_index of each kind) and spans (array of kind,
+    page_index); the same as resolve_picks, snap_to_signature and statement_spans over tables of pages, in one pass.
+
+    Pages are shuffled once, by report; boilerplate is counted and taken out there, and each page becomes a few flags.
+    These, and the given picks and overrides, meet once more as one narrow array a report, over which everything else is
+    expressions. locator_picks and overrides: slug, report_year, kind, page_index; kinds other than the three don't count.
+    """
+    p = pages.select(*REPORT, "page_index", "text").repartition(*REPORT)
+    found = boilerplate_segments(p, share, min_len).groupBy(*REPORT).agg(F.collect_list("seg").alias("boilerplate"))
+    p = p.join(found.hint("shuffle_hash"), REPORT, "left").withColumn("clean", _without(F.col("text"), F.col("boilerplate")))
+    given = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("page_index"), F.lit(0).alias("place"))
+    f = _features(p)
+    names = [c for c in f.columns if c not in REPORT]
+    f = f.select(*REPORT, F.struct(*names).alias("page"), given.alias("given"))
+    for place, df in ((0, overrides), (1, locator_picks)):
+        if df is not None:
+            row = F.struct("kind", F.col("page_index").cast("int").alias("page_index"), F.lit(place).alias("place"))
+            f = f.unionByName(df.where("page_index is not null").select(*REPORT, row.alias("given")), allowMissingColumns=True)
+    g = f.groupBy(*REPORT).agg(F.collect_list("page").alias("pages"), F.collect_list(F.when(F.col("given.kind").isNotNull(), F.col("given"))).alias("given"))
+    known = lambda x: F.exists("pages", lambda p: (p["page_index"] == x["page_index"]) & p["head"])
+    for k in P.KINDS:
+        own = lambda place, fine: F.array_min(F.transform(F.filter("given", lambda x: (x["kind"] == k) & (x["place"] == place) & fine(x)), lambda x: x["page_index"]))  # noqa: B023, E731
+        best = F.array_max(F.transform(F.filter("pages", lambda p: p[f"score_{k}"] >= min_score), lambda p: F.struct(p[f"score_{k}"].alias("s"), (-p["page_index"]).alias("low"))))  # noqa: B023
+        g = g.withColumn(f"pinned_{k}", own(0, lambda x: F.lit(True))).withColumn(f"pick_{k}", F.coalesce(own(1, known), -best["low"]))
+        g = g.withColumn(f"pick_{k}", F.coalesce(f"pinned_{k}", f"pick_{k}"))
+    for k in P.KINDS[1:]:
+        far = lambda p: F.coalesce(F.abs(p["page_index"] - F.col("pick_income")), F.lit(0))
+        signed = F.transform(F.filter("pages", lambda p: p[f"signed_{k}"]), lambda p: F.struct(far(p).alias("far"), p["page_index"].alias("page_index")))  # noqa: B023
+        g = g.withColumn(f"pick_{k}", F.coalesce(F.when(F.col(f"pinned_{k}").isNull(), F.array_min(signed)["page_index"]), f"pick_{k}"))
+    picks = F.array_compact(F.array(*[F.when(F.col(f"pick_{k}").isNotNull(), F.struct(F.col(f"pick_{k}").alias("pick"), F.lit(n).alias("place"), F.lit(k).alias("kind"))) for n, k in enumerate(P.KINDS)]))
+    g = g.withColumn("picks", picks).withColumn("at", F.transform("picks", lambda x: x["pick"]))
+    free = lambda page, k: F.exists("pages", lambda p: (p["page_index"] == page) & ~F.coalesce(p[f"not_{k}"], F.lit(False))) & ~F.array_contains("at", page)
+    beside = [F.when(free(F.col(f"pick_{k}") + d, k), F.struct((F.col(f"pick_{k}") + d).alias("page_index"), F.struct(F.col(f"pick_{k}").alias("pick"), F.lit(n).alias("place")).alias("order"), F.lit(k).alias("kind"))) for n, k in enumerate(P.KINDS) for d in (-1, 1)]
+    g = g.withColumn("beside", F.array_compact(F.array(*beside)))
+    first = F.filter("beside", lambda x: ~F.exists("beside", lambda o: (o["page_index"] == x["page_index"]) & (o["order"] < x["order"])))
+    span = lambda page: lambda x: F.struct(x["kind"].alias("kind"), x[page].alias("page_index"))
+    spans = F.concat(F.transform(first, span("page_index")), F.transform("picks", span("pick")))
+    return g.select(*REPORT, F.transform("picks", span("pick")).alias("picks"), spans.alias("spans"))
+
+
+def located_rows(located: DataFrame, column: str = "spans") -> DataFrame:
+    """slug, report_year, kind, page_index of what locate found: its spans, or its picks."""
+    return located.select(*REPORT, F.inline_outer(column)).where("kind is not null")
+
+
+def located_text(located: DataFrame, pages: DataFrame, max_chars: int = 12000) -> DataFrame:
+    """statement_text of what locate found: each report's row meets its pages, of which only those in a span go further."""
+    p = pages.select(*REPORT, "page_index", "text").repartition(*REPORT).join(located.select(*REPORT, "spans").hint("shuffle_hash"), REPORT)
+    kinds = F.transform(F.filter("spans", lambda x: x["page_index"] == F.col("page_index")), lambda x: x["kind"])
+    s = p.select(*REPORT, "page_index", "text", kinds.alias("kinds")).where(F.size("kinds") > 0)
+    return _assembled(s.select(*REPORT, "page_index", "text", F.explode("kinds").alias("kind")), max_chars)
+
+
+def _assembled(spans: DataFrame, max_chars: int) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("page_index", F.coalesce("text", F.lit("")).alias("text"))))
-    s = s.groupBy(*REPORT, "kind").agg(parts.alias("parts"))
+    s = spans.groupBy(*REPORT, "kind").agg(parts.alias("parts"))
     return s.select(*REPORT, "kind", F.substring(F.array_join(F.transform("parts", lambda x: x["text"]), "\n"), 1, max_chars).alias("text"))
 
 

@@ -63,7 +63,7 @@ def test_rows_of_unknown_kind_end_a_block(spark):
 
 def test_statement_without_rows_is_not_covered(spark):
     r = reports(spark, (2020, "income", ["2020"], [row("Revenue", "line", [1.0])]), (2020, "cashflow", ["2020", "2019"], []))
-    issues = checking.validate(compiling.compile_statements(r), compiling.statement_years(r))
+    issues = checking.validate(compiling.compile_statements(r, markers=True))
     assert by(issues, "check", "period_year") == [(checking.CHECKS["no_cashflow"], 2019), (checking.CHECKS["no_cashflow"], 2020)]
 
 
