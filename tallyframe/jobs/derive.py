@@ -95,8 +95,12 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells as reports: rows in order of rank, a period for each year that the report states, newest first."""
-    c = cells(spark, sf_dir).withColumn("k", F.col("report_year") - F.col("period_year")).repartition("slug", "report_year", "kind")
-    ks = range(3)  # a report states its own year and two before it
+    return as_reports(cells(spark, sf_dir), range(3))
+
+
+def as_reports(cells: DataFrame, ks: range) -> DataFrame:
+    """Long rows as reports that state their own year and those before it, as far as ks goes."""
+    c = cells.withColumn("k", F.col("report_year") - F.col("period_year")).repartition("slug", "report_year", "kind")
     row = c.groupBy("slug", "report_year", "kind", "rank", "label", "row_kind").agg(*[F.max(F.when(F.col("k") == k, F.col("value"))).alias(f"v{k}") for k in ks], *[F.max(F.col("k") == k).alias(f"has{k}") for k in ks])
     one = F.struct("rank", "label", "row_kind", F.array(*[f"v{k}" for k in ks]).alias("values"))
     r = row.groupBy("slug", "report_year", "kind").agg(F.array_sort(F.collect_list(one)).alias("all"), *[F.max(f"has{k}").alias(f"has{k}") for k in ks])

@@ -7,7 +7,7 @@ import re
 from tallyframe.functions.labels import CURRENCY_SYMBOLS, KEY_REWRITES
 from tallyframe.functions.pages import ANCHORS, DISQUALIFYING, ENDING_CASH, ENGLISH_WORDS, HEADINGS, KINDS, LANDMARKS
 from tallyframe.functions.urls import FILING_RULES, STOP_WORDS
-from tallyframe.jobs import derive
+from tallyframe.jobs import derive, stored
 from tallyframe.operators.checking import CHECKS, NET_PROFIT
 
 _BOUNDS = {r"(?<![A-Za-z0-9_])": r"\b", r"(?![A-Za-z0-9_])": r"\b"}
@@ -254,6 +254,43 @@ FROM (SELECT *, list_filter(string_split_regex(regexp_replace(lower(n), '[^a-z0-
     "recompiled": f"WITH {COMPILED} SELECT slug, kind, key, period_year, value, restated, historical FROM compiled WHERE slug IN (SELECT slug FROM cells WHERE report_year >= 2002)",
 }
 
+_NATION = stored.NATION_CELLS.replace("{orders}", "orders").replace("{customer}", "customer").replace("{nation}", "nation")
+
+
+def _nation(name: str, where: str) -> str:
+    """Tables <name>_cells, <name>_grid (compiled) and <name>_status of the nations' reports that `where` selects."""
+    return f"""{name}_cells AS (SELECT * FROM nations WHERE {where}),
+{name}_per AS (SELECT slug, label, period_year, arg_max(value, report_year) AS value, min(value) <> max(value) AS restated FROM {name}_cells GROUP BY ALL),
+{name}_last AS (SELECT slug, label, last < max(last) OVER (PARTITION BY slug) AS historical FROM (SELECT slug, label, max(report_year) AS last FROM {name}_cells GROUP BY ALL)),
+{name}_grid AS (SELECT slug, lower(label) AS key, label, period_year, value, coalesce(restated, false) AS restated, historical FROM {name}_last JOIN (SELECT DISTINCT slug, period_year FROM {name}_cells) USING (slug) LEFT JOIN {name}_per USING (slug, label, period_year)),
+{name}_status AS (SELECT slug, CASE WHEN bool_or(label = 'Revenue') THEN 'pass' ELSE 'fail' END AS status, count(DISTINCT period_year) AS years, count(DISTINCT report_year) AS reports FROM {name}_cells GROUP BY slug)"""
+
+
+_TWO = f"nations AS ({_NATION}), {_nation('first', f'report_year <= {stored.FIRST}')}, {_nation('later', "slug < 'nation_2'")}"
+_ALL = f"nations AS ({_NATION}), {_nation('every', 'true')}"
+_GROUPED = """rows0 AS (SELECT slug, report_year, kind, rank, label, row_kind, row_number() OVER (PARTITION BY slug, report_year, kind ORDER BY rank, label, row_kind) - 1 AS pos FROM (SELECT DISTINCT slug, report_year, kind, rank, label, row_kind FROM {0})),
+cols0 AS (SELECT DISTINCT slug, report_year, kind, period_year FROM {0}),
+shown0 AS (SELECT r.slug, r.report_year, r.kind, string_agg('12/31/' || p.period_year, ',' ORDER BY p.period_year DESC) AS periods, CAST(r.pos AS INTEGER) AS pos, r.label, string_agg(coalesce(CAST(CAST(floor(c.value) AS BIGINT) AS VARCHAR), '-'), ',' ORDER BY p.period_year DESC) AS figures
+  FROM rows0 r JOIN cols0 p USING (slug, report_year, kind) LEFT JOIN {0} c ON c.slug = r.slug AND c.report_year = r.report_year AND c.kind = r.kind AND c.rank = r.rank AND c.label = r.label AND c.period_year = p.period_year GROUP BY ALL),
+every_kind AS (SELECT * FROM (SELECT DISTINCT slug, report_year FROM {0}) CROSS JOIN (VALUES ('income'), ('balance'), ('cashflow')) AS k(kind)),
+read0 AS (SELECT e.slug, e.report_year, e.kind, coalesce(periods, '') AS periods, pos, label, coalesce(figures, CASE WHEN pos IS NOT NULL THEN '' END) AS figures FROM every_kind e LEFT JOIN shown0 USING (slug, report_year, kind))"""
+_LINKED = f"links AS ({_given(derive.FILING_LINKS)})"
+_FILED = f"""{_LINKED}, seen AS (SELECT DISTINCT slug, href AS url FROM links WHERE regexp_matches(href, '(?i)\\.pdf(\\?|#|$)') AND contains(lower(regexp_extract(href, '://([^/?#]*)', 1)), slug)), filed AS (SELECT slug, url, {_title('url')} AS title, {_type('url')} AS type FROM seen)"""
+
+SQL |= {
+    "pages_read": f"WITH {PAGES} SELECT slug, report_year, page_index, md5(text) AS digest, length(text) AS chars FROM pages0",
+    "reports_read": f"WITH nations AS ({_NATION}), {_GROUPED.format('nations')} SELECT * FROM read0",
+    "reports_unpivoted": f"WITH {CELLS}, {_GROUPED.format('cells')} SELECT * FROM read0",
+    "discovered_read": f"WITH {_LINKED} SELECT slug, CAST(page_ord % 20 + 2000 AS INTEGER) AS year, min(href) AS url FROM links GROUP BY ALL",
+    "catalog_published": f"WITH {_FILED} SELECT slug, url, CASE WHEN slug LIKE '%a%' THEN 'new ' ELSE '' END || title AS title FROM filed",
+    "filings_filtered": f"WITH {_FILED} SELECT slug, url, type FROM filed WHERE type = 'Annual Report'",
+    "statements_published": f"""WITH {_TWO}, x AS (SELECT g.slug, s.status, g.key, s.reports, g.period_year, g.value FROM later_grid g JOIN later_status s USING (slug) WHERE s.status = 'pass'
+UNION ALL SELECT g.slug, s.status, g.key, s.reports, g.period_year, g.value FROM first_grid g JOIN first_status s USING (slug) WHERE g.slug NOT IN (SELECT slug FROM later_status WHERE status = 'pass')) SELECT slug, status, key, CAST(reports AS INTEGER) AS n_sources, period_year, value FROM x""",
+    "validation_published": f"""WITH {_TWO}, x AS (SELECT * FROM later_status UNION ALL SELECT * FROM first_status ANTI JOIN later_status USING (slug)) SELECT slug, status, CAST(CASE WHEN status = 'fail' THEN years ELSE 0 END AS INTEGER) AS n_issues FROM x""",
+    "one_company": f"WITH {_ALL} SELECT slug, key, period_year, value, restated, historical FROM every_grid WHERE slug = 'nation_7'",
+    "display_places": f"WITH {COMPILED} SELECT slug, kind, key, historical, CAST(row_number() OVER (PARTITION BY slug, kind ORDER BY historical, ord) - 1 AS INTEGER) AS place FROM (SELECT DISTINCT slug, kind, key, historical, ord FROM compiled)",
+    "refreshed": f"WITH {_ALL} SELECT slug, key, period_year, value, restated, historical FROM every_grid",
+}
 
 #: Columns that are INT in Spark, where DuckDB counts and measures in BIGINT.
 INTS = {

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe import sources, streaming
 from tallyframe.functions import labels as L
 from tallyframe.functions import urls as U
-from tallyframe.jobs import derive
+from tallyframe.jobs import derive, stored
 from tallyframe.operators import checking, compiling, filings, locating, replies
 
 NUMBER = "decimal(18,2)"
@@ -295,4 +295,4 @@ QUERIES = [
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in QUERIES}
+    return {q.__name__: q for q in QUERIES + stored.QUERIES}

@@ -171,8 +171,10 @@ def to_wide(compiled: DataFrame) -> DataFrame:
 
 
 def display_order(wide: DataFrame) -> DataFrame:
-    """Rows as shown: those of the newest report, then historical ones, each in order."""
-    return wide.orderBy("slug", "kind", "historical", "ord")
+    """Rows as shown, with their place (from 0) in their statement: those of the newest report, then historical ones, each
+    in order."""
+    place = F.row_number().over(Window.partitionBy("slug", "kind").orderBy("historical", "ord")) - 1
+    return wide.withColumn("place", place).orderBy("slug", "kind", "place")
 
 
 def statement_shape(compiled: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from tallyframe.operators.compiling import ROWS, to_wide
 from tallyframe.sources.publishing import BUCKETS, read_published, replace_companies
 
 STATEMENT = f"struct<periods:array<string>,rows:{ROWS}>"
-NAME = r"([^/]+)-([0-9]{4})\.(?:pages|extracted)\.json$"
+#: A report's file, or a folder of its name (as a writer partitioned by "file" makes them) with files in it.
+NAME = r"(?:/|^)(?:file=)?([^/]+)-([0-9]{4})\.(?:pages|extracted)\.json(?:/[^/]+)?$"
 
 
 def _named(df: DataFrame) -> DataFrame:
