@@ -168,7 +168,7 @@ def locate(pages: DataFrame, locator_picks: DataFrame | None = None, overrides:
         g = g.withColumn(f"pick_{k}", F.coalesce(F.when(F.col(f"pinned_{k}").isNull(), F.array_min(signed)["page_index"]), f"pick_{k}"))
     picks = F.array_compact(F.array(*[F.when(F.col(f"pick_{k}").isNotNull(), F.struct(F.col(f"pick_{k}").alias("pick"), F.lit(n).alias("place"), F.lit(k).alias("kind"))) for n, k in enumerate(P.KINDS)]))
     g = g.withColumn("picks", picks).withColumn("at", F.transform("picks", lambda x: x["pick"]))
-    free = lambda page, k: F.exists("pages", lambda p: (p["page_index"] == page) & ~F.coalesce(p[f"not_{k}"], F.lit(False))) & ~F.array_contains("at", page)
+    free = lambda page, k: F.exists("pages", lambda p: (p["page_index"] == page) & ~p[f"not_{k}"]) & ~F.array_contains("at", page)
     beside = [F.when(free(F.col(f"pick_{k}") + d, k), F.struct((F.col(f"pick_{k}") + d).alias("page_index"), F.struct(F.col(f"pick_{k}").alias("pick"), F.lit(n).alias("place")).alias("order"), F.lit(k).alias("kind"))) for n, k in enumerate(P.KINDS) for d in (-1, 1)]
     g = g.withColumn("beside", F.array_compact(F.array(*beside)))
     first = F.filter("beside", lambda x: ~F.exists("beside", lambda o: (o["page_index"] == x["page_index"]) & (o["order"] < x["order"])))

@@ -1,0 +1,129 @@
+"""locate against the operators it stands for, and what it costs."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyframe.functions import pages as P
+from tallyframe.jobs import derive, queries
+from tallyframe.operators import compiling, locating
+
+SF = "/root/testdata/sf0.001"
+KEY = "slug string, report_year int, kind string, page_index int"
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def apart(pages, located=None, overrides=None):
+    """Picks, spans and texts by one operator after the other."""
+    cleaned = locating.strip_boilerplate(pages)
+    picks = locating.resolve_picks(locating.candidate_pages(pages), locating.heading_map(cleaned), located, overrides)
+    picks = locating.snap_to_signature(picks, pages, overrides)
+    spans = locating.statement_spans(picks, cleaned)
+    return [rows(df.select(*c)) for df, c in ((picks, ["slug", "report_year", "kind", "page_index"]), (spans, ["slug", "report_year", "kind", "page_index"]), (locating.statement_text(spans, pages), ["slug", "report_year", "kind", "text"]))]
+
+
+def at_once(pages, located=None, overrides=None):
+    x = locating.locate(pages, located, overrides)
+    return [rows(locating.located_rows(x, "picks")), rows(locating.located_rows(x)), rows(locating.located_text(x, pages))]
+
+
+def made_up(seed):
+    rng = random.Random(seed)
+    said = [h for k in P.KINDS for h in P.HEADINGS[k]] + [f"{a} 1234" for k in P.KINDS for a in P.ANCHORS[k]] + P.OTHER_STATEMENTS + P.BOTH_SIDES + P.EITHER_SIDE + P.ACTIVITIES + P.ENDING_CASH + P.DISQUALIFYING[:1] + P.LANDMARKS
+    out = []
+    for slug in "abc":
+        for year in (2019, 2020):
+            for page in range(rng.randrange(0, 14)):
+                if rng.random() < 0.9:
+                    text = "\n".join(["Annual report"] + [rng.choice(said).title() for _ in range(rng.randrange(0, 9))])
+                    out.append((slug, year, page, None if rng.random() < 0.05 else text))
+    hints = [(s, y, rng.choice(P.KINDS), rng.choice([None, *range(14)])) for s in "abcd" for y in (2019, 2020) for _ in range(rng.randrange(3))]
+    return out, hints[::2], hints[1::2]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_locate_equals_its_parts(spark, seed):
+    pages, located, overrides = made_up(seed)
+    df = spark.createDataFrame(pages, "slug string, report_year int, page_index int, text string").repartition(3)
+    hints = [spark.createDataFrame(h, KEY) for h in (located, overrides)]
+    assert at_once(df, *hints) == apart(df, *hints)
+    assert at_once(df) == apart(df)
+
+
+def test_locate_on_the_tables(spark):
+    pages = derive.report_pages(spark, SF)
+    assert at_once(pages) == apart(pages)
+    assert at_once(pages.limit(0)) == [[], [], []]
+
+
+def executed(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+
+
+def test_shuffles_of_locating(spark, tmp_path):
+    """Pages by report and their flags by report; a text asks for the pages once more."""
+    derive.report_pages(spark, SF).write.parquet(f"{tmp_path}/pages")
+    pages = spark.read.parquet(f"{tmp_path}/pages")
+    x = locating.locate(pages)
+    assert executed(locating.located_rows(x)).count("Exchange hashpartitioning") <= 3
+    plan = executed(locating.located_text(x, pages))
+    assert plan.count("Exchange hashpartitioning") <= 4 and "Window" not in plan
+
+
+def test_shuffles_of_compiling(spark, tmp_path):
+    derive.reports(spark, SF).write.parquet(f"{tmp_path}/reports")
+    reports = spark.read.parquet(f"{tmp_path}/reports")
+    plan = executed(compiling.compile_statements(reports))
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+    keys = executed(compiling.statement_rows(reports))
+    assert "Exchange" not in keys and "Window" not in keys
+
+
+def test_validation_costs_what_compiling_does(spark, tmp_path):
+    from tallyframe.operators import checking
+
+    derive.reports(spark, SF).write.parquet(f"{tmp_path}/reports")
+    plan = executed(checking.validate(compiling.compile_statements(spark.read.parquet(f"{tmp_path}/reports"), markers=True)))
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Scan parquet") == 1  # by company and kind, then by company and year
+
+
+def test_queries_go_through_locate(spark, monkeypatch):
+    called = []
+    locate = locating.locate
+    monkeypatch.setattr(locating, "locate", lambda *a, **k: called.append(1) or locate(*a, **k))
+    for q in (queries.statement_picks, queries.statement_spans, queries.statement_text, queries.pages_to_text):
+        q(spark, SF)
+    assert len(called) == 4
+
+
+def test_keys_equal_a_plain_loop(spark):
+    from tallyframe.functions.labels import canon_key
+
+    rng = random.Random(3)
+    labels = ["Revenue", "Revenues", "Other (2)", "Others", "Total assets", "Total liabilities", "Borrowings", None, "Total", ""]
+    kinds = ["line", "line", "section", "total", "subtotal", None]
+    made = [(n, rng.choice(["income", "balance", "cashflow"]), [(rng.choice(labels), rng.choice(kinds), None, None, [1.0]) for _ in range(rng.randrange(0, 12))]) for n in range(80)]
+    df = spark.createDataFrame([("a", n, k, ["2020"], r) for n, k, r in made], f"slug string, report_year int, kind string, periods array<string>, rows {compiling.ROWS}")
+    base = {r.x: r.k for r in spark.createDataFrame([(x,) for x in labels], "x string").select("x", canon_key(F.col("x")).alias("k")).collect()}
+    want = []
+    for n, kind, rs in made:
+        seen, firsts = {}, set()
+        for i, r in enumerate(rs):
+            b = base[r[0]]
+            if kind == "balance":
+                below = [base[x[0]] for x in rs[i + 1 :] if base[x[0]] is not None and (x[1] in ("total", "subtotal") or base[x[0]] == "total" or base[x[0]].startswith("total "))]
+                key = None if b is None else b + (f"@@{below[0]}" if below else "")
+            else:
+                key = None if b is None else b if not seen.get(b) else f"{b}#{seen[b]}"
+                seen[b] = seen.get(b, 0) + 1
+            want.append((n, i, key))
+            firsts.add((n, i)) if key is not None and key not in {k for m, j, k in want[:-1] if m == n} else None
+    got = compiling.statement_rows(df, first_only=False).select("report_year", "pos", "key").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert {(r.report_year, r.pos) for r in compiling.statement_rows(df).collect()} == {(n, i) for n, i, k in want if k is not None and k not in {k2 for m, j, k2 in want if m == n and j < i}}
