@@ -53,7 +53,7 @@ def test_display_order(spark):
 def test_format_of_any_decimals(spark):
     df = spark.createDataFrame([(1234.5, d) for d in (None, 0, 2, 6, 7, 9, -1)], "v double, d int")
     shown = [r.s for r in df.select(L.format_value(F.col("v"), F.lit("currency"), F.col("d"), F.lit("€")).alias("s")).collect()]
-    assert shown == ["€1,235", "€1,235", "€1,234.50", "€1,234.500000", "€1,234.5000000", "€1,234.500000000", "€1,234"] or shown[:6] == ["€1,235", "€1,235", "€1,234.50", "€1,234.500000", "€1,234.5000000", "€1,234.500000000"]
+    assert shown == ["€1,235", "€1,235", "€1,234.50", "€1,234.500000", "€1,234.5000000", "€1,234.500000000", "€1,235"]
 
 
 def test_rows_of_unknown_kind_end_a_block(spark):
@@ -123,11 +123,10 @@ def golden(path):
     return out
 
 
-@pytest.mark.skipif(not GOLDEN, reason="GOLDEN_STATEMENTS names no folder of published statements")
-def test_golden_statements_and_filings(spark):
+def check_published(spark, paths):
     """Published statements validate as they were published, and filings have the titles, types and years they should."""
     checked = 0
-    for path in GOLDEN:
+    for path in paths:
         data = golden(path)
         if "filings" in data:
             rows = [(slug, f["url"], f["title"], f["type"], f["year"]) for slug, fs in data["filings"].items() for f in fs]
@@ -148,4 +147,72 @@ def test_golden_statements_and_filings(spark):
             want = data["validation"]
             assert (status, issues.count()) == (want["status"], len(want["issues"])), path
             checked += 1
-    assert checked >= 3
+    return checked
+
+
+#: A small company made up for the tests: its lines by year, newest first, as a published module has them.
+YEARS = list(range(2023, 2014, -1))
+FIRM = {
+    "income": [("Revenue", "line", lambda y: 900.0 + 10 * (y - 2015)), ("Cost of sales", "line", lambda y: -500.0 - 5 * (y - 2015)), ("Gross profit", "subtotal", lambda y: 400.0 + 5 * (y - 2015)), ("Selling expenses", "line", lambda y: -150.0), ("Operating profit", "subtotal", lambda y: -150.0), ("Net profit", "total", lambda y: 180.0 + y - 2015)],
+    "balance": [("Assets", "section", None), ("Inventories", "line", lambda y: 300.0), ("Cash and cash equivalents", "line", lambda y: 200.0 + y - 2015), ("Total assets", "total", lambda y: 500.0 + y - 2015), ("Equity", "section", None), ("Total equity", "total", lambda y: 320.0 + y - 2015), ("Total liabilities", "total", lambda y: 180.0)],
+    "cashflow": [("Net profit", "line", lambda y: 180.0 + y - 2015), ("Net cash from operating activities", "subtotal", lambda y: 210.0), ("Cash and cash equivalents at the end of the year", "total", lambda y: 200.0 + y - 2015 + (40 if y == 2017 else 0))],
+}
+
+
+def published_module(path, issues):
+    """FIRM as a data module: a statement of each kind and what validation says."""
+    parts = []
+    for kind, lines in FIRM.items():
+        rows = [{"label": label, "kind": k} | ({"values": [f(y) for y in YEARS]} if f else {}) for label, k, f in lines]
+        parts.append(f"export const {kind}Statement: Statement = {json.dumps({'periods': [f'12/31/{y}' for y in YEARS], 'rows': rows})};")
+    status = "fail" if any(i["severity"] == "fail" for i in issues) else "warning" if issues else "pass"
+    parts.append(f"export const validation: Validation = {json.dumps({'status': status, 'issues': issues})};")
+    path.write_text("\n".join(parts))
+
+
+def test_a_statement_as_published(spark, tmp_path):
+    """The made-up company, and whatever published statements GOLDEN_STATEMENTS names, validate as published."""
+    issue = {"severity": "warning", "period": "2017", "check": checking.CHECKS["cash"]}
+    published_module(tmp_path / "firm.ts", [issue])
+    urls = [("https://firm.test/docs/Annual%20Report%202019.pdf?x=1", "Annual Report 2019.pdf", "Annual Report", 2019), ("https://firm.test/q3-2020-statement.pdf", "q3-2020-statement.pdf", None, 2020), ("https://firm.test/esg/policy.pdf", "policy.pdf", None, None)]
+    kinds = dict(spark.createDataFrame([(u,) for u, *_ in urls], "u string").select("u", U.classify_filing(F.col("u"))).collect())
+    data = {"firm": [{"url": u, "title": t, "type": k or kinds[u], "year": y} for u, t, k, y in urls]}
+    (tmp_path / "filings.ts").write_text(f"export const filings = {json.dumps(data)};")
+    assert check_published(spark, sorted(map(str, tmp_path.glob("*.ts")))) == 2
+    assert not GOLDEN or check_published(spark, GOLDEN) >= 3
+
+
+def test_from_report_files_to_what_is_published(spark, tmp_path):
+    """Nine reports of three columns each, one older figure restated, one line retired: read, compiled, validated, written
+    and read back."""
+    changed = ("Inventories", 2018, 2018)  # the line, the year, and the report that had another figure
+    for y in YEARS[:-2]:
+        out = {"year": y}
+        for kind, lines in FIRM.items():
+            columns = range(y, y - 3, -1)
+            rows = [{"label": label, "kind": k, "values": [f(c) + (7 if (label, c, y) == changed else 0) for c in columns] if f else []} for label, k, f in lines]
+            if kind == "income" and y < 2020:
+                rows.insert(4, {"label": "Restructuring costs", "kind": "line", "values": [12.0] * 3})
+            out[kind] = {"periods": [f"12/31/{c}" for c in columns], "rows": rows}
+        (tmp_path / f"firm-{y}.extracted.json").write_text(json.dumps(out))
+    r = sources.read_reports(spark, f"{tmp_path}/*.extracted.json")
+    c = compiling.compile_statements(r, markers=True)
+    got = {(x.kind, x.label, x.period_year): x.value for x in c.where("not historical and row_kind <> 'section'").collect()}
+    assert got == {(kind, label, y): f(y) for kind, lines in FIRM.items() for label, _, f in lines if f for y in YEARS}
+    assert by(c.where("restated"), "label", "period_year") == [("Inventories", 2018)]
+    assert by(c.where("historical and value is not null"), "label", "period_year", "value") == sorted([("Restructuring costs", y, -12.0) for y in range(2015, 2020)], key=str)
+    a = checking.audit_restatements(r).collect()
+    assert [(x.label, x.period_year, x.used, x.original, [h.value for h in x.history]) for x in a] == [("Inventories", 2018, 300.0, 307.0, [300.0, 300.0, 307.0])]
+    issues = checking.validate(c)
+    assert by(issues, "check", "severity", "period_year", "diff") == [(checking.CHECKS["cash"], "warning", 2017, 40.0)]
+    notes = by(checking.reconcile(c).where("kind = 'balance'"), "label", "period_year", "line_sum", "reported")
+    assert notes == sorted([(label, y, 0.0, f(y)) for label, _, f in FIRM["balance"][5:] for y in YEARS], key=str)  # totals without lines above them
+    status = checking.validation_status(issues, r)
+    sources.write_statements(c.where("key is not null"), sources.source_list(r, spark.createDataFrame([], "slug string, year int, url string")), status, f"{tmp_path}/out", strict=True, buckets=4)
+    back = sources.read_statements(spark, f"{tmp_path}/out", "firm")
+    shown = {(x.kind, x.label): (x.periods, x["values"], x.restated_indices, x.status) for x in back.where("not historical").collect()}
+    for kind, lines in FIRM.items():
+        for label, _, f in lines:
+            at = [YEARS.index(2018)] if label == "Inventories" else []
+            assert shown[kind, label] == ([str(y) for y in YEARS], [f(y) if f else None for y in YEARS], at, "warning")
+    assert [(x.kind, x.key) for x in compiling.display_order(back).where("place = 0").collect()] == [("balance", "asset@@total asset"), ("cashflow", "net profit"), ("income", "revenue")]
