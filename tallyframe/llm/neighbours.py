@@ -98,7 +98,7 @@ def _bytes(v: pd.Series) -> pd.Series:
 def fit_index(entries: DataFrame, n: int, dim: int, k: int, half_centroids: int | None, recall: float, fit_rows: int, calibration: int) -> MultiIndex:
     """Centroids from about fit_rows of the n entries (vec_id, raw), the first by a hash of the id; cell sizes over all
     entries; and the least traversal budget whose mean recall of the k nearest, over up to `calibration` entries taken as
-    queries and measured against every entry, is at least `recall`."""
+    queries and measured against every entry, is at least `recall` (above 1: all entries)."""
     order = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))
     near = entries.where(order < int(min(1.0, 1.5 * fit_rows / max(1, n)) * (1 << 40)))  # so that few are compared
     rows = near.select("vec_id", "raw").orderBy(order, "vec_id").limit(fit_rows).collect()
@@ -136,7 +136,7 @@ def fit_index(entries: DataFrame, n: int, dim: int, k: int, half_centroids: int
     of = np.array([(r.q, r.cell) for r in truth], np.int64).reshape(-1, 2)
     # a true neighbour is found if fewer entries than the budget are visited before its cell
     reached = np.sort(np.concatenate([traverse(q, index, np.inf).ravel()[of[of[:, 0] == i, 1]] for i, q in enumerate(queries)]))
-    index.budget = max(min(n, 2 * k), int(reached[int(np.ceil(recall * len(reached))) - 1]) + 1) if len(reached) else n
+    index.budget = max(min(n, 2 * k), int(reached[int(np.ceil(recall * len(reached))) - 1]) + 1) if len(reached) and recall <= 1 else n
     return index
 
 

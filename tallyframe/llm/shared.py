@@ -34,7 +34,16 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what `stored` wrote for these tables, which nothing reads any more: all that was made from them is stored."""
+    for t in tables:
+        where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bounded_batches(spark: SparkSession, size: str = "16m") -> None:

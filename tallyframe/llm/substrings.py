@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.shared import bounded_batches, join_hot, stored
+from tallyframe.llm.shared import bounded_batches, forget, join_hot, stored
 from tallyframe.llm.textops import CHUNK, mix, slices
 
 #: Consecutive words of a window, and of the gram that a window is found by.
@@ -227,15 +227,20 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
             yield x[["h", "g", "row", "lo", "n"]]
 
     found = stored(texts.mapInPandas(cut, "h long, g long, row long, lo int, n int"))
-    found = stored(join_hot(found, stored(found.groupBy("h").agg(F.count("*").alias("all")).where("all > 1")), ["h"], "all").drop("all"))
-    kinds = stored(found.groupBy("h", "g").agg(F.count("*").alias("c"), F.min("row").alias("ref")))
-    kinds = join_hot(kinds, stored(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.count(F.when(F.col("c") == 1, 1)).alias("single"))), ["h"], "kinds")
+    again = stored(found.groupBy("h").agg(F.count("*").alias("all")).where("all > 1"))
+    shared = stored(join_hot(found, again, ["h"], "all").drop("all"))
+    forget(found, again)
+    alike = stored(shared.groupBy("h", "g").agg(F.count("*").alias("c"), F.min("row").alias("ref")))
+    per_gram = stored(alike.groupBy("h").agg(F.count("*").alias("kinds"), F.count(F.when(F.col("c") == 1, 1)).alias("single")))
+    kinds = join_hot(alike, per_gram, ["h"], "kinds")
     kinds = stored(kinds.select("h", "g", "c", "ref", ((F.col("kinds") > 1) & (F.col("single") > 0)).alias("mixed")))
-    found = join_hot(found, kinds, ["h", "g"], "c")
+    forget(alike, per_gram)
+    found = join_hot(shared, kinds, ["h", "g"], "c")
     look = F.col("mixed") & ((F.col("c") == 1) | (F.col("row") == F.col("ref")))
     asked = found.select("row", F.struct("lo", "n", F.when(F.col("c") > 1, F.col("ref")).otherwise(-1).alias("ref"), look.alias("look")).alias("x"))
     asked = asked.groupBy("row").agg(F.collect_list("x").alias("x"))  # of one text
     asked = stored(texts.join(asked, "row").select("row", "text", *[F.col(f"x.{c}").alias(c) for c in ("lo", "n", "ref", "look")]))
+    forget(shared, kinds)
 
     def hash_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p, t in _texts(batches):
@@ -251,7 +256,7 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
             yield pd.DataFrame({"w": one.hashes(at, at + window).view(np.int64), "v": two.hashes(at, at + window).view(np.int64), "row": row, "pos": at - base})
 
     seen = stored(asked.where(F.exists("look", lambda x: x)).mapInPandas(hash_windows, "w long, v long, row long, pos int"))
-    twice = seen.groupBy("w", "v").agg(F.count("*").alias("c"), F.min("row").alias("ref")).where("c > 1")
+    twice = stored(seen.groupBy("w", "v").agg(F.count("*").alias("c"), F.min("row").alias("ref")).where("c > 1"))
     alike = join_hot(seen, twice, ["w", "v"], "c").groupBy("row").agg(F.collect_list(F.struct("pos", "ref")).alias("x"))  # of one text
     alike = alike.select("row", F.col("x.pos").alias("pos"), F.col("x.ref").alias("pos_ref"))
 
@@ -274,15 +279,16 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
                         out.append((ref, row, a, z - a, b" ".join(words[a:z]).decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(out, columns=["ref", "row", "lo", "n", "words"])
 
-    s = stored(asked.drop("look").join(alike, "row", "left").mapInPandas(segments, "ref long, row long, lo int, n int, words string"))
+    cut_out = stored(asked.drop("look").join(alike, "row", "left").mapInPandas(segments, "ref long, row long, lo int, n int, words string"))
+    forget(asked, seen, twice)
     own = F.col("ref") == F.col("row")
-    total = s.where(own).agg(F.sum("n")).first()[0] or 0
+    total = cut_out.where(own).agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // block_words))
-    s = s.withColumn("block", F.pmod(F.xxhash64("ref"), F.lit(blocks)))
+    s = cut_out.withColumn("block", F.pmod(F.xxhash64("ref"), F.lit(blocks)))
     cuts = s.groupBy("block").agg(F.count("*").alias("rows"), F.greatest(F.lit(1), F.ceil(F.sum(F.when(~own, F.col("n"))) / part_words)).cast("int").alias("cuts"))
-    s = join_hot(s, cuts, ["block"], "rows")
-    docs = s.where(~own).withColumn("part", F.pmod(F.xxhash64("row", "lo"), F.col("cuts")).cast("int"))
-    refs = s.where(own).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    parts = join_hot(s, cuts, ["block"], "rows")
+    docs = parts.where(~own).withColumn("part", F.pmod(F.xxhash64("row", "lo"), F.col("cuts")).cast("int"))
+    refs = parts.where(own).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
 
     def parse(key: tuple, ref: pd.DataFrame, doc: pd.DataFrame) -> pd.DataFrame:
         return parse_block(ref, doc, key[1] == 0, window)
@@ -290,7 +296,9 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
     columns = ["block", "part", "row", "lo", "words"]
     docs = docs.select(*[F.col(c).alias(f"doc_{c}") for c in columns])
     both = refs.select(columns).groupBy("block", "part").cogroup(docs.groupBy("doc_block", "doc_part"))
-    return stored(both.applyInPandas(parse, "row long, lo int, hi int")).distinct()
+    spans = stored(both.applyInPandas(parse, "row long, lo int, hi int"))
+    forget(cut_out)
+    return spans.distinct()
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
