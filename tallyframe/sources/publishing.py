@@ -97,8 +97,15 @@ def replace_companies(rows: DataFrame, companies: DataFrame, path: str, key: str
     publishes first, the merge is done again on what it published, up to `tries` times. mark: a name and number to record
     with the version (see marked). Columns must be those that the table has.
     """
+    given = companies.select(key).where(F.col(key).isNotNull()).distinct().persist()  # only names; often made from the rows themselves
+    try:
+        return _replace(rows, given, path, key, order, buckets, mark, tries, before_publish)
+    finally:
+        given.unpersist()
+
+
+def _replace(rows: DataFrame, given: DataFrame, path: str, key: str, order: tuple[str, ...], buckets: int, mark: tuple[str, int] | None, tries: int, before_publish: Callable[[], None] | None) -> int:
     spark = rows.sparkSession
-    given = companies.select(key).where(F.col(key).isNotNull()).distinct()
     for _ in range(tries):
         m = manifest(spark, path) or {"version": 0, "buckets": buckets, "schema": json.loads(rows.schema.json()), "folders": {}, "marks": {}}
         if {c.lower() for c in rows.columns} != {f["name"].lower() for f in m["schema"]["fields"]}:
