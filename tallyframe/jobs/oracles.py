@@ -273,7 +273,7 @@ cols0 AS (SELECT DISTINCT slug, report_year, kind, period_year FROM {0}),
 shown0 AS (SELECT r.slug, r.report_year, r.kind, string_agg('12/31/' || p.period_year, ',' ORDER BY p.period_year DESC) AS periods, CAST(r.pos AS INTEGER) AS pos, r.label, string_agg(coalesce(CAST(CAST(floor(c.value) AS BIGINT) AS VARCHAR), '-'), ',' ORDER BY p.period_year DESC) AS figures
   FROM rows0 r JOIN cols0 p USING (slug, report_year, kind) LEFT JOIN {0} c ON c.slug = r.slug AND c.report_year = r.report_year AND c.kind = r.kind AND c.rank = r.rank AND c.label = r.label AND c.period_year = p.period_year GROUP BY ALL),
 every_kind AS (SELECT * FROM (SELECT DISTINCT slug, report_year FROM {0}) CROSS JOIN (VALUES ('income'), ('balance'), ('cashflow')) AS k(kind)),
-read0 AS (SELECT e.slug, e.report_year, e.kind, coalesce(periods, '') AS periods, pos, label, coalesce(figures, CASE WHEN pos IS NOT NULL THEN '' END) AS figures FROM every_kind e LEFT JOIN shown0 USING (slug, report_year, kind))"""
+read0 AS (SELECT e.slug, e.report_year, e.kind, coalesce(periods, '') AS periods, coalesce(pos, -1) AS pos, label, coalesce(figures, CASE WHEN pos IS NOT NULL THEN '' END) AS figures FROM every_kind e LEFT JOIN shown0 USING (slug, report_year, kind))"""
 _LINKED = f"links AS ({_given(derive.FILING_LINKS)})"
 _FILED = f"""{_LINKED}, seen AS (SELECT DISTINCT slug, href AS url FROM links WHERE regexp_matches(href, '(?i)\\.pdf(\\?|#|$)') AND contains(lower(regexp_extract(href, '://([^/?#]*)', 1)), slug)), filed AS (SELECT slug, url, {_title('url')} AS title, {_type('url')} AS type FROM seen)"""
 

@@ -70,7 +70,7 @@ def _pivoted(reports: DataFrame) -> DataFrame:
 def _shown(reports: DataFrame) -> DataFrame:
     figures = F.array_join(F.transform("x.values", lambda v: F.coalesce(F.floor(v).cast("string"), F.lit("-"))), ",")
     r = reports.select("slug", "report_year", "kind", F.array_join("periods", ",").alias("periods"), F.posexplode_outer("rows").alias("pos", "x"))
-    return r.select("slug", "report_year", "kind", "periods", "pos", "x.label", figures.alias("figures"))
+    return r.select("slug", "report_year", "kind", "periods", F.coalesce("pos", F.lit(-1)).alias("pos"), "x.label", figures.alias("figures"))
 
 
 def reports_read(spark: SparkSession, sf_dir: str) -> DataFrame:
