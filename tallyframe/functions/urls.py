@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
-from urllib.parse import quote, urljoin, urlsplit, urlunsplit
+from unicodedata import normalize
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,40 +87,78 @@ def page_title(html: Column) -> Column:
     return strip_tags(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
-def _absolute(href: str, base: str) -> str | None:
-    try:
-        s = urlsplit(urljoin(base, re.sub(r"[\t\n\r]", "", href.strip())))
-    except ValueError:
-        return None
-    if not s.scheme or (s.scheme in ("http", "https") and not s.netloc):
-        return None
-    if s.scheme not in ("http", "https"):
-        return s.geturl()
-    host = s.netloc.lower()
-    for scheme, port in (("http", ":80"), ("https", ":443")):
-        host = host.removesuffix(port) if s.scheme == scheme else host
-    safe = "!$%&'()*+,-./:;=@_~[]|^"
-    return urlunsplit((s.scheme, host, quote(s.path or "/", safe=safe), quote(s.query, safe=safe + "?{}`\\"), quote(s.fragment, safe=safe + "?{}\\#")))
+#: Characters that become delimiters when normalised, and so can't stand in a host.
+_NO_HOST = "".join(c for c in map(chr, range(0x80, 0x10000)) if set(normalize("NFKC", c)) & set("/?#@:"))
+#: An authority; brackets only around an address.
+_AUTHORITY = rf"^(?:[^\[\]]*@)?(?:[^\[\]{_NO_HOST}]*|\[[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*\](?::.*)?)$"
+#: What may stand in a path without being encoded; a query and a fragment may hold more.
+_PLAIN = r"A-Za-z0-9!$%&'()*+,\-./:;=@_~|^\[\]"
+_PLAIN_QUERY, _PLAIN_FRAGMENT = _PLAIN + r"?{}`\\", _PLAIN + r"?{}\\#"
 
 
-#: What may stand in a path, a query or a fragment without being encoded.
-_PLAIN = r"[A-Za-z0-9!$%&'()*+,\-./:;=@_~|^\[\]]"
+def _let(value: Column, body) -> Column:
+    """body over a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _parts(url: Column) -> Column:
+    """scheme (lower case), authority, path, query and fragment of a reference; empty where absent."""
+    whole = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+    part = lambda n: F.regexp_extract(url, whole, n)
+    return F.struct(F.lower(part(1)).alias("scheme"), part(2).alias("authority"), part(3).alias("path"), part(4).alias("query"), part(5).alias("fragment"))
+
+
+def _encoded(text: Column, plain: str) -> Column:
+    """What isn't plain as the escapes of its UTF-8 bytes."""
+    escaped = lambda x: F.when(x.rlike(f"^[{plain}]"), x).otherwise(F.regexp_replace(F.hex(x), "(..)", "%$1"))
+    runs = F.regexp_extract_all(text, F.lit(f"[{plain}]+|[^{plain}]+"), F.lit(0))
+    return F.when(text.rlike(f"^[{plain}]*$"), text).otherwise(F.array_join(F.transform(runs, escaped), ""))
+
+
+def _merged_path(path: Column, base: Column) -> Column:
+    """A link's path from the base's, without dot segments: a fold that goes up one part at each ".."."""
+    relative = F.regexp_replace(F.concat(F.lit("/"), F.regexp_replace(base, "[^/]*$", ""), path), "/+", "/")
+    steps = F.split(F.when(F.startswith(path, F.lit("/")), path).otherwise(relative), "/", -1)
+    fold = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    last = F.when(F.element_at(steps, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    joined = F.array_join(F.concat(F.aggregate(steps, F.array().cast("array<string>"), fold), last), "/")
+    return F.when(F.startswith(joined, F.lit("/")), joined).otherwise(F.concat(F.lit("/"), joined))
+
+
+def _written(u: Column) -> Column:
+    """The URL of such parts; null without a scheme, or without a host where the scheme is http or https."""
+    beside = lambda mark, x: F.when(x != "", F.concat(F.lit(mark), x)).otherwise("")
+    authority = F.lower(u["authority"])
+    port = F.when(u["scheme"] == "http", ":80$").otherwise(":443$")
+    path = F.when(u["path"] == "", "/").when(F.startswith(u["path"], F.lit("/")), u["path"]).otherwise(F.concat(F.lit("/"), u["path"]))
+    web = F.concat(u["scheme"], F.lit("://"), F.regexp_replace(authority, port, F.lit("")), _encoded(path, _PLAIN), beside("?", _encoded(u["query"], _PLAIN_QUERY)), beside("#", _encoded(u["fragment"], _PLAIN_FRAGMENT)))
+    other = F.concat(u["scheme"], F.lit(":"), beside("//", u["authority"]), u["path"], beside("?", u["query"]), beside("#", u["fragment"]))
+    return F.when(u["scheme"].isin("http", "https"), F.when(u["authority"] != "", web)).when(u["scheme"] != "", other)
 
 
 def resolve_url(href: Column, base: Column) -> Column:
     """The absolute URL of a link on a page, or null where there is none.
 
-    Whole http(s) URLs and paths from a host's root are resolved by built-in expressions where nothing in them has to be
-    encoded, lowered or removed; only other links go to Python, in batches.
+    Whole http(s) URLs and paths from a host's root in which nothing has to be encoded, lowered or removed are told by
+    their look; other links are taken apart, joined and written again, by expressions as well. Hosts are lowered, default
+    ports and empty queries and fragments left out. Whole URLs keep their dot segments. Relative links need an http(s) base.
     """
-    tail = rf"/{_PLAIN}*(?:\?{_PLAIN}+)?(?:#{_PLAIN}+)?"
+    tail = rf"/[{_PLAIN}]*(?:\?[{_PLAIN}]+)?(?:#[{_PLAIN}]+)?"
     origin = F.nullif(F.regexp_extract(base, r"^(https?://[a-z0-9.-]+)(?:[/?#]|$)", 1), F.lit(""))
-    native = F.when(href.rlike(rf"^https?://[a-z0-9.-]+{tail}$") & ~href.rlike(r"/\.{1,2}(?:[/?#]|$)"), href).when(href.rlike(rf"^{tail}$") & ~href.rlike(r"^//|/\.{1,2}(?:[/?#]|$)"), F.concat(origin, href))
-
-    def absolute(h: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_absolute(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(h, b)])
-
-    return F.coalesce(native, F.pandas_udf(absolute, "string")(F.when(native.isNull(), href), base))
+    plain = F.when(href.rlike(rf"^https?://[a-z0-9.-]+{tail}$") & ~href.rlike(r"/\.{1,2}(?:[/?#]|$)"), href).when(href.rlike(rf"^{tail}$") & ~href.rlike(r"^//|/\.{1,2}(?:[/?#]|$)"), F.concat(origin, href))
+    bare = lambda x: F.regexp_replace(x, r"^[\x00-\x20]+|[\t\n\r]", "")
+    both = F.struct(_parts(bare(strip(href))).alias("link"), _parts(bare(base)).alias("base"), (bare(strip(href)) == "").alias("none"))
+
+    def joined(x: Column) -> Column:
+        link, of = x["link"], x["base"]
+        relative = (link["scheme"] == "") | ((link["scheme"] == of["scheme"]) & of["scheme"].isin("http", "https"))
+        path = F.when(link["path"] == "", of["path"]).otherwise(_merged_path(link["path"], of["path"]))
+        query = F.when((link["path"] == "") & (link["query"] == ""), of["query"]).otherwise(link["query"])
+        own = F.struct(of["scheme"].alias("scheme"), of["authority"].alias("authority"), path.alias("path"), query.alias("query"), link["fragment"].alias("fragment"))
+        out = F.when(x["none"], of).when(~relative, link).when(of["scheme"].isin("http", "https"), F.when(link["authority"] == "", own).otherwise(link.withField("scheme", of["scheme"])))
+        return F.when(link["authority"].rlike(_AUTHORITY) & of["authority"].rlike(_AUTHORITY), out)
+
+    return F.coalesce(plain, F.when(href.isNotNull() & base.isNotNull(), _let(_let(both, joined), _written)))
 
 
 def search_results(html: Column, most: int = 8) -> Column:

@@ -3,7 +3,9 @@
 import glob
 import json
 import os
+import random
 import re
+from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,10 +87,53 @@ def test_round_trip_of_a_statement(spark):
     assert [(r.label, r.period_year) for r in c if r.restated] == [("Revenue", 2018)] and {(r.label, r.period_year): r.value for r in c} == value
 
 
-def test_links_native_and_in_python_agree(spark):
+def absolute(href, base):
+    """resolve_url in plain Python."""
+    try:
+        s = urlsplit(urljoin(base, re.sub(r"[\t\n\r]", "", href.strip())))
+    except ValueError:
+        return None
+    if not s.scheme or (s.scheme in ("http", "https") and not s.netloc):
+        return None
+    if s.scheme not in ("http", "https"):
+        return s.geturl()
+    host = s.netloc.lower().removesuffix(":80" if s.scheme == "http" else ":443")
+    safe = "!$%&'()*+,-./:;=@_~[]|^"
+    return urlunsplit((s.scheme, host, quote(s.path or "/", safe=safe), quote(s.query, safe=safe + "?{}`\\"), quote(s.fragment, safe=safe + "?{}\\#")))
+
+
+def resolved(spark, pairs):
+    return [r.u for r in spark.createDataFrame(pairs, "h string, b string").select(U.resolve_url(F.col("h"), F.col("b")).alias("u")).collect()]
+
+
+def test_links_equal_plain_python(spark):
     pairs = [(h, b) for b in ("https://a.test/x/y.html", "http://A.test:80/x", "https://a.test", "nothing", None) for h in ["/p.pdf", "p.pdf", "https://b.test/q?x=1#f", "https://b.test", "http://b.test:80/", "//c.test/z", "/a/../b", "/a b", "?q", "#f", "mailto:x@y", "https://b.test/a/./b", "/ü", "", None, "/p?", "/p#", "HTTP://B.test/x", "/x//y"]]
-    got = spark.createDataFrame(pairs, "h string, b string").select("h", "b", U.resolve_url(F.col("h"), F.col("b")).alias("u")).collect()
-    assert [(r.h, r.b, r.u) for r in got] == [(h, b, U._absolute(h, b) if h is not None and b is not None else r.u) for (h, b), r in zip(pairs, got)]
+    got = resolved(spark, pairs)
+    assert got == [absolute(h, b) if h is not None and b is not None else u for (h, b), u in zip(pairs, got)]
+    assert all(u is None for (h, b), u in zip(pairs, got) if h is None or (b is None and not h.startswith("http")))
+
+
+def test_made_up_links_equal_plain_python(spark):
+    rng = random.Random(7)
+    parts = ["a", "b.pdf", "..", ".", "", "é", "x y", "%20", "A|B", '"q"', "it's", "c:d", "{z}", "~u", "a;b=1", "[1]", "日本", "\U0001f600", "a\tb", "...", "..a"]
+    hosts = ["a.test", "B.Test", "a.test:80", "a.test:443", "a.test:8080", "u:P@h.test", "ü.test", "[::1]", "[::1]:80"]
+    path = lambda n: "/".join(rng.choice(parts) for _ in range(rng.randrange(n)))
+    tail = lambda: rng.choice(["", "", "?", "?x=1", "?q=é", "?a b", "?a?b", "?x/../y", "?`{"]) + rng.choice(["", "", "#", "#f", "#é", "#a b", "##x", "#`{", "#?y"])
+    whole = lambda schemes: rng.choice(schemes) + "://" + rng.choice(hosts) + rng.choice(["", "/" + path(5)]) + tail()
+    odd = ["mailto:x@y", "javascript:;", "tel:+1", "data:,x", "http:foo", "https:foo/../b", "https:", "  ", "\n/x ", "a:b", "1:b", "\xa0/p\xa0", "http://h[x/y", "//h]/y", "http://a／b.test/"]
+    link = lambda: rng.choice([lambda: whole(["http", "https", "HTTP", "ftp", "app"]), lambda: "//" + rng.choice(hosts) + "/" + path(5) + tail(), lambda: "/" + path(6) + tail(), lambda: path(6) + tail(), lambda: rng.choice(odd)])()
+    pairs = [(link(), whole(["http", "https", "HTTPS"]) if rng.random() < 0.95 else rng.choice(["nothing", "mailto:x", ""])) for _ in range(10000)]
+    got = resolved(spark, pairs)
+    assert [(p, u) for p, u in zip(pairs, got)] == [((h, b), absolute(h, b)) for h, b in pairs]
+    assert len({u for u in got if u}) > 3000
+
+
+def test_links_need_no_python_worker(spark):
+    df = spark.createDataFrame([("f", "https://f.test/x", '<a href="../é.pdf">e</a>')], "slug string, url string, html string")
+    links = filings.extract_links(df)
+    assert by(links, "href") == [("https://f.test/%C3%A9.pdf",)]
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "pandas" not in plan.lower()
 
 
 def test_link_of_a_page_counts_once(spark):
