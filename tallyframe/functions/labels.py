@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ KEY_ALIAS = {"total revenue": "revenue"}
 CURRENCY_SYMBOLS = {"EUR": "€", "DKK": "kr", "USD": "$", "GBP": "£", "CHF": "CHF"}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over a value that is worked out once for a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(x: Column) -> Column:
     return F.btrim(x, F.lit(BLANKS))
 

@@ -7,7 +7,7 @@ from unicodedata import normalize
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyframe.functions.labels import BEGIN, BLANK, END, period_year, strip
+from tallyframe.functions.labels import BEGIN, BLANK, END, let, period_year, strip
 
 #: Types of filings by patterns in their lower-case URL; the first that fits decides.
 FILING_RULES = [
@@ -96,11 +96,6 @@ _PLAIN = r"A-Za-z0-9!$%&'()*+,\-./:;=@_~|^\[\]"
 _PLAIN_QUERY, _PLAIN_FRAGMENT = _PLAIN + r"?{}`\\", _PLAIN + r"?{}\\#"
 
 
-def _let(value: Column, body) -> Column:
-    """body over a value that is worked out once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _parts(url: Column) -> Column:
     """scheme (lower case), authority, path, query and fragment of a reference; empty where absent."""
     whole = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -158,7 +153,7 @@ def resolve_url(href: Column, base: Column) -> Column:
         out = F.when(x["none"], of).when(~relative, link).when(of["scheme"].isin("http", "https"), F.when(link["authority"] == "", own).otherwise(link.withField("scheme", of["scheme"])))
         return F.when(link["authority"].rlike(_AUTHORITY) & of["authority"].rlike(_AUTHORITY), out)
 
-    return F.coalesce(plain, F.when(href.isNotNull() & base.isNotNull(), _let(_let(both, joined), _written)))
+    return F.coalesce(plain, F.when(href.isNotNull() & base.isNotNull(), let(let(both, joined), _written)))
 
 
 def search_results(html: Column, most: int = 8) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import pages as P
+from tallyframe.functions.labels import let
 
 REPORT = ["slug", "report_year"]
 
@@ -45,7 +46,10 @@ def strip_boilerplate(pages: DataFrame, share: float = 0.25, min_len: int = 4) -
 
 
 def _without(text: Column, boilerplate: Column) -> Column:
-    kept = F.filter(P.segments(text), lambda s: ~F.coalesce(F.array_contains(boilerplate, s), F.lit(False)))
+    """The text's segments but boilerplate. The two sets meet once a page, hashed; a segment is then only looked for among
+    the boilerplate on its own page."""
+    without = lambda parts, found: F.filter(parts, lambda s: ~F.coalesce(F.array_contains(found, s), F.lit(False)))
+    kept = let(P.segments(text), lambda parts: let(F.array_intersect(parts, boilerplate), lambda found: without(parts, found)))
     return F.array_join(kept, " ")
 
 

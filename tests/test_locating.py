@@ -1,6 +1,7 @@
 """locate against the operators it stands for, and what it costs."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,22 @@ def test_locate_on_the_tables(spark):
     assert at_once(pages.limit(0)) == [[], [], []]
 
 
+def test_pages_without_boilerplate_equal_a_plain_loop(spark):
+    """Repeats of a segment on a page, segments too short to count, pages that are null or empty, pages of many segments."""
+    rng = random.Random(5)
+    said = ["Annual report", "Notes", "abc", "", "Page › 3", "Total  assets", "one|two|three", "  indented", "\xa0blank\xa0"] + [f"line {i}" for i in range(60)]
+    made = [(slug, 2020, page, rng.choice([None, ""]) if rng.random() < 0.1 else "\n".join(rng.choice(said) for _ in range(rng.choice([3, 30, 300])))) for slug in "abc" for page in range({"a": 1, "b": 9, "c": 30}[slug])]
+    cut = lambda text: None if text is None else [x.strip(" \t\xa0") for x in re.split(r"[\n\r]| {2,}| › |\|", text)]
+    want, common = [], {}
+    for slug in "abc":
+        pages = [set(cut(t) or []) for s, _, _, t in made if s == slug]
+        common[slug] = {x: n for x in set().union(*pages) if len(x) >= 4 and (n := sum(x in p for p in pages)) > 0.25 * len(pages)}
+    want = [(s, y, p, None if t is None else " ".join(x for x in cut(t) if x not in common[s])) for s, y, p, t in made]
+    df = spark.createDataFrame(made, "slug string, report_year int, page_index int, text string")
+    assert rows(locating.boilerplate_segments(df)) == sorted((s, 2020, x, n) for s in common for x, n in common[s].items())
+    assert sorted(map(str, map(tuple, locating.strip_boilerplate(df).collect()))) == sorted(map(str, want))
+
+
 def executed(df):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
