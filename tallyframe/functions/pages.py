@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -43,6 +44,38 @@ ACTIVITIES = ["operating activities", "investing activities", "financing activit
 #: Words frequent in English reports.
 ENGLISH_WORDS = ["the", "and", "of", "to", "in", "for", "as", "are", "with", "that", "this", "total", "cash", "income", "assets", "from", "other"]
 
+#: Fixed value: how far behind a line item its figure may begin, in characters.
+FIGURE_WITHIN = 38
+#: Between the phrases of a digest: wider than any figure may be away.
+APART = "\n" * (FIGURE_WITHIN + 2)
+
+
+def alternation(phrases: list[str], blank: str = " ") -> str:
+    """A pattern of the longest of the phrases that begins at a place; common beginnings are compared once. blank: the
+    pattern that a blank in a phrase stands for."""
+    heads = sorted({p[:1] for p in phrases})
+    ways = [(blank if h == " " else re.escape(h)) + alternation([p[1:] for p in phrases if p[:1] == h], blank) for h in heads if h]
+    if not ways:
+        return ""
+    if "" in heads:
+        return f"(?:{'|'.join(ways)})?"
+    return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+
+def said(low: Column, phrases: list[str], behind: str = "") -> Column:
+    """A short text that contains those of the phrases that low contains, overlapping ones too, and no others, from one
+    pass over low: at each place the longest that begins there, with what the pattern `behind` finds after it."""
+    first = "".join(sorted({p[0] for p in phrases}))
+    found = F.regexp_extract_all(low, F.lit(f"(?s)(?=[{first}])(?=({alternation(phrases)}{behind}))"), F.lit(1))
+    return F.array_join(F.array_distinct(found), APART)
+
+
+def digest(low: Column) -> Column:
+    """A short text of which page_score, disqualified and the signatures are as of the page itself: each phrase that the
+    page says, up to the nearest figure if one stands beside it."""
+    phrases = [*DISQUALIFYING, *BOTH_SIDES, *EITHER_SIDE, *ACTIVITIES, *ENDING_CASH, *[p for k in KINDS for p in HEADINGS[k] + ANCHORS[k]]]
+    return said(low, phrases, f"(?:.{{0,{FIGURE_WITHIN}}}?[0-9]{{2}})?")
+
 
 def contains_any(low: Column, phrases: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [low.contains(p) for p in phrases])
@@ -58,16 +91,21 @@ def disqualified(low: Column) -> Column:
 
 def page_score(low: Column, kind: str) -> Column:
     """5 for each title of the statement, 1 for each line item followed by a figure within 40 characters; 0 on pages
-    that are disqualified. low: the page's text in lower case."""
+    that are disqualified. low: the page's text in lower case, or its digest."""
     titles = [F.when(low.contains(h), 5).otherwise(0) for h in HEADINGS[kind]]
-    items = [F.when(low.contains(a) & low.rlike(rf"(?s)\Q{a}\E.{{0,38}}[0-9]{{2}}"), 1).otherwise(0) for a in ANCHORS[kind]]
+    items = [F.when(low.contains(a) & low.rlike(rf"(?s)\Q{a}\E.{{0,{FIGURE_WITHIN}}}[0-9]{{2}}"), 1).otherwise(0) for a in ANCHORS[kind]]
     return F.when(disqualified(low), 0).otherwise(reduce(lambda a, b: a + b, titles + items))
 
 
 def heading_of(text: Column) -> Column:
     """The first 110 characters of a page with a landmark phrase, blanks collapsed; else null."""
     flat = strip(F.regexp_replace(text, f"{BLANK}+", " "))
-    return F.when(contains_any(F.lower(flat), LANDMARKS), F.substring(flat, 1, 110))
+    return F.when(is_landmark(F.lower(text)), F.substring(flat, 1, 110))
+
+
+def is_landmark(low: Column) -> Column:
+    """Whether a page has a landmark phrase, whatever blanks stand between its words."""
+    return low.rlike(alternation(LANDMARKS, f"{BLANK}+"))
 
 
 def has_balance_signature(text: Column) -> Column:

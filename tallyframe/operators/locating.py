@@ -59,7 +59,7 @@ def heading_map(cleaned: DataFrame) -> DataFrame:
 
 def candidate_pages(pages: DataFrame, min_score: int = 3, k: int = 3) -> DataFrame:
     """The k best pages for each kind: slug, report_year, kind, page_index, score, rank (from 1; ties by page)."""
-    low = pages.select(*REPORT, "page_index", F.lower("text").alias("low"))
+    low = pages.select(*REPORT, "page_index", P.digest(F.lower("text")).alias("low"))
     scores = F.array(*[F.struct(F.lit(kind).alias("kind"), P.page_score(F.col("low"), kind).alias("score")) for kind in P.KINDS])
     s = low.select(*REPORT, "page_index", F.explode(F.filter(scores, lambda x: x["score"] >= min_score)).alias("x"))
     s = s.select(*REPORT, "x.kind", "page_index", "x.score")
@@ -130,13 +130,14 @@ def statement_text(spans: DataFrame, pages: DataFrame, max_chars: int = 12000) -
 
 def _features(pages: DataFrame) -> DataFrame:
     """What locating asks of each page (with text and clean, its text without boilerplate), without any text: page_index,
-    score_<kind>, signed_<kind>, head, not_<kind>."""
-    low, clean_low = F.col("low"), F.col("clean_low")
-    p = pages.withColumn("low", F.lower("text")).withColumn("clean_low", F.lower("clean"))
+    score_<kind>, signed_<kind>, head, not_<kind>. Each text is searched for phrases once; the rest is told from what it says."""
+    low, titles = F.col("low"), F.col("titles")
+    p = pages.withColumn("low", P.digest(F.lower("text"))).withColumn("clean", F.lower("clean"))
+    p = p.withColumn("titles", P.said(F.col("clean"), [*[h for k in P.KINDS for h in P.HEADINGS[k]], *P.OTHER_STATEMENTS]))
     return p.select(
         *REPORT, "page_index", *[P.page_score(low, k).alias(f"score_{k}") for k in P.KINDS],
         P.has_balance_signature(low).alias("signed_balance"), P.has_cashflow_signature(low).alias("signed_cashflow"),
-        P.heading_of(F.col("clean")).isNotNull().alias("head"), *[P.contains_any(clean_low, other_titles(k)).alias(f"not_{k}") for k in P.KINDS],
+        P.is_landmark(F.col("clean")).alias("head"), *[P.contains_any(titles, other_titles(k)).alias(f"not_{k}") for k in P.KINDS],
     )
 
 

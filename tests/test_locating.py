@@ -144,3 +144,29 @@ def test_keys_equal_a_plain_loop(spark):
     got = compiling.statement_rows(df, first_only=False).select("report_year", "pos", "key").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert {(r.report_year, r.pos) for r in compiling.statement_rows(df).collect()} == {(n, i) for n, i, k in want if k is not None and k not in {k2 for m, j, k2 in want if m == n and j < i}}
+
+
+def test_a_digest_says_what_its_page_says(spark):
+    """Scores, signatures and disqualification by one pass equal those by a search for each phrase: cut and overlapping
+    phrases, figures as near as they may be and one character farther, characters of two code units, blank and null pages."""
+    rng = random.Random(11)
+    known = [*P.DISQUALIFYING, *P.BOTH_SIDES, *P.EITHER_SIDE, *P.ACTIVITIES, *P.ENDING_CASH, *P.OTHER_STATEMENTS, *P.LANDMARKS, *[x for k in P.KINDS for x in P.HEADINGS[k] + P.ANCHORS[k]]]
+    gap = lambda: rng.choice(["", " ", "\n", "\U0001f600", " 7 "]) + rng.choice("x \n\U0001f600") * rng.choice([0, 1, 30, 35, 36, 37, 38, 39, 40]) + rng.choice(["", "1", "12", "345"])
+    part = lambda: rng.choice([x := rng.choice(known), x, x[: rng.randrange(len(x))], x[rng.randrange(len(x)) :]])
+    made = [None, "", " ", "net sales" * 3000, "total assets " * 2000 + "12", *["".join(part() + gap() for _ in range(rng.randrange(1, 9))) for _ in range(3000)]]
+    df = spark.createDataFrame([(x,) for x in made], "t string")
+
+    def told(c):
+        return [*[P.page_score(c, k) for k in P.KINDS], P.disqualified(c), P.has_balance_signature(c), P.has_cashflow_signature(c)]
+
+    d = df.withColumn("d", P.digest(F.col("t"))).withColumn("s", P.said(F.col("t"), known))
+    each = F.array(*[F.coalesce(F.col("t").contains(x), F.lit(False)) == F.coalesce(F.col("s").contains(x), F.lit(False)) for x in known])
+    got = d.select(F.array(*[x.cast("string") for x in told(F.col("t"))]).alias("a"), F.array(*[x.cast("string") for x in told(F.col("d"))]).alias("b"), each.alias("e"), F.length("d").alias("n")).collect()
+    assert all(r.a == r.b and all(r.e) for r in got)
+    assert sum(r.a[0] not in (None, "0") for r in got) > 100 and max(r.n or 0 for r in got[:5]) < 300  # pages of 24,000 characters
+
+
+def test_landmarks_with_any_blanks(spark):
+    pages = ["Income \n  STATEMENT of x", "incomestatement", "Notes to the\tconsolidated", "notes to consolidated", None, "", " \n Balance   Sheet "]
+    got = [r.h for r in spark.createDataFrame([(x,) for x in pages], "t string").select(P.heading_of(F.col("t")).alias("h")).collect()]
+    assert got == ["Income STATEMENT of x", None, "Notes to the consolidated", None, None, None, "Balance Sheet"]
