@@ -63,6 +63,7 @@ def canon_key(label: Column) -> Column:
 
 def clean_label(label: Column) -> Column:
     """The label to show: without note references, footnote digits and double blanks."""
+    # fixed values: both patterns
     x = F.regexp_replace(label, rf"(?:{BLANK}|,)*\([A-Za-z]?\.?\d+\)", "")
     x = F.regexp_replace(x, rf"([A-Za-z])\d+{END}", "$1")
     return strip(F.regexp_replace(x, BLANK + "{2,}", " "))
@@ -71,6 +72,7 @@ def clean_label(label: Column) -> Column:
 def is_expense_label(label: Column) -> Column:
     """Whether a row of this label is a pure cost, which statements show as negative."""
     low = F.lower(label)
+    # fixed values: the words, and their order of precedence
     return (
         F.when(low.contains("income") & low.contains("expense"), False)
         .when(low.rlike(f"{BEGIN}(profit|loss|earnings|gross){END}"), False)
