@@ -6,7 +6,7 @@ before, under labels whose wording changes from report to report.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: slug, y, item, amt: what a company's orders of a year came to, by type of part.
@@ -93,9 +93,70 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, CELLS, facts=facts(spark, sf_dir))
 
 
+#: What each statement states beside its items, as in CELLS: rank, label, row_kind, part of the year's total, every how
+#: many years it is wrong.
+SHEET = {
+    "income": [("0", "Revenues", "line", 1.0, 0), ("z1", "Cost of sales", "subtotal", -0.6, 0), ("z2", "Net profit", "total", 0.1, 0), ("z3", "Other income", "line", 0.01, 0), ("z4", "Other incomes (2)", "line", 0.02, 0)],
+    "balance": [
+        ("0", "Assets", "section", None, 0), ("1", "Inventories1", "line", 0.5, 0), ("2", "Other receivables", "line", 0.25, 0), ("3", "Cash and cash equivalents (B.1)", "line", 0.125, 0),
+        ("4", "Total current assets", "subtotal", 0.875, 0), ("5", "Other receivables (3)", "line", 0.125, 0), ("6", "Total assets", "total", 1.0, 0), ("7", "Borrowings", "line", 0.25, 0),
+        ("8", "Total current liabilities", "subtotal", 0.25, 0), ("9", "Borrowings", "line", 0.75, 0), ("a", "Total equity and liabilities", "total", 1.0, 5),
+    ],
+    "cashflow": [("0", "Operating activities", "section", None, 0), ("1", "Net profit", "line", 0.1, 4), ("2", "Net cash flows from operating activities", "total", 0.1, 0), ("3", "Cash at the end of the year", "total", 0.125, 3)],
+}
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """slug, y, item, amt of FACTS before they are summed, a company's in one partition."""
+    t = lambda name, *columns: spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    x = t("lineitem", "l_orderkey", "l_partkey", "l_extendedprice").join(t("orders", "o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    x = x.join(t("customer", "c_custkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("part", "p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    slug, amount = F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.col("l_extendedprice").cast("decimal(18,2)")
+    return x.select(slug.alias("slug"), F.year("o_orderdate").alias("y"), F.col("p_type").alias("item"), amount.alias("amt")).repartition("slug")
+
+
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cells as reports: rows in order of rank, a period for each year that the report states, newest first."""
-    return as_reports(cells(spark, sf_dir), range(3))
+    """The cells as reports: rows in order of rank, a period for each year that the report states, newest first.
+
+    The same as as_reports of the cells, without making them: only items are ever rows of their own, the sheet is dealt
+    to a report when it is put together. One shuffle after the joins, by company.
+    """
+    ks, year = range(3), F.col("report_year")
+    f = lines(spark, sf_dir).groupBy("slug", "y", "item").agg(F.sum("amt").alias("amt"))
+    f = f.select("slug", "y", "item", "amt", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")).select("slug", (F.col("y") + F.col("k")).alias("report_year"), "item", "amt", F.when(F.col("y").isNotNull(), F.col("k")).alias("k"))
+    # an item's figures in a report, one for each year before it
+    f = f.groupBy("slug", "report_year", "item").agg(*[F.max(F.when(F.col("k") == k, F.col("amt"))).alias(f"a{k}") for k in ks], *[F.max(F.col("k") == k).alias(f"has{k}") for k in ks])
+    a = lambda k: F.col(f"a{k}").cast("double")
+    figure = lambda k: F.when(F.length("item") % 3 == 0, a(k) + F.lit(k * 100)).otherwise(a(k)) * F.when(year % 2 == 0, -1).otherwise(1)
+    label = F.concat("item", F.when(year % 4 == 0, " costs").when(year % 4 == 1, " cost (D.2)").when(year % 4 == 2, " Costs1").otherwise(" cost for the year"))
+    one = F.when(~((year == 2000) & (F.length("item") % 2 == 0)), F.struct(F.col("item").alias("rank"), label.alias("label"), F.lit("line").alias("row_kind"), F.array(*[figure(k) for k in ks]).alias("values")))
+    r = f.groupBy("slug", "report_year").agg(F.collect_list(one).alias("items"), *[F.sum(f"a{k}").cast("double").alias(f"s{k}") for k in ks], *[F.max(f"has{k}").alias(f"has{k}") for k in ks])
+    total = lambda k: F.when(F.col(f"has{k}"), F.struct(F.lit(k).alias("k"), (year - k).alias("y"), F.col(f"s{k}").alias("s")))
+    r = r.select("slug", "report_year", "items", F.array_compact(F.array(*[total(k) for k in ks])).alias("stated"))
+
+    def stated(label: str, part: float | None, wrong: int) -> Column:
+        """The figures of a row of the sheet, one for each year stated."""
+        if part is None:
+            return F.transform("stated", lambda x: F.lit(None).cast("double"))
+        times = lambda x: x["s"] * F.lit(part) * F.when(x["y"] % wrong == 0, 1.25).otherwise(1.0) if wrong else x["s"] * F.lit(part)
+        return F.transform("stated", (lambda x: F.when(x["y"] != 1997, times(x))) if label == "Total assets" else times)
+
+    row = lambda label, kind, values: F.struct(label.alias("label"), kind.alias("kind"), F.lit("currency").alias("unit"), F.lit(0).alias("decimals"), values.alias("values"))
+
+    def statement(kind: str) -> Column:
+        if kind != "income":
+            rows = [row(F.lit(label), F.lit(what), stated(label, part, wrong)) for _, label, what, part, wrong in SHEET[kind]]
+            # this row is left out where a report states nothing but the year that lacks it
+            some = F.exists("stated", lambda x: x["y"] != 1997)
+            return F.array_compact(F.array(*[F.when(some, x) if s[1] == "Total assets" else x for s, x in zip(SHEET[kind], rows)]))
+        ranked = lambda rank, x: F.struct(rank.alias("rank"), x.alias("row"))
+        items = F.transform("items", lambda x: ranked(x["rank"], row(x["label"], x["row_kind"], F.transform("stated", lambda s: F.get(x["values"], s["k"])))))
+        fixed = F.array(*[ranked(F.lit(rank), row(F.lit(label), F.lit(what), stated(label, part, wrong))) for rank, label, what, part, wrong in SHEET[kind]])
+        return F.transform(F.array_sort(F.concat(items, fixed)), lambda x: x["row"])
+
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), statement(kind).alias("rows")) for kind in SHEET])
+    periods = F.transform("stated", lambda x: F.concat(F.lit("12/31/"), x["y"].cast("string")))
+    return r.select("slug", "report_year", periods.alias("periods"), F.inline(kinds)).select("slug", "report_year", "kind", "periods", "rows")
 
 
 def as_reports(cells: DataFrame, ks: range) -> DataFrame:
