@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as in report texts: Java's \s and the Unicode blanks.
 BLANK = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
@@ -61,6 +65,41 @@ def canon_key(label: Column) -> Column:
     return F.coalesce(F.get(F.filter(F.array(s, F.lower(strip(label))), lambda x: x != ""), F.lit(0)), strip(label))
 
 
+_REWRITES = [(re.compile(pattern, re.ASCII), to.replace("$", "\\")) for pattern, to in KEY_REWRITES]
+
+
+def _singular(word: str) -> str:
+    if word.endswith("ss") or not word.endswith("s"):
+        return word
+    return word[:-3] + "y" if word.endswith("ies") else word[:-2] if word.endswith("xes") else word[:-1]
+
+
+@lru_cache(maxsize=100_000)
+def ascii_key(label: str | None) -> str | None:
+    """canon_key of an ASCII label; None for others, where engines' ideas of letters may differ."""
+    if label is None or not label.isascii():
+        return None
+    k = label.lower()
+    for pattern, to in _REWRITES:
+        k = pattern.sub(to, k)
+    s = " ".join(map(_singular, k.strip(" ").split(" ")))
+    return KEY_ALIAS.get(s, s) or label.lower().strip(BLANKS)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _ascii_keys(labels: pa.Array) -> pa.Array:
+    d = labels.values.dictionary_encode()
+    keys = pa.array([ascii_key(x) for x in d.dictionary.to_pylist()], pa.string())
+    return pa.ListArray.from_arrays(labels.offsets, keys.take(d.indices))
+
+
+def canon_keys(labels: Column) -> Column:
+    """canon_key of each label of an array, empty for null. Few labels are new, so a batch's distinct ones are rewritten,
+    those that aren't ASCII one by one."""
+    given = F.coalesce(labels, F.array().cast("array<string>"))
+    return F.zip_with(given, _ascii_keys(given), lambda label, key: F.coalesce(key, canon_key(label)))
+
+
 def clean_label(label: Column) -> Column:
     """The label to show: without note references, footnote digits and double blanks."""
     # fixed values: both patterns

@@ -166,3 +166,46 @@ def test_files_and_refresh(spark, tmp_path):
     assert sources.write_statements(c, src, status, f"{tmp_path}/out2", strict=True, dry_run=True).count() == 0
     sources.write_validation(checking.validate(c), status, f"{tmp_path}/validation")
     assert sources.read_validation(spark, f"{tmp_path}/validation").first()["status"] == "fail"
+
+
+def test_reports_are_made_without_long_cells(spark):
+    from tallyframe.jobs import derive
+
+    sf_dir = "/root/testdata/sf0.001"
+    made, cells = derive.reports(spark, sf_dir), derive.as_reports(derive.cells(spark, sf_dir), range(3))
+    assert made.schema == cells.schema and made.exceptAll(cells).isEmpty() and cells.exceptAll(made).isEmpty()
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("l_extendedprice") and plan.count("lineitem.parquet") == 1 and "Union" not in plan
+
+
+def test_keys_of_whole_arrays_of_labels(spark):
+    from pyspark.sql import functions as F
+
+    from tallyframe.functions import labels as L
+
+    given = ["Profit (loss) on X, (b.3)", "Net cash flows from Taxes", "Boxes ss ies s xes", "", " ", "(1)", "—", "\t%\x0b", "Ärzte (2)", "\u212aosts", "İs", "Total Revenues", "total revenue\n", "Cost1 for the financial year", "a\x1cb_c1", None, "((1)x(loss)", "Σς", "\u00a0A\u00a0"]
+    df = spark.createDataFrame([(given,), ([],), (None,)], "x array<string>")
+    got = [r.k for r in df.select(L.canon_keys(F.col("x")).alias("k")).collect()]
+    assert got == [[r.k for r in spark.createDataFrame([(x,) for x in given], "x string").select(L.canon_key(F.col("x")).alias("k")).collect()], [], []]
+
+
+def test_compiled_equals_its_parts(spark):
+    from pyspark.sql import functions as F
+
+    from tallyframe.operators import compiling
+
+    row = lambda label, kind, *v: (label, kind, "currency", 0, list(v))
+    given = [
+        ("a", 2020, "income", ["2020", "x", "2019", "2020"], [row("Costs", "line", 1.0, 9.0, -2.0, 7.0), row("Cost", "line", 5.0), row(None, "line", 1.0), row("Sales", "line", None, None, float("nan"))]),
+        ("a", 2019, "income", ["2019", "2018"], [row("Cost", "line", 2.0, 4.0), row("Sales", "line", 3.0, -0.0), row("Old", "line", 1.0, 1.0), row("Head", "section")]),
+        ("a", 2018, "income", ["2018"], [row("Sale", "line", 0.0)]),
+        ("b", 2020, "balance", ["2020"], []), ("b", 2019, "balance", [], [row("Total assets", "total", 1.0)]),
+        ("c", 2020, "cashflow", [], [row("Cash", None, 1.0)]),
+    ]
+    r = spark.createDataFrame(given, f"slug string, report_year int, kind string, periods array<string>, rows {compiling.ROWS}")
+    got = compiling.compile_statements(r)
+    parts = compiling.templates(r).join(compiling.statement_years(r), ["slug", "kind"], "left").join(compiling.newest_values(r), ["slug", "kind", "key", "period_year"], "left")
+    cost, shown = compiling.is_expense_label(F.col("label")) & (F.col("kind") == "income"), compiling.clean_label(F.col("label"))
+    parts = parts.select("slug", "kind", "ord", "key", shown.alias("label"), "row_kind", "unit", "decimals", "period_year", F.when(cost & (F.col("value") > 0), -F.col("value")).otherwise(F.col("value")).alias("value"),
+        F.coalesce(F.when(cost, F.col("differs_as_cost")).otherwise(F.col("differs")), F.lit(False)).alias("restated"), "historical")
+    assert sorted(map(str, got.collect())) == sorted(map(str, parts.collect()))
