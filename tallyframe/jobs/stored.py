@@ -149,8 +149,8 @@ def one_company(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def display_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = compiling.to_wide(compiling.compile_statements(derive.reports(spark, sf_dir)))
-    return compiling.display_order(w).select("slug", "kind", "key", "historical", "place")
+    w = compiling.compile_wide(derive.reports(spark, sf_dir))
+    return compiling.with_places(w).select("slug", "kind", "key", "historical", "place")
 
 
 def refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,3 +218,25 @@ def test_replies_are_read_once(spark):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("lineitem.parquet") == 1
+
+
+def exchanges(df):
+    """What is shuffled by key, in a plan without broadcasts."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def made(spark):
+    from tallyframe.jobs import derive
+
+    return derive.reports(spark, "/root/testdata/sf0.001")
+
+
+def test_wide_rows_equal_the_wide_form_of_cells(spark):
+    r = reports(spark, (2021, "income", ["2021", "2020", "x"], [row("Revenue", "line", [20.0, 11.0]), row("Cost", "line", [None, 5.0])]), (2020, "income", ["2020", "2019"], [row("Revenue", "line", [10.0]), row("Old", "line", [1.0, 2.0])]), (2020, "balance", [], [row("Cash", "line", [])]))
+    r = r.unionByName(made(spark).where("slug < 'c3'"))
+    for n in (None, 1, 3):
+        c = compiling.compile_statements(r)
+        want = compiling.to_wide(c if n is None else compiling.latest_periods(c, n))
+        assert sorted(map(str, compiling.compile_wide(r, n).collect())) == sorted(map(str, want.collect()))
+    places = compiling.with_places(compiling.compile_wide(r))
+    assert sorted(map(str, places.collect())) == sorted(map(str, compiling.display_order(compiling.to_wide(c)).collect() if n is None else compiling.display_order(compiling.to_wide(compiling.compile_statements(r))).collect()))
