@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions.labels import fix_expense_sign, strip
-from tallyframe.operators.compiling import explode_cells
+from tallyframe.functions.labels import is_expense_label, let, strip
+from tallyframe.operators.compiling import statements
 
 #: Names of the net profit line.
 NET_PROFIT = ["net profit", "net income", "profit for the year", "profit for the period", "profit after tax", "profit after taxes", "earnings after taxes", "consolidated net income"]
@@ -107,19 +107,46 @@ def audit_restatements(reports: DataFrame) -> DataFrame:
     Costs are made negative by each row's own label on statements of any kind. Repeated keys and years within a report
     all count, unlike in compile_statements.
     """
-    cells = explode_cells(reports, first_only=False).withColumn("value", fix_expense_sign(F.col("label"), F.col("value")))
-    given = F.col("value").isNotNull()
-    at = F.when(given, F.struct("report_year", -F.col("pos"), -F.col("col")))
-    year = F.when(given, F.col("report_year"))
-    entry = F.when(given, F.struct((-F.col("report_year")).alias("y"), "pos", "col", "value"))
-    # a key's name is that of its newest cell of any year, so cells meet by key and each year's figures are part of that
-    a = cells.repartition("slug", "kind", "key").groupBy("slug", "kind", "key", "period_year").agg(
-        F.max_by("value", at).alias("used"), F.max(year).alias("used_report"), F.min_by("value", at).alias("original"), F.min(year).alias("original_report"),
-        F.sort_array(F.collect_list(entry)).alias("h"), (F.min("value") != F.max("value")).alias("differs"), F.max(F.struct("report_year", -F.col("pos"), "label")).alias("name"),
-    )
-    a = a.withColumn("label", F.max("name").over(Window.partitionBy("slug", "kind", "key"))["label"]).where("differs")
+    s = statements(reports, is_expense_label)
+    column = lambda y, i: F.when(y.isNotNull(), F.struct(y.alias("year"), i.alias("col")))
+    own_columns = lambda x: F.array_compact(F.transform(x["years"], column))
+    again = lambda x: F.size(F.array_distinct(F.array_compact(x["keys"]))) < F.size(x["keys"])
+    s = s.select("slug", "kind", F.transform("reports", lambda x: F.struct(x["old"].alias("old"), x["keys"].alias("keys"), x["rows"].alias("rows"), x["flags"].alias("flags"), own_columns(x).alias("columns"), again(x).alias("again"))).alias("reports"))
+
+    def entries(x: Column, key: Column) -> Column:
+        """A report's rows of a key, all of them if it has several."""
+        at = F.array_position(x["keys"], key)
+        places = F.when(x["again"], F.array_compact(F.transform(x["keys"], lambda k, i: F.when(k.eqNullSafe(key), i)))).when(at > 0, F.array((at - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(x["old"].alias("old"), i.alias("pos"), x["columns"].alias("columns"), F.get(x["rows"], i).alias("row"), F.get(F.get(x["flags"], i), F.lit(1)).alias("cost")))
+
+    def figure(o: Column, c: Column) -> Column:
+        sign = lambda v: F.when(o["cost"] & (v > 0), -v).otherwise(v)
+        given = lambda v: F.when(v.isNotNull(), F.struct(c["year"].alias("year"), o["old"].alias("y"), o["pos"].alias("pos"), c["col"].alias("col"), sign(v).alias("value")))
+        return let(F.get(o["row"]["values"], c["col"]), given)
+
+    def differs(cells: Column) -> Column:
+        """Whether two figures of one year differ: they are neighbours in order."""
+        apart = lambda p: F.exists(F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda a, b: F.coalesce((a["year"] == b["year"]) & (a["value"] != b["value"]), F.lit(False))), lambda x: x)
+        return let(F.sort_array(F.transform(cells, lambda c: F.struct(c["year"].alias("year"), c["value"].alias("value")))), apart)
+
+    def audited(key: Column, given: Column) -> Column:
+        own = F.flatten(F.transform(given, lambda x: entries(x, key)))
+        cells = lambda own: F.flatten(F.transform(own, lambda o: F.array_compact(F.transform(o["columns"], lambda c: figure(o, c)))))
+        # a key's name is that of its newest cell of any year
+        name = lambda own: F.array_max(F.transform(F.filter(own, lambda o: F.size(o["columns"]) > 0), lambda o: F.struct((-o["old"]).alias("report_year"), (-o["pos"]).alias("pos"), o["row"]["label"].alias("label"))))["label"]
+        return let(own, lambda own: let(cells(own), lambda c: F.when(differs(c), F.struct(key.alias("key"), name(own).alias("label"), c.alias("cells")))))
+
+    found = let(F.col("reports"), lambda given: F.array_compact(F.transform(F.array_distinct(F.flatten(given["keys"])), lambda key: audited(key, given))))
+    # outer generators, so that no filter on all of it is inferred and run beside it
+    a = s.select("slug", "kind", found.alias("found")).select("slug", "kind", F.inline_outer("found")).where("cells is not null")
+    a = a.select("slug", "kind", "key", "label", "cells", F.explode_outer(F.array_distinct("cells.year")).alias("period_year"))
+    entry = lambda c: F.struct(c["y"].alias("y"), c["pos"].alias("pos"), c["col"].alias("col"), c["value"].alias("value"))
+    h = F.sort_array(F.transform(F.filter("cells", lambda c: c["year"] == F.col("period_year")), entry))
+    a = a.select("slug", "kind", "key", "label", "period_year", h.alias("h")).where(F.array_min("h.value") != F.array_max("h.value"))
+    at = F.transform("h", lambda x: F.struct((-x["y"]).alias("y"), (-x["pos"]).alias("pos"), (-x["col"]).alias("col"), x["value"].alias("value")))
+    year = F.transform("h", lambda x: -x["y"])
     history = F.transform("h", lambda x: F.struct((-x["y"]).alias("report_year"), x["value"].alias("value")))
-    return a.select("slug", "kind", "key", "label", "period_year", "used", "used_report", "original", "original_report", history.alias("history"))
+    return a.select("slug", "kind", "key", "label", "period_year", F.array_max(at)["value"].alias("used"), F.array_max(year).alias("used_report"), F.array_min(at)["value"].alias("original"), F.array_min(year).alias("original_report"), history.alias("history"))
 
 
 def restatement_count(audit: DataFrame) -> DataFrame:

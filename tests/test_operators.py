@@ -240,3 +240,22 @@ def test_wide_rows_equal_the_wide_form_of_cells(spark):
         assert sorted(map(str, compiling.compile_wide(r, n).collect())) == sorted(map(str, want.collect()))
     places = compiling.with_places(compiling.compile_wide(r))
     assert sorted(map(str, places.collect())) == sorted(map(str, compiling.display_order(compiling.to_wide(c)).collect() if n is None else compiling.display_order(compiling.to_wide(compiling.compile_statements(r))).collect()))
+
+
+def test_reports_by_company_are_not_shuffled_again(spark):
+    r = made(spark)
+    assert exchanges(compiling.compile_statements(r)) == exchanges(compiling.compile_wide(r)) == exchanges(checking.audit_restatements(r)) == exchanges(r)
+
+
+def test_audit_of_repeats_signs_and_rows_without_label(spark):
+    r = reports(
+        spark,
+        (2021, "income", ["2021", "2020", "FY2020", None], [row("Costs", "line", [3.0, 2.0, 4.0]), row("A", "line", [1.0]), row("As", "line", [2.0]), row(None, "line", [5.0]), row(None, "line", [6.0])]),
+        (2020, "income", ["2020"], [row("Cost (1)", "line", [-2.0]), row("A", "line", [7.0])]), (2022, "income", ["?"], [row("A new", "line", [1.0]), row("A", "section", [])]),
+    )
+    a = by(checking.audit_restatements(r), "key", "label", "period_year", "used", "used_report", "original", "original_report", "history")
+    h = lambda *xs: str([(y, v) for y, v in xs])
+    assert [(*x[:7], str([tuple(y) for y in x[7]])) for x in a] == sorted([
+        (None, None, 2021, 5.0, 2021, 6.0, 2021, h((2021, 5.0), (2021, 6.0))),
+        ("cost", "Costs", 2020, -2.0, 2021, -2.0, 2020, h((2021, -2.0), (2021, -4.0), (2020, -2.0))),
+    ], key=str)
