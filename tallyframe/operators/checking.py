@@ -32,10 +32,10 @@ def find_value(kind: str, match: Column) -> Column:
     return F.min(F.when((F.col("kind") == kind) & match & F.col("value").isNotNull(), F.struct("ord", "value")))["value"]
 
 
-def headline_values(compiled: DataFrame) -> DataFrame:
-    """The figures that the checks compare, for each slug and period_year, in one aggregate."""
+def headline_values(compiled: DataFrame, every: bool = False) -> DataFrame:
+    """The figures that the checks compare, for each slug and period_year (null too if every), in one aggregate."""
     low = F.lower(strip(F.col("label")))
-    c = compiled.where("period_year is not null").withColumn("low", low)
+    c = (compiled if every else compiled.where("period_year is not null")).withColumn("low", low)
     low = F.col("low")
     profit = low.isin(NET_PROFIT)
     has = lambda kind: F.max((F.col("kind") == kind).cast("int")) == 1
@@ -61,6 +61,12 @@ def validate(compiled: DataFrame) -> DataFrame:
     years. Statements that have years but no row count if compile_statements gave markers of them. One aggregate.
     """
     v = headline_values(compiled)
+    out = v.select("slug", "period_year", F.explode(_issues()).alias("x"))
+    return out.select("slug", "x.check", "x.severity", "period_year", "x.expected", "x.actual", "x.diff")
+
+
+def _issues() -> Column:
+    """The issues of a row of headline_values."""
     both = F.coalesce("both", F.col("equity") + F.col("liabilities"))
     off = lambda a, b: F.abs(a - b) > F.greatest(F.lit(1.0), F.abs(b) * 0.005)
     issue = lambda name, severity, expected, actual: F.struct(
@@ -75,8 +81,7 @@ def validate(compiled: DataFrame) -> DataFrame:
         F.when(F.col("has_balance") & F.col("assets").isNull(), issue("no_balance", "fail", zero, zero)),
         F.when(F.col("has_cashflow") & F.col("operating").isNull(), issue("no_cashflow", "fail", zero, zero)),
     ]
-    out = v.select("slug", "period_year", F.explode(F.array_compact(F.array(*found))).alias("x"))
-    return out.select("slug", "x.check", "x.severity", "period_year", "x.expected", "x.actual", "x.diff")
+    return F.array_compact(F.array(*found))
 
 
 def validation_status(issues: DataFrame, companies: DataFrame) -> DataFrame:
@@ -86,6 +91,15 @@ def validation_status(issues: DataFrame, companies: DataFrame) -> DataFrame:
     return companies.select("slug").distinct().join(per, "slug", "left").select("slug", status.alias("status"))
 
 
+def company_status(compiled: DataFrame) -> DataFrame:
+    """validation_status of validate(compiled) for the companies of compiled, in one pass over it. With `every` of
+    compile_statements these are all companies that have reports."""
+    found = F.when(F.col("period_year").isNotNull(), _issues()["severity"])
+    failed = F.when(F.array_contains(found, "fail"), 1).when(F.size(found) > 0, 0)
+    per = headline_values(compiled, every=True).select("slug", failed.alias("failed")).groupBy("slug").agg(F.max("failed").alias("failed"))
+    return per.select("slug", F.when(F.col("failed") == 1, "fail").when(F.col("failed") == 0, "warning").otherwise("pass").alias("status"))
+
+
 def reconcile(compiled: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """Subtotals and totals that aren't the sum of the lines since the last row that is no line: slug, kind, ord, label,
     period_year, line_sum, reported. A missing figure counts as 0 among the lines."""

@@ -247,6 +247,18 @@ def test_reports_by_company_are_not_shuffled_again(spark):
     assert exchanges(compiling.compile_statements(r)) == exchanges(compiling.compile_wide(r)) == exchanges(checking.audit_restatements(r)) == exchanges(r)
 
 
+def test_status_of_all_companies_in_one_pass(spark):
+    empty = spark.createDataFrame([("b", 2020, "income", [], []), ("c", 2020, "income", ["2020"], [])], SCHEMA)
+    r = made(spark).unionByName(empty).unionByName(reports(spark, (2020, "income", ["2020"], [row("Revenue", "line", [1.0])])))
+    want = checking.validation_status(checking.validate(compiling.compile_statements(r, markers=True)), r)
+    got = checking.company_status(compiling.compile_statements(r, every=True))
+    assert by(got, "slug", "status") == by(want, "slug", "status") and {("a", "pass"), ("b", "pass"), ("c", "fail")} <= set(by(got, "slug", "status"))
+    from tallyframe.jobs import queries
+
+    q = queries.validation_status(spark, "/root/testdata/sf0.001")
+    assert q._jdf.queryExecution().executedPlan().toString().count("lineitem.parquet") == 1
+
+
 def test_audit_of_repeats_signs_and_rows_without_label(spark):
     r = reports(
         spark,
