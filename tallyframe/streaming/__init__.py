@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators.compiling import ROWS, compile_statements
@@ -38,9 +38,23 @@ def merge_reports(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def recompile_touched(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """The compiled statements of just the companies that new reports touch."""
-    touched = new.select("slug").distinct()
-    return compile_statements(merge_reports(stored, new).join(touched, "slug", "left_semi"))
+    """The compiled statements of just the companies that new reports touch: of merge_reports, which is told in order of
+    each company's reports, so that reports that come partitioned by company stay where they are."""
+    if all(c in stored.columns and c in new.columns for c in VERSION):
+        touched = new.select("slug").distinct()
+        return compile_statements(merge_reports(stored, new).join(touched, "slug", "left_semi"))
+    given = [c for c in VERSION if c in new.columns]
+    shown = ("slug", "report_year", "kind", "periods", "rows")
+    version = new.select(F.struct(F.lit(0), *given).alias("v")).schema["v"].dataType
+    side = lambda df, is_new: df.select(*shown, (F.struct(F.lit(0), *given) if is_new else F.lit(None)).cast(version).alias("_version"), F.lit(is_new).alias("_new"))
+    r = side(stored, False).unionByName(side(new, True))
+    same = Window.partitionBy("slug", "report_year", "kind")
+    r = r.withColumn("_rank", F.row_number().over(same.orderBy(F.desc("_new"), F.desc("_version"), F.desc("periods"), F.desc("rows"))))
+    # as in a join, a null stands for no other
+    replaced = F.max("_new").over(same) & F.col("report_year").isNotNull() & F.col("kind").isNotNull()
+    r = r.withColumn("_replaced", replaced).withColumn("_touched", F.max("_new").over(Window.partitionBy("slug")))
+    kept = F.when(F.col("_new"), F.col("_rank") == 1).otherwise(~F.col("_replaced"))
+    return compile_statements(r.where(F.col("slug").isNotNull() & F.col("_touched") & kept).select(*shown))
 
 
 def apply_batch(new: DataFrame, batch: int, reports: str, compiled: str, stream: str = "reports", buckets: int = BUCKETS, crash: Callable[[str], None] = lambda at: None) -> None:

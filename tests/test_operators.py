@@ -271,3 +271,13 @@ def test_audit_of_repeats_signs_and_rows_without_label(spark):
         (None, None, 2021, 5.0, 2021, 6.0, 2021, h((2021, 5.0), (2021, 6.0))),
         ("cost", "Costs", 2020, -2.0, 2021, -2.0, 2020, h((2021, -2.0), (2021, -4.0), (2020, -2.0))),
     ], key=str)
+
+
+def test_recompiling_equals_merging_and_joining(spark):
+    a = lambda y, v, slug="a": (slug, y, "income", [str(y)], [row("Revenue", "line", [v])])
+    stored = spark.createDataFrame([a(2019, 1.0), a(2020, 2.0), a(2020, 1.0, "b"), a(2020, 9.0, "d"), a(None, 4.0)], SCHEMA)
+    new = spark.createDataFrame([a(2020, 5.0), a(2020, 7.0), a(2021, 3.0, "c"), a(None, 3.0), a(2018, 2.0, None)], SCHEMA)
+    for old, late in ((stored, new), (made(spark).where("report_year < 2002"), made(spark).where("report_year >= 2002"))):
+        want = compiling.compile_statements(streaming.merge_reports(old, late).join(late.select("slug").distinct(), "slug", "left_semi"))
+        assert sorted(map(str, streaming.recompile_touched(old, late).collect())) == sorted(map(str, want.collect()))
+    assert exchanges(streaming.recompile_touched(old, late)) == 2 * exchanges(late)
