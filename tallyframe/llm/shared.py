@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,13 +30,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read back: its lineage ends there, so a lost executor costs no earlier stage.
-    Results are lazy, so what they were made from stays in that folder; the cluster clears it like other checkpoints."""
+    Results are lazy, so what they were made from stays in that folder; the cluster clears it like other checkpoints.
+
+    With `by` it is shuffled once, here, into as many buckets of that column as spark.sql.shuffle.partitions says; joins on it
+    then leave these rows where they are. Bucketed files can be written as a table only, whose name goes again at once.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    name = uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/{name}"
+    if by is None:
+        df.write.option("compression", "zstd").parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    else:
+        n = min(int(spark.conf.get(f"spark.sql.{k}")) for k in ("shuffle.partitions", "sources.bucketing.maxBuckets"))
+        as_table = f"spark_catalog.default.stored_{name}"
+        df.repartition(n, by).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, by).saveAsTable(as_table)
+        out = spark.table(as_table)
+        spark.sql(f"DROP TABLE {as_table}")  # an external table: its files stay
     out.stored_at = path
     return out
 
@@ -46,6 +60,19 @@ def forget(*tables: DataFrame) -> None:
         where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within this, shuffle files go as soon as the write that they were made for is done, not when the driver happens to
+    collect its garbage, which may be after all of a large run's files have come together."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
     """Holds this session's Arrow batches to Python workers to so many bytes, where Spark's default (64 MB) still stands:
     a worker holds several times a batch, beside its neighbour's, in what the JVM leaves of an executor."""

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.shared import bounded_batches, forget, join_hot, stored
+from tallyframe.llm.shared import BROADCAST_ROWS, bounded_batches, forget, join_hot, shuffles_removed, stored
 from tallyframe.llm.textops import CHUNK, mix, slices
 
 #: Consecutive words of a window, and of the gram that a window is found by.
@@ -218,6 +218,8 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
     parts go to just these. Which they are is told by hashes: windows are grouped into pieces by their gram of least hash;
     equal pieces have the text of least row as their reference; where a gram has several pieces, their windows are
     compared too. Then each part is parsed greedily against the block that holds its reference, word by word.
+
+    Texts are met by row three times (twice here, once by the caller): stored in buckets by row they aren't shuffled for it.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,7 +241,7 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
     look = F.col("mixed") & ((F.col("c") == 1) | (F.col("row") == F.col("ref")))
     asked = found.select("row", F.struct("lo", "n", F.when(F.col("c") > 1, F.col("ref")).otherwise(-1).alias("ref"), look.alias("look")).alias("x"))
     asked = asked.groupBy("row").agg(F.collect_list("x").alias("x"))  # of one text
-    asked = stored(texts.join(asked, "row").select("row", "text", *[F.col(f"x.{c}").alias(c) for c in ("lo", "n", "ref", "look")]))
+    asked = stored(asked.select("row", *[F.col(f"x.{c}").alias(c) for c in ("lo", "n", "ref", "look")]), "row")
     forget(shared, kinds)
 
     def hash_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,7 +257,7 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
             base = start[np.searchsorted(start, at, "right") - 1]
             yield pd.DataFrame({"w": one.hashes(at, at + window).view(np.int64), "v": two.hashes(at, at + window).view(np.int64), "row": row, "pos": at - base})
 
-    seen = stored(asked.where(F.exists("look", lambda x: x)).mapInPandas(hash_windows, "w long, v long, row long, pos int"))
+    seen = stored(texts.join(asked.where(F.exists("look", lambda x: x)), "row").mapInPandas(hash_windows, "w long, v long, row long, pos int"))
     twice = stored(seen.groupBy("w", "v").agg(F.count("*").alias("c"), F.min("row").alias("ref")).where("c > 1"))
     alike = join_hot(seen, twice, ["w", "v"], "c").groupBy("row").agg(F.collect_list(F.struct("pos", "ref")).alias("x"))  # of one text
     alike = alike.select("row", F.col("x.pos").alias("pos"), F.col("x.ref").alias("pos_ref"))
@@ -279,14 +281,14 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
                         out.append((ref, row, a, z - a, b" ".join(words[a:z]).decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(out, columns=["ref", "row", "lo", "n", "words"])
 
-    cut_out = stored(asked.drop("look").join(alike, "row", "left").mapInPandas(segments, "ref long, row long, lo int, n int, words string"))
+    cut_out = stored(texts.join(asked.drop("look"), "row").join(alike, "row", "left").mapInPandas(segments, "ref long, row long, lo int, n int, words string"))
     forget(asked, seen, twice)
     own = F.col("ref") == F.col("row")
     total = cut_out.where(own).agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // block_words))
     s = cut_out.withColumn("block", F.pmod(F.xxhash64("ref"), F.lit(blocks)))
     cuts = s.groupBy("block").agg(F.count("*").alias("rows"), F.greatest(F.lit(1), F.ceil(F.sum(F.when(~own, F.col("n"))) / part_words)).cast("int").alias("cuts"))
-    parts = join_hot(s, cuts, ["block"], "rows")
+    parts = s.join(F.broadcast(cuts), "block") if blocks <= BROADCAST_ROWS else join_hot(s, cuts, ["block"], "rows")
     docs = parts.where(~own).withColumn("part", F.pmod(F.xxhash64("row", "lo"), F.col("cuts")).cast("int"))
     refs = parts.where(own).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
 
@@ -312,8 +314,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFram
     aren't read. No rows give no rows. Whole texts are parsed, however long.
     """
     bounded_batches(docs.sparkSession)
-    d = stored(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))  # a row's number is what was stored
-    spans = repeated_spans(d.where("text is not null").select("row", "text"), window, **options)
+    with shuffles_removed(docs.sparkSession):
+        d = stored(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "row")  # a row's number is what was stored
+        spans = repeated_spans(d.where("text is not null").select("row", "text"), window, **options)
     spans = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))  # of one text
 
     @F.pandas_udf("n_words long, n_removed long, spans array<struct<lo:int,hi:int>>, kept string")

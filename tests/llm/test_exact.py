@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -84,6 +85,31 @@ def test_repeats_of_odd_rows(spark):
     assert [r.kept for r in substrings.remove_repeats(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [""]
 
 
+def test_repeats_shuffle_texts_once(spark):
+    rng = random.Random(11)
+    texts = [" ".join(f"{rng.randrange(1 << 64):016x}" for _ in range(500)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts + [t + " again" for t in texts])), "doc_id long, text string")
+    sc, size = spark.sparkContext, sum(map(len, texts)) * 2
+    local = Path(sc.getConf().get("spark.local.dir"))
+    files = lambda: {p for p in local.rglob("shuffle_*.data")}
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+
+    def shuffled():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as at size
+    try:
+        before, there = shuffled(), files()
+        found = substrings.remove_repeats(df)
+        assert not files() - there  # nothing stays of what was shuffled on the way
+        assert [r.n_removed for r in found.collect()] == [500] * 120
+        assert shuffled() - before < 3 * size  # texts once, passages to parse once, hashes
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_parse_against_a_block():
     rng = random.Random(3)
     ref = [[rng.choice("ab") for _ in range(rng.randrange(1, 60))] for _ in range(8)]
