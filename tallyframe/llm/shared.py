@@ -65,7 +65,7 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Within this, shuffle files go as soon as the write that they were made for is done, not when the driver happens to
     collect its garbage, which may be after all of a large run's files have come together."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
+    before = spark.conf.get(name, "false")
     spark.conf.set(name, "true")
     try:
         yield

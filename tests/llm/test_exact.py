@@ -71,6 +71,13 @@ def test_repeats_equal_counting(spark, window, gram, options):
         assert len(gone) == r.n_removed and all(a["hi"] < b["lo"] for a, b in zip(r.spans, r.spans[1:]))
 
 
+def test_repeats_of_more_blocks_than_a_broadcast_holds(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BROADCAST_ROWS", 0)
+    texts = texts_of(3)
+    got = substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 12, gram=4, block_words=60, part_words=40)
+    assert [(r.n_words, r.n_removed, r.kept) for r in got.orderBy("doc_id").collect()] == plain_removal(texts, 12)
+
+
 def test_repeats_on_the_table(spark, same):
     assert same(Q.op11_repeats, oracles.SQL["op11_repeats"]) > 0
 
