@@ -124,9 +124,49 @@ def fix_expense_sign(label: Column, value: Column) -> Column:
     return F.when(is_expense_label(label) & (value > 0), -value).otherwise(value)
 
 
+_NOTES, _DIGITS, _TWO = re.compile(r"[\s,]*\([A-Za-z]?\.?\d+\)", re.ASCII), re.compile(r"([A-Za-z])\d+" + END, re.ASCII), re.compile(r"\s{2,}", re.ASCII)
+_NO_COST, _COST = re.compile(f"{BEGIN}(profit|loss|earnings|gross){END}"), re.compile(f"{BEGIN}(costs?|expenses?){END}")
+
+
+def _is_cost(label: str) -> bool:
+    low = label.lower()
+    if ("income" in low and "expense" in low) or _NO_COST.search(low):
+        return False
+    return "income tax" in low or bool(_COST.search(low))
+
+
+@lru_cache(maxsize=100_000)
+def _ascii_facts(label: str | None) -> dict | None:
+    """What label_facts tells of an ASCII label; None for others."""
+    key = ascii_key(label)
+    if key is None:
+        return None
+    shown = _TWO.sub(" ", _DIGITS.sub(r"\1", _NOTES.sub("", label))).strip(BLANKS)
+    return {"key": key, "shown": shown, "cost": _is_cost(label), "shown_cost": _is_cost(shown)}
+
+
+_FACTS = T.StructType([T.StructField("key", T.StringType()), T.StructField("shown", T.StringType()), T.StructField("cost", T.BooleanType()), T.StructField("shown_cost", T.BooleanType())])
+
+
+@F.arrow_udf(T.ArrayType(_FACTS))
+def _facts(labels: pa.Array) -> pa.Array:
+    d = labels.values.dictionary_encode()
+    kind = pa.struct([("key", pa.string()), ("shown", pa.string()), ("cost", pa.bool_()), ("shown_cost", pa.bool_())])
+    facts = pa.array([_ascii_facts(x) for x in d.dictionary.to_pylist()], kind)
+    return pa.ListArray.from_arrays(labels.offsets, facts.take(d.indices))
+
+
+def label_facts(labels: Column) -> Column:
+    """canon_key, clean_label and is_expense_label of each label of an array, and is_expense_label of the label as shown:
+    array<struct<key, shown, cost, shown_cost>>. Like canon_keys it works on a batch's distinct labels."""
+    given = F.coalesce(labels, F.array().cast("array<string>"))
+    one = lambda x: let(clean_label(x), lambda shown: F.struct(canon_key(x).alias("key"), shown.alias("shown"), is_expense_label(x).alias("cost"), is_expense_label(shown).alias("shown_cost")))
+    return F.zip_with(given, _facts(given), lambda label, told: F.coalesce(told, one(label)))
+
+
 def period_year(period: Column) -> Column:
     """The first year 19xx or 20xx in a period's label, or null."""
-    return F.nullif(F.regexp_extract(period, "(?:19|20)[0-9]{2}", 0), F.lit("")).try_cast("int")
+    return F.regexp_extract(period, "(?:19|20)[0-9]{2}", 0).try_cast("int")
 
 
 def format_value(value: Column, unit: Column, decimals: Column, symbol: Column) -> Column:

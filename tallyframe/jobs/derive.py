@@ -131,32 +131,36 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.concat("item", F.when(year % 4 == 0, " costs").when(year % 4 == 1, " cost (D.2)").when(year % 4 == 2, " Costs1").otherwise(" cost for the year"))
     one = F.when(~((year == 2000) & (F.length("item") % 2 == 0)), F.struct(F.col("item").alias("rank"), label.alias("label"), F.lit("line").alias("row_kind"), F.array(*[figure(k) for k in ks]).alias("values")))
     r = f.groupBy("slug", "report_year").agg(F.collect_list(one).alias("items"), *[F.sum(f"a{k}").cast("double").alias(f"s{k}") for k in ks], *[F.max(f"has{k}").alias(f"has{k}") for k in ks])
-    total = lambda k: F.when(F.col(f"has{k}"), F.struct(F.lit(k).alias("k"), (year - k).alias("y"), F.col(f"s{k}").alias("s")))
-    r = r.select("slug", "report_year", "items", F.array_compact(F.array(*[total(k) for k in ks])).alias("stated"))
+    # a report's years are told by plain expressions over its three, not by functions of an array: those aren't compiled
+    has = lambda k: F.coalesce(F.col(f"has{k}"), F.lit(False))
+    stating = lambda of, one: F.concat(*[F.when(has(k), F.array(one(k).cast(of))).otherwise(F.array().cast(f"array<{of}>")) for k in ks])
+    some = has(ks[0]) & (year != 1997)  # whether it states any year but 1997
+    for k in ks[1:]:
+        some = some | (has(k) & (year - k != 1997))
 
     def stated(label: str, part: float | None, wrong: int) -> Column:
         """The figures of a row of the sheet, one for each year stated."""
         if part is None:
-            return F.transform("stated", lambda x: F.lit(None).cast("double"))
-        times = lambda x: x["s"] * F.lit(part) * F.when(x["y"] % wrong == 0, 1.25).otherwise(1.0) if wrong else x["s"] * F.lit(part)
-        return F.transform("stated", (lambda x: F.when(x["y"] != 1997, times(x))) if label == "Total assets" else times)
+            return stating("double", lambda k: F.lit(None))
+        times = lambda k: F.col(f"s{k}") * F.lit(part) * F.when((year - k) % wrong == 0, 1.25).otherwise(1.0) if wrong else F.col(f"s{k}") * F.lit(part)
+        return stating("double", (lambda k: F.when(year - k != 1997, times(k))) if label == "Total assets" else times)
 
     row = lambda label, kind, values: F.struct(label.alias("label"), kind.alias("kind"), F.lit("currency").alias("unit"), F.lit(0).alias("decimals"), values.alias("values"))
 
     def statement(kind: str) -> Column:
+        rows = [(rank, label, row(F.lit(label), F.lit(what), stated(label, part, wrong))) for rank, label, what, part, wrong in SHEET[kind]]
         if kind != "income":
-            rows = [row(F.lit(label), F.lit(what), stated(label, part, wrong)) for _, label, what, part, wrong in SHEET[kind]]
             # this row is left out where a report states nothing but the year that lacks it
-            some = F.exists("stated", lambda x: x["y"] != 1997)
-            return F.array_compact(F.array(*[F.when(some, x) if s[1] == "Total assets" else x for s, x in zip(SHEET[kind], rows)]))
+            return F.concat(*[F.when(some, F.array(x)).otherwise(F.slice(F.array(x), 1, 0)) if label == "Total assets" else F.array(x) for _, label, x in rows])
         ranked = lambda rank, x: F.struct(rank.alias("rank"), x.alias("row"))
-        items = F.transform("items", lambda x: ranked(x["rank"], row(x["label"], x["row_kind"], F.transform("stated", lambda s: F.get(x["values"], s["k"])))))
-        fixed = F.array(*[ranked(F.lit(rank), row(F.lit(label), F.lit(what), stated(label, part, wrong))) for rank, label, what, part, wrong in SHEET[kind]])
-        return F.transform(F.array_sort(F.concat(items, fixed)), lambda x: x["row"])
-
-    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), statement(kind).alias("rows")) for kind in SHEET])
-    periods = F.transform("stated", lambda x: F.concat(F.lit("12/31/"), x["y"].cast("string")))
-    return r.select("slug", "report_year", periods.alias("periods"), F.inline(kinds)).select("slug", "report_year", "kind", "periods", "rows")
+        own = lambda x: stating("double", lambda k: F.get(x["values"], F.lit(k)))
+        full = has(ks[0]) & has(ks[1]) & has(ks[2])
+        items = F.transform("items", lambda x: ranked(x["rank"], row(x["label"], x["row_kind"], F.when(full, x["values"]).otherwise(own(x)))))
+        return F.sort_array(F.concat(items, F.array(*[ranked(F.lit(rank), x) for rank, _, x in rows])))["row"]
+
+    r = r.select("slug", "report_year", stating("string", lambda k: F.concat(F.lit("12/31/"), (year - k).cast("string"))).alias("periods"), *[statement(kind).alias(kind) for kind in SHEET])
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("rows")) for kind in SHEET])
+    return r.select("slug", "report_year", "periods", F.inline(kinds)).select("slug", "report_year", "kind", "periods", "rows")
 
 
 def as_reports(cells: DataFrame, ks: range) -> DataFrame:

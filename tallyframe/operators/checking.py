@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions.labels import is_expense_label, let, strip
+from tallyframe.functions.labels import let, strip
 from tallyframe.operators.compiling import statements
 
 #: Names of the net profit line.
@@ -32,25 +34,24 @@ def find_value(kind: str, match: Column) -> Column:
     return F.min(F.when((F.col("kind") == kind) & match & F.col("value").isNotNull(), F.struct("ord", "value")))["value"]
 
 
+#: The headline figures of each kind of statement, and which labels (in lower case) they go by.
+HEADLINES = {
+    "income": {"profit": lambda low: low.isin(NET_PROFIT), "revenue": lambda low: low.rlike("|".join(REVENUE))},
+    "balance": {
+        "assets": lambda low: low == "total assets", "both": lambda low: low.isin(BOTH), "equity": lambda low: low == "total equity", "liabilities": lambda low: low == "total liabilities",
+        "cash": lambda low: low.contains(CASH_PARTS[0]) | low.contains(CASH_PARTS[1]) | (low == CASH),
+    },
+    "cashflow": {"cash_profit": lambda low: low.isin(NET_PROFIT), "ending_cash": lambda low: low.contains("cash") & low.contains("end"), "operating": lambda low: low.contains(OPERATING)},
+}
+
+
 def headline_values(compiled: DataFrame, every: bool = False) -> DataFrame:
     """The figures that the checks compare, for each slug and period_year (null too if every), in one aggregate."""
     low = F.lower(strip(F.col("label")))
     c = (compiled if every else compiled.where("period_year is not null")).withColumn("low", low)
-    low = F.col("low")
-    profit = low.isin(NET_PROFIT)
     has = lambda kind: F.max((F.col("kind") == kind).cast("int")) == 1
     return c.groupBy("slug", "period_year").agg(
-        find_value("balance", low == "total assets").alias("assets"),
-        find_value("balance", low.isin(BOTH)).alias("both"),
-        find_value("balance", low == "total equity").alias("equity"),
-        find_value("balance", low == "total liabilities").alias("liabilities"),
-        find_value("income", profit).alias("profit"),
-        find_value("cashflow", profit).alias("cash_profit"),
-        find_value("balance", low.contains(CASH_PARTS[0]) | low.contains(CASH_PARTS[1]) | (low == CASH)).alias("cash"),
-        find_value("cashflow", low.contains("cash") & low.contains("end")).alias("ending_cash"),
-        find_value("income", low.rlike("|".join(REVENUE))).alias("revenue"),
-        find_value("cashflow", low.contains(OPERATING)).alias("operating"),
-        has("income").alias("has_income"), has("balance").alias("has_balance"), has("cashflow").alias("has_cashflow"),
+        *[find_value(kind, match(F.col("low"))).alias(name) for kind, names in HEADLINES.items() for name, match in names.items()], *[has(kind).alias(f"has_{kind}") for kind in HEADLINES]
     )
 
 
@@ -65,21 +66,21 @@ def validate(compiled: DataFrame) -> DataFrame:
     return out.select("slug", "x.check", "x.severity", "period_year", "x.expected", "x.actual", "x.diff")
 
 
-def _issues() -> Column:
-    """The issues of a row of headline_values."""
-    both = F.coalesce("both", F.col("equity") + F.col("liabilities"))
+def _issues(v: Callable[[str], Column] = F.col) -> Column:
+    """The issues of a row of headline_values, or of any such figures by name."""
+    both = F.coalesce(v("both"), v("equity") + v("liabilities"))
     off = lambda a, b: F.abs(a - b) > F.greatest(F.lit(1.0), F.abs(b) * 0.005)
     issue = lambda name, severity, expected, actual: F.struct(
         F.lit(CHECKS[name]).alias("check"), F.lit(severity).alias("severity"), expected.cast("double").alias("expected"), actual.cast("double").alias("actual"), (actual - expected).cast("double").alias("diff")
     )
     zero = F.lit(0.0)
     found = [
-        F.when(off(F.col("assets"), both), issue("balance", "fail", both, F.col("assets"))),
-        F.when(F.col("has_income") & off(F.col("profit"), F.col("cash_profit")), issue("profit", "fail", F.col("profit"), F.col("cash_profit"))),
-        F.when(F.col("has_balance") & off(F.col("cash"), F.col("ending_cash")), issue("cash", "warning", F.col("cash"), F.col("ending_cash"))),
-        F.when(F.col("has_income") & F.col("revenue").isNull(), issue("no_income", "fail", zero, zero)),
-        F.when(F.col("has_balance") & F.col("assets").isNull(), issue("no_balance", "fail", zero, zero)),
-        F.when(F.col("has_cashflow") & F.col("operating").isNull(), issue("no_cashflow", "fail", zero, zero)),
+        F.when(off(v("assets"), both), issue("balance", "fail", both, v("assets"))),
+        F.when(v("has_income") & off(v("profit"), v("cash_profit")), issue("profit", "fail", v("profit"), v("cash_profit"))),
+        F.when(v("has_balance") & off(v("cash"), v("ending_cash")), issue("cash", "warning", v("cash"), v("ending_cash"))),
+        F.when(v("has_income") & v("revenue").isNull(), issue("no_income", "fail", zero, zero)),
+        F.when(v("has_balance") & v("assets").isNull(), issue("no_balance", "fail", zero, zero)),
+        F.when(v("has_cashflow") & v("operating").isNull(), issue("no_cashflow", "fail", zero, zero)),
     ]
     return F.array_compact(F.array(*found))
 
@@ -100,6 +101,36 @@ def company_status(compiled: DataFrame) -> DataFrame:
     return per.select("slug", F.when(F.col("failed") == 1, "fail").when(F.col("failed") == 0, "warning").otherwise("pass").alias("status"))
 
 
+def with_status(found: DataFrame) -> DataFrame:
+    """What compile_found gives with its company's status, the one that company_status tells of the same statements with
+    their markers. A company's statements become one row, so that they aren't made a second time to be checked."""
+
+    def heads(kind: str, s: Column) -> Column:
+        """For each year of a statement of that kind its headline figures, each of the first row that has one."""
+        rows = lambda low, match: F.filter(s["found"], lambda x, i: match(F.get(low, i)))["cells"]
+        first = lambda m, i: F.get(F.array_compact(F.transform(m, lambda cells: F.get(cells, i)["value"])), F.lit(0))
+        told = lambda m: F.transform(s["years"], lambda y, i: F.struct(y.alias("year"), F.transform(m, lambda x: first(x, i)).alias("values")))
+        return let(F.transform(s["found"], lambda x: F.lower(strip(x["label"]))), lambda low: let(F.array(*[rows(low, match) for match in HEADLINES[kind].values()]), told))
+
+    def severities(year: Column, h: Column) -> Column:
+        own = lambda kind: F.get(F.filter(h[kind], lambda x: x["year"] == year), F.lit(0)).alias(kind)
+        at = {name: (kind, i) for kind, names in HEADLINES.items() for i, name in enumerate(names)}
+        value = lambda o: lambda name: F.get(o[at[name][0]]["values"], F.lit(at[name][1])) if name in at else o[name.removeprefix("has_")].isNotNull()
+        return let(F.struct(*[own(kind) for kind in HEADLINES]), lambda o: _issues(value(o))["severity"])
+
+    def status(statements: Column) -> Column:
+        own = lambda kind: F.get(F.filter(statements, lambda s: s["kind"] == kind), F.lit(0))["heads"].alias(kind)
+        years = F.array_distinct(F.flatten(statements["years"]))
+        found = let(F.struct(*[own(kind) for kind in HEADLINES]), lambda h: F.flatten(F.transform(years, lambda year: severities(year, h))))
+        return let(found, lambda x: F.when(F.array_contains(x, "fail"), "fail").when(F.size(x) > 0, "warning").otherwise("pass"))
+
+    own = lambda kind: F.when(F.col("kind") == kind, let(F.struct("years", "found"), lambda s: heads(kind, s)))
+    told = F.coalesce(*[own(kind) for kind in HEADLINES])
+    c = found.select("slug", F.struct("kind", "years", "found", told.alias("heads")).alias("s")).groupBy("slug").agg(F.collect_list("s").alias("statements"))
+    c = c.select("slug", let(F.col("statements"), lambda x: F.struct(status(x).alias("status"), x.alias("statements"))).alias("x"))
+    return c.select("slug", "x.status", F.inline_outer("x.statements")).select("slug", "status", "kind", "years", "found")
+
+
 def reconcile(compiled: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """Subtotals and totals that aren't the sum of the lines since the last row that is no line: slug, kind, ord, label,
     period_year, line_sum, reported. A missing figure counts as 0 among the lines."""
@@ -121,17 +152,21 @@ def audit_restatements(reports: DataFrame) -> DataFrame:
     Costs are made negative by each row's own label on statements of any kind. Repeated keys and years within a report
     all count, unlike in compile_statements.
     """
-    s = statements(reports, is_expense_label)
+    s = statements(reports)
     column = lambda y, i: F.when(y.isNotNull(), F.struct(y.alias("year"), i.alias("col")))
     own_columns = lambda x: F.array_compact(F.transform(x["years"], column))
     again = lambda x: F.size(F.array_distinct(F.array_compact(x["keys"]))) < F.size(x["keys"])
-    s = s.select("slug", "kind", F.transform("reports", lambda x: F.struct(x["old"].alias("old"), x["keys"].alias("keys"), x["rows"].alias("rows"), x["flags"].alias("flags"), own_columns(x).alias("columns"), again(x).alias("again"))).alias("reports"))
+    costs = lambda d, f: F.transform(f["places"], lambda i: F.get(d["facts"], i)["cost"])
+    forms = lambda d: F.transform(d["x"]["forms"], lambda f: F.struct(f["keys"].alias("keys"), costs(d, f).alias("costs"), again(f).alias("again")))
+    own = lambda x, f: F.struct(x["old"].alias("old"), f["keys"].alias("keys"), x["rows"].alias("rows"), f["costs"].alias("costs"), own_columns(x).alias("columns"), f["again"].alias("again"))
+    given = lambda d: let(forms(d), lambda forms: F.transform(d["x"]["reports"], lambda x: own(x, F.get(forms, x["form"]))))
+    s = s.select("slug", "kind", let(F.struct("facts", "x"), given).alias("reports"))
 
     def entries(x: Column, key: Column) -> Column:
         """A report's rows of a key, all of them if it has several."""
         at = F.array_position(x["keys"], key)
         places = F.when(x["again"], F.array_compact(F.transform(x["keys"], lambda k, i: F.when(k.eqNullSafe(key), i)))).when(at > 0, F.array((at - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.struct(x["old"].alias("old"), i.alias("pos"), x["columns"].alias("columns"), F.get(x["rows"], i).alias("row"), F.get(F.get(x["flags"], i), F.lit(1)).alias("cost")))
+        return F.transform(places, lambda i: F.struct(x["old"].alias("old"), i.alias("pos"), x["columns"].alias("columns"), F.get(x["rows"], i).alias("row"), F.get(x["costs"], i).alias("cost")))
 
     def figure(o: Column, c: Column) -> Column:
         sign = lambda v: F.when(o["cost"] & (v > 0), -v).otherwise(v)

@@ -281,3 +281,39 @@ def test_recompiling_equals_merging_and_joining(spark):
         want = compiling.compile_statements(streaming.merge_reports(old, late).join(late.select("slug").distinct(), "slug", "left_semi"))
         assert sorted(map(str, streaming.recompile_touched(old, late).collect())) == sorted(map(str, want.collect()))
     assert exchanges(streaming.recompile_touched(old, late)) == 2 * exchanges(late)
+
+
+def odd(spark):
+    """Reports with odd rows and columns, beside those made of the smallest size."""
+    r = reports(
+        spark,
+        (2021, "income", ["2021", "2020", "x", "2020"], [row("A", "line", [1.0, 2.0]), row("B", None, [2.0, None]), row("Sum", "subtotal", [9.0, 2.0]), row("C", "line", [float("nan")]), row("Net profit", "total", [5.0, 5.0, 1.0, 9.0])]),
+        (2020, "income", ["2020"], [row("A", "line", [4.0]), row("\u00c4rger 1", "line", [3.0]), row("Revenue", "total", [-0.0]), row(None, "line", [1.0])]),
+        (2021, "balance", ["2021", "2019"], [row("Total assets", "total", [7.0, None]), row("Total assets", "total", [8.0, 3.0]), row("Cash", "line", [1.0, 1.0]), row(" Total equity", "line", [2.0, 2.0]), row("Total liabilities", "subtotal", [2.0, 2.0])]),
+        (2021, "cashflow", ["2021", "2018"], []), (2020, "notes", ["2017"], [row("Cash at the end", "line", [1.0])]), (2020, "balance", [], [row("Sum", "total", [1.0])]),
+    )
+    empty = spark.createDataFrame([("b", 2020, "income", [], []), ("c", 2020, "income", ["2020"], []), ("d", 2020, "balance", ["2020"], [row("Other", "line", [1.0])])], SCHEMA)
+    return made(spark).unionByName(r).unionByName(empty)
+
+
+def test_status_beside_statements_compiled_once(spark):
+    r = odd(spark)
+    found = checking.with_status(compiling.compile_found(r))
+    assert by(found.select("slug", "status").distinct(), "slug", "status") == by(checking.company_status(compiling.compile_statements(r, every=True)), "slug", "status")
+    cells = compiling.found_cells(found, False, "status").drop("status")
+    assert sorted(map(str, cells.collect())) == sorted(map(str, compiling.compile_statements(r).select(*cells.columns).collect()))
+    from tallyframe.jobs import queries
+
+    plan = queries.replies_to_statements(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == plan.count("from_json") == 1
+
+
+def test_facts_of_whole_arrays_of_labels(spark):
+    from tallyframe.functions import labels as L
+
+    given = ["Cost (D.2) , (b.3)", "Income taxes1", "Other income and expense", "a1b c22", "  Costs1  of\t\tsales ", "Gross costs", "", "(1)", "\u00c4rztekosten1 cost", "\x0bExpenses\x0c(2)", None, "Net loss_costs", "COSTS", "(x.12)Cost_ expense"]
+    df = spark.createDataFrame([(given,), ([],), (None,)], "x array<string>")
+    got = [[tuple(f) for f in r.f] for r in df.select(L.label_facts(F.col("x")).alias("f")).collect()]
+    x = F.col("x")
+    want = spark.createDataFrame([(x,) for x in given], "x string").select(L.canon_key(x), L.clean_label(x), L.is_expense_label(x), L.is_expense_label(L.clean_label(x))).collect()
+    assert got == [[tuple(r) for r in want], [], []]
