@@ -34,8 +34,16 @@ CURRENCY_SYMBOLS = {"EUR": "€", "DKK": "kr", "USD": "$", "GBP": "£", "CHF": "
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body over a value that is worked out once for a row."""
-    return F.transform(F.array(value), body)[0]
+    """body over a value that is worked out once for a row: a fold over nothing, as a transform would copy what body gives."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, body)
+
+
+def places(values: Column) -> Column:
+    """The first place (from 0) of each value of an array, as a map to be asked by try_element_at; nulls have none. In a
+    lambda array_position takes long, as it throws whatever it finds."""
+    first = lambda x: (F.array_position(values, x) - 1).cast("int")
+    each = lambda d: F.when(F.size(d) == F.size(values), F.transform(d, lambda _, i: i)).otherwise(F.transform(d, first))
+    return let(F.array_distinct(F.array_compact(values)), lambda d: F.map_from_arrays(d, each(d)))
 
 
 def strip(x: Column) -> Column:

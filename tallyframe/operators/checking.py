@@ -145,6 +145,27 @@ def reconcile(compiled: DataFrame, tolerance: float = 1.0) -> DataFrame:
     return b.select("slug", "kind", "t.ord", "t.label", "period_year", "line_sum", F.col("t.value").alias("reported"))
 
 
+def reconcile_found(found: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """reconcile of what compile_found gives. All rows of a statement have a cell for each of its years, so that a fold over
+    its rows carries the sums of all years, and neither cells nor rows are dealt out, sorted or shuffled."""
+    zeros = F.transform("years", lambda y: F.lit(0.0))
+    kept = {f.name: f.dataType.simpleString() for f in found.schema["found"].dataType.elementType if f.name in ("ord", "label", "cells")}
+    none = F.array().cast(f"array<struct<ord:{kept['ord']},label:string,sums:array<double>,cells:{kept['cells']}>>")
+    state = lambda sums, totals: F.struct(sums.alias("sums"), totals.alias("totals"))
+
+    def step(at: Column, x: Column) -> Column:
+        line = F.coalesce(x["row_kind"] == "line", F.lit(False))  # a row of unknown kind ends a block like any other
+        total = F.struct(x["ord"].alias("ord"), x["label"].alias("label"), at["sums"].alias("sums"), x["cells"].alias("cells"))
+        totals = F.when(x["row_kind"].isin("subtotal", "total"), F.concat(at["totals"], F.array(total))).otherwise(at["totals"])
+        more = F.zip_with(at["sums"], x["cells"], lambda a, c: a + F.coalesce(c["value"], F.lit(0.0)))
+        return F.when(line, state(more, at["totals"])).otherwise(state(zeros, totals))
+
+    totals = F.aggregate("found", state(zeros, none), step, lambda at: at["totals"])
+    t = found.select("slug", "kind", F.inline_outer(totals)).select("slug", "kind", "ord", "label", F.inline_outer(F.arrays_zip("sums", "cells")))
+    t = t.select("slug", "kind", "ord", "label", "cells.period_year", F.col("sums").alias("line_sum"), F.col("cells.value").alias("reported"))
+    return t.where(F.abs(F.col("line_sum") - F.col("reported")) > tolerance)
+
+
 def audit_restatements(reports: DataFrame) -> DataFrame:
     """Every cell whose value differs between reports: slug, kind, key, label, period_year, used (of the newest report),
     used_report, original (of the oldest), original_report, history (report, value; newest first).
@@ -156,11 +177,11 @@ def audit_restatements(reports: DataFrame) -> DataFrame:
     column = lambda y, i: F.when(y.isNotNull(), F.struct(y.alias("year"), i.alias("col")))
     own_columns = lambda x: F.array_compact(F.transform(x["years"], column))
     again = lambda x: F.size(F.array_distinct(F.array_compact(x["keys"]))) < F.size(x["keys"])
-    costs = lambda d, f: F.transform(f["places"], lambda i: F.get(d["facts"], i)["cost"])
-    forms = lambda d: F.transform(d["x"]["forms"], lambda f: F.struct(f["keys"].alias("keys"), costs(d, f).alias("costs"), again(f).alias("again")))
-    own = lambda x, f: F.struct(x["old"].alias("old"), f["keys"].alias("keys"), x["rows"].alias("rows"), f["costs"].alias("costs"), own_columns(x).alias("columns"), f["again"].alias("again"))
-    given = lambda d: let(forms(d), lambda forms: F.transform(d["x"]["reports"], lambda x: own(x, F.get(forms, x["form"]))))
-    s = s.select("slug", "kind", let(F.struct("facts", "x"), given).alias("reports"))
+    forms = lambda d: F.transform(d["forms"], lambda f: F.struct(f["keys"].alias("keys"), again(f).alias("again")))
+    costs = lambda d, x: F.transform(x["rows"]["label"], lambda label: F.try_element_at(d["facts"], label)["cost"])
+    own = lambda d, x, f: F.struct(x["old"].alias("old"), f["keys"].alias("keys"), x["rows"].alias("rows"), costs(d, x).alias("costs"), own_columns(x).alias("columns"), f["again"].alias("again"))
+    given = lambda d: let(forms(d), lambda forms: F.transform(d["reports"], lambda x: own(d, x, F.get(forms, x["form"]))))
+    s = s.select("slug", "kind", let(F.col("x"), given).alias("reports"))
 
     def entries(x: Column, key: Column) -> Column:
         """A report's rows of a key, all of them if it has several."""

@@ -317,3 +317,13 @@ def test_facts_of_whole_arrays_of_labels(spark):
     x = F.col("x")
     want = spark.createDataFrame([(x,) for x in given], "x string").select(L.canon_key(x), L.clean_label(x), L.is_expense_label(x), L.is_expense_label(L.clean_label(x))).collect()
     assert got == [[tuple(r) for r in want], [], []]
+
+
+def test_subtotals_are_reconciled_where_statements_lie(spark):
+    r = odd(spark)
+    shown = lambda df: sorted(map(str, df.select("slug", "kind", "ord", "label", "period_year", "line_sum", "reported").collect()))
+    n = shown(checking.reconcile_found(compiling.compile_found(r)))
+    assert n == shown(checking.reconcile(compiling.compile_statements(r))) and "label='Sum'" in str(n)
+    from tallyframe.jobs import queries
+
+    assert exchanges(queries.subtotal_notes(spark, "/root/testdata/sf0.001")) == exchanges(made(spark))
